@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Spark prunes `row_number() <= n` before the shuffle up to this n.
 _PRUNED_LIMIT = 1000
 _SALTS = 64
@@ -45,6 +47,28 @@ def first_by(df: DataFrame, keys: list[str], order: list, cols: list[str] | None
     )
 
 
+def ordinal(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """Row number from 1 within each group, for groups of any size.
+
+    Rows are range-partitioned by group and order, so a group spreads over as
+    many tasks as it needs.  Each range numbers its own rows and adds the count
+    of the group's rows in the ranges before it.
+    """
+    order = _cols(order)
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut(ranged)  # the range numbers are fixed once written
+    w = Window.partitionBy("_pid", *keys).orderBy(*order)
+    sizes = ranged.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (
+        ranged.withColumn("_rn", F.row_number().over(w))
+        .join(offsets, [*keys, "_pid"])
+        .withColumn(out, F.col("_rn") + F.col("_off"))
+        .drop("_pid", "_rn", "_off")
+    )
+
+
 def prefix_sum(df: DataFrame, keys: list[str], seq: str, value: Column, out: str, chunk: int = 100_000) -> DataFrame:
     """Running sum of ``value`` in ``seq`` order within a group of any size.
 
