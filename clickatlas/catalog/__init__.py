@@ -1 +1,4 @@
+"""Registered queries."""
 
+from . import column_queries, page_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401

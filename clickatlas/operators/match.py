@@ -42,7 +42,7 @@ def match_goals(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     needle = (
         noun_hits.join(asked.where(~has_match).select("q_id", "host", labels.goal_needle(F.col("nouns")).alias("needle")), ["q_id", "host"], "left")
         .join(t, ["host", "trig_seq"])
-        .select("q_id", "host", "trig_seq", F.coalesce(F.col("label").rlike(F.col("needle")), F.lit(False)).alias("needle_hit"))
+        .select("q_id", "host", "trig_seq", F.coalesce(F.rlike("label", F.col("needle")), F.lit(False)).alias("needle_hit"))
     )
     verbs = (
         asked.where((F.size("nouns") == 0) & ~has_match).select("q_id", "host")
@@ -51,7 +51,7 @@ def match_goals(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     )
     patterns = (
         q.where(has_match).select("q_id", "host", F.concat(F.lit("(?iuU)"), F.col("match")).alias("rx")).alias("q")
-        .join(t.alias("t"), (F.col("q.host") == F.col("t.host")) & F.col("t.label").rlike(F.col("q.rx")))
+        .join(t.alias("t"), (F.col("q.host") == F.col("t.host")) & F.rlike("t.label", F.col("q.rx")))
         .select("q.q_id", "q.host", "t.trig_seq", F.lit(True).alias("needle_hit"))
     )
     every = needle.unionByName(verbs).unionByName(patterns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels, urls
+from ..functions import urls
 from ..operators.rows import first_by
 from ..operators.sets import MERGE_EDGE_KEY, trigger_signature
 from ..operators.transcripts import allocate_ids
@@ -52,9 +52,12 @@ def stitch(live: DataFrame, graphs: Graphs) -> tuple[DataFrame, DataFrame, DataF
     )
     start = chain.join(by_url, ["host", "u"], "left")
     made_key = lambda *parts: F.concat_ws("\x1f", *parts)
+    # a start page that is not stored and has no step moves to the trigger page itself
+    alone = F.col("id").isNull() & (F.col("n") == 0) & F.col("tp").isNotNull() & (F.col("tp") != F.col("u"))
     state = start.select(
-        "host", "rec_seq", "steps", "n", "tp", "tp_label", "selector", "u",
-        F.coalesce("id", made_key(F.lit("+u"), F.col("u"))).alias("cur"), F.coalesce("depth", F.lit(0)).alias("depth"), "plabel",
+        "host", "rec_seq", "steps", "n", "tp", "tp_label", "selector", F.when(alone, F.col("tp")).otherwise(F.col("u")).alias("u"),
+        F.coalesce("id", F.when(alone, made_key(F.lit("+p"), F.col("rec_seq").cast("string"), F.lit("0"))), made_key(F.lit("+u"), F.col("u"))).alias("cur"),
+        F.coalesce("depth", F.lit(0)).alias("depth"), "plabel",
     )
     state = cut(state.withColumn("used", F.array("cur")))
     new_states = state.where(F.col("cur").startswith("+")).select(
@@ -100,8 +103,7 @@ def stitch(live: DataFrame, graphs: Graphs) -> tuple[DataFrame, DataFrame, DataF
     # a chain that ends on a stored state elsewhere gets one more state for the trigger page
     off = F.col("tp").isNotNull() & (F.col("tp") != F.col("u"))
     tail = state.where(off).withColumn("key", made_key(F.lit("+t"), F.col("rec_seq").cast("string")))
-    zero = tail.where((F.col("n") == 0) & F.col("cur").startswith("+"))
-    added = tail.where(~((F.col("n") == 0) & F.col("cur").startswith("+")))
+    added = tail
     new_states = new_states.unionByName(
         added.select("host", "key", F.col("tp").alias("u"), F.col("tp_label").alias("label"), (F.col("depth") + F.col("n") + 1).alias("depth"), "rec_seq", (F.col("n") + 1).alias("step"))
     )
@@ -112,10 +114,6 @@ def stitch(live: DataFrame, graphs: Graphs) -> tuple[DataFrame, DataFrame, DataF
     ends = state.join(added.select("host", "rec_seq", "key"), ["host", "rec_seq"], "left").select(
         "host", "rec_seq", F.coalesce("key", "cur").alias("end")
     )
-    # a start page made for a record without steps takes over the trigger page's url itself
-    renamed = zero.select("host", F.col("cur").alias("key"), F.col("tp").alias("new_u"), "rec_seq")
-    renamed = first_by(renamed, ["host", "key"], ["rec_seq"], ["new_u"])
-    new_states = new_states.join(renamed, ["host", "key"], "left").withColumn("u", F.coalesce("new_u", "u")).drop("new_u")
     return new_states, new_edges, ends
 
 
@@ -173,7 +171,7 @@ def merge_live(graphs: Graphs, live: DataFrame, now: str) -> Graphs:
         return df.join(n, ["host", col], "left").withColumn(col, F.coalesce("_r", col)).drop("_r")
 
     linked = real(real(linked, "src"), "dst")
-    e_key = ["src", "dst", "selector"]
+    e_key = MERGE_EDGE_KEY
     new_edges = first_by(
         linked.withColumn("sel", F.coalesce("selector", F.lit("\0"))), ["host", "src", "dst", "sel"], ["rec_seq", "step"],
         ["rec_seq", "step", "label", "selector", "kind"],
@@ -205,6 +203,3 @@ def merge_live(graphs: Graphs, live: DataFrame, now: str) -> Graphs:
     return Graphs(
         graphs.states.unionByName(add_states), graphs.edges.unionByName(add_edges), kept.unionByName(add_triggers), meta, graphs.errors
     )
-
-
-__all__ = ["lookup_states", "stitch", "merge_live", "labels", "MERGE_EDGE_KEY"]
