@@ -4,7 +4,7 @@ Orders and their lines become click graphs, one per customer nation:
 
 * a root page per nation, a page per customer, and a page per part and supplier
   that the nation's order lines mention;
-* root -> customer (tab); each order line is one edge, by its line number:
+* root -> customer (tab) and back (link); each order line is one edge, by its line number:
   customer -> part (link), part -> supplier (menu), supplier -> part (row);
 * each part page of a nation has one trigger, each supplier page lists its parts.
 
@@ -68,7 +68,10 @@ def graphs(spark: SparkSession, sf: str, with_items: bool = True) -> Graphs:
     roots = cust.select(
         "host", F.lit("root").alias("src"), cp("c", c).alias("dst"), _seq(F.lit(0), c, 0).alias("edge_seq"), F.lit("tab").alias("kind")
     )
-    edges = roots.unionByName(ends).select(
+    home = cust.select(
+        "host", cp("c", c).alias("src"), F.lit("root").alias("dst"), _seq(c, F.lit(2147483647), 0).alias("edge_seq"), F.lit("link").alias("kind")
+    )
+    edges = roots.unionByName(home).unionByName(ends).select(
         "host", "edge_seq", "src", "dst", F.concat(F.lit("Open "), F.col("dst")).alias("label"),
         F.concat(F.lit("#"), F.regexp_replace("dst", ":", "-")).alias("selector"), "kind",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls
-from ..session import cut, work_dir
+from ..session import cut, cut_counted, work_dir
 from .rows import first_by, top_n
 
 # Out-degree above which the edges of a node are spread over several tasks.
@@ -68,8 +68,8 @@ def bfs(
         e.groupBy("host", "src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
         .select("host", F.col("src").alias("node"), F.ceil(F.col("n") / hot_degree).cast("int").alias("salts"))
     )
-    hot = cut(hot, f"{base}/hot")
-    salted = not hot.isEmpty()
+    hot, n_hot = cut_counted(hot, f"{base}/hot")
+    salted = n_hot["rows"] > 0
     if salted:
         of_src = hot.withColumnRenamed("node", "src")
         e = (
@@ -83,27 +83,33 @@ def bfs(
     level = sources.select("host", "root").distinct().select(
         "host", "root", F.col("root").alias("node"), F.expr(f"cast(array() as array<{seq_type}>)").alias("path")
     )
-    level = cut(level, f"{base}/level=0")
-    paths = [f"{base}/level=0"]
+    wanted = None
+    if targets is not None:
+        wanted = cut(targets.select("host", "root", "node").distinct().withColumn("hit", F.lit(1)), f"{base}/targets")
+        missing = wanted.count()
+    paths: list[str] = []
+    shape = level.schema
     depth = 0
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
-        visited = spark.read.schema(level.schema).parquet(*paths)
-        if targets is not None:
-            open_targets = targets.select("host", "root", "node").join(
-                visited.select("host", "root", "node"), ["host", "root", "node"], "left_anti"
-            )
-            if open_targets.isEmpty():
-                break
+    while True:
+        # one job per level: the rows are counted, and targets ticked off, while they are written
+        place = f"{base}/level={depth}"
+        if wanted is None:
+            level, n = cut_counted(level, place)
+        else:
+            ticked = level.join(wanted, ["host", "root", "node"], "left").select(*shape.fieldNames(), "hit")
+            level, n = cut_counted(ticked, place, hits=F.col("hit"))
+            level = level.select(*shape.fieldNames())
+            missing -= n["hits"]
+        paths.append(place)
+        done = n["rows"] == 0 or depth == max_depth or (wanted is not None and missing == 0)
+        reached = spark.read.schema(shape).parquet(*paths)
+        if done:
+            break
         frontier = level
         if salted:
-            frontier = frontier.join(hot, ["host", "node"], "left").withColumn(
-                "salts", F.coalesce("salts", F.lit(1))
-            )
+            frontier = frontier.join(hot, ["host", "node"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        level = expand_frontier(frontier, e, reached.select("host", "root", "node"))
         depth += 1
-        nxt = expand_frontier(frontier, e, visited.select("host", "root", "node"))
-        level = cut(nxt, f"{base}/level={depth}")
-        paths.append(f"{base}/level={depth}")
-    reached = spark.read.schema(level.schema).parquet(*paths)
     return reached.select("host", "root", "node", F.size("path").alias("depth"), "path")
 
 
@@ -237,21 +243,21 @@ def start_state(states: DataFrame, starts: DataFrame | None = None, fallback: st
     if starts is None:
         return roots.select("host", F.col("root_id").alias("state_id"))
     want = urls.norm_light("start")
-    asked = starts.select("host", "start").distinct()
-    has = asked.where(F.coalesce("start", F.lit("")) != "").withColumn("k", want).withColumn("pk", _path_key(want))
+    given = F.coalesce("start", F.lit("")) != ""
+    asked = (
+        starts.select("host", "start").distinct()
+        .withColumn("k", F.when(given, want)).withColumn("pk", F.when(given, _path_key(want)))
+    )
     light = states.withColumn("k", urls.norm_light("url"))
     exact = first_by(light.select("host", "k", "state_seq", "id"), ["host", "k"], ["state_seq"], ["id"])
     by_path = first_by(
         light.select("host", _path_key(F.col("k")).alias("pk"), "state_seq", "id"), ["host", "pk"], ["state_seq"], ["id"]
     )
-    found = (
-        has.join(exact.withColumnRenamed("id", "exact_id"), ["host", "k"], "left")
+    out = (
+        asked.join(exact.withColumnRenamed("id", "exact_id"), ["host", "k"], "left")
         .join(by_path.withColumnRenamed("id", "path_id"), ["host", "pk"], "left")
         .select("host", "start", F.coalesce("exact_id", "path_id").alias("found_id"))
     )
-    out = asked.join(found, (asked["host"] == found["host"]) & asked["start"].eqNullSafe(found["start"]), "left").select(
-        asked["host"], asked["start"], "found_id"
-    )
     out = out.join(roots, "host", "left")
     other = {"root": F.col("root_id"), "first": F.col("first_id"), "none": F.lit(None)}[fallback]
     state = F.when(F.coalesce("start", F.lit("")) == "", F.col("root_id")).otherwise(F.coalesce("found_id", other))

@@ -59,8 +59,9 @@ def merge_tables(old: DataFrame, new: DataFrame, key: list[str], prefer: str = "
 
 def trigger_signature(label, path) -> Column:
     """Identity of a cached answer: its label and the labels clicked on the way."""
-    p = F.coalesce(F.col(path) if isinstance(path, str) else path, F.expr("cast(array() as array<struct<label:string>>)"))
+    p = F.col(path) if isinstance(path, str) else path
     steps = F.transform(p, lambda s: F.lower(F.coalesce(s["label"], F.lit(""))))
+    steps = F.coalesce(steps, F.expr("cast(array() as array<string>)"))
     return F.concat_ws("\x1f", F.lower(F.coalesce(label if isinstance(label, Column) else F.col(label), F.lit(""))), steps)
 
 

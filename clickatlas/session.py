@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 
@@ -50,6 +51,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def cut_counted(df: DataFrame, path: str, **sums) -> tuple[DataFrame, dict]:
+    """:func:`cut`, with row count and sums gathered while the rows are written."""
+    obs = Observation()
+    seen = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    out = cut(seen, path)
+    return out, {k: v or 0 for k, v in obs.get.items()}
+
+
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 

@@ -107,6 +107,13 @@ def summarize_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("host", kind.alias("graph_kind"), n("states"), n("edges"), n("triggers"), n("nodes"))
 
 
+def graphs_from_documents(docs: DataFrame) -> Graphs:
+    """The same from a table (host, document) of JSON texts."""
+    parsed = F.from_json("document", X.INTERACTION_DOC, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    good, errors = split_corrupt(docs.select("host", parsed.alias("d")).select("host", "d.*"), ["states"])
+    return Graphs(*explode_interaction(good), errors)
+
+
 def read_graphs(spark: SparkSession, path: str) -> Graphs:
     good, errors = split_corrupt(_documents(spark, path, X.INTERACTION_DOC), ["states"])
     return Graphs(*explode_interaction(good), errors)
