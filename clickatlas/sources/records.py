@@ -18,6 +18,16 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "*.json")
         .json(path)
     )
+    return _listed(raw)
+
+
+def runs_from_documents(docs: DataFrame) -> DataFrame:
+    """The same from a table (document) of JSON texts."""
+    parsed = F.from_json("document", X.RUN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return _listed(docs.select(parsed.alias("d")).select("d.*"))
+
+
+def _listed(raw: DataFrame) -> DataFrame:
     good = raw.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull())
     return good.drop("_corrupt_record", "steps", "artifacts", "collected").orderBy(
         F.coalesce("started_at", F.lit("")).desc(), "id"
@@ -26,7 +36,15 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
     """(site, goal) expectations of an audit file."""
-    doc = spark.read.schema(X.GOALS_DOC).option("multiLine", True).json(path)
+    return _goals(spark.read.schema(X.GOALS_DOC).option("multiLine", True).json(path))
+
+
+def goals_from_documents(docs: DataFrame) -> DataFrame:
+    """The same from a table (document) of JSON texts."""
+    return _goals(docs.select(F.from_json("document", X.GOALS_DOC).alias("d")).select("d.*"))
+
+
+def _goals(doc: DataFrame) -> DataFrame:
     return (
         doc.select(F.explode("sites").alias("s"))
         .select("s.name", "s.host", "s.start_url", F.posexplode("s.goals").alias("goal_seq", "g"))

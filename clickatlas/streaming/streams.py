@@ -27,6 +27,15 @@ def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def complete_table(agg: DataFrame, path: str) -> DataFrame:
+    """Run an aggregating stream to its end and keep its full result as a table."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    run_to_end(checkpointed(agg.writeStream.outputMode("complete").foreachBatch(step), f"{path}/checkpoint").start())
+    return agg.sparkSession.read.schema(agg.schema).parquet(f"{path}/table")
+
+
 def progress_stream(lines: DataFrame) -> DataFrame:
     """Latest counters per crawl, from (crawl_id, seq, line)."""
     p = parse_progress(lines).where("type = 'progress'")
