@@ -339,7 +339,7 @@ def frame_stream(spark, sf):
 def run_stream(spark, sf):
     base = work_dir(spark)
     ST.run_stream(FR.parse_frames(_lines(_event_stream(spark, sf))), f"{base}/runs", f"{base}/ckpt")
-    return ST.latest_runs(spark, f"{base}/runs").select("run_id", "status", "frames")
+    return ST.latest_runs(spark, f"{base}/runs").select(big("run_id"), "status", "frames")
 
 
 @query("ledger_stream", f"WITH {_F} SELECT scope, sha256, arg_min(name, file_seq) AS name FROM f GROUP BY 1, 2")

@@ -146,7 +146,7 @@ def run_stream(frames: DataFrame, store: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         prev = f"{store}/v={batch_id - 1}"
         old = spark.read.schema(_RUNS).parquet(prev) if batch_id and _exists(spark, prev) else _empty(spark, _RUNS)
-        fold_runs(old, batch).write.mode("overwrite").parquet(f"{store}/v={batch_id}")
+        fold_runs(old, batch.withColumn("run_id", F.col("run_id").cast("string"))).write.mode("overwrite").parquet(f"{store}/v={batch_id}")
 
     run_to_end(checkpointed(frames.writeStream.foreachBatch(step), checkpoint).start())
 
