@@ -54,8 +54,8 @@ def _seq(src, dst, kind: int):
     return ((src.cast("bigint") * F.lit(2147483648) + dst.cast("bigint")) * 4 + F.lit(kind)).cast("bigint")
 
 
-def graphs(spark: SparkSession, sf: str, with_items: bool = True) -> Graphs:
-    ln = lines(spark, sf)
+def graphs(spark: SparkSession, sf: str, with_items: bool = True, ln: DataFrame | None = None) -> Graphs:
+    ln = lines(spark, sf) if ln is None else ln
     cust = table(spark, sf, "customer").select(host_of("c_nationkey").alias("host"), F.col("c_custkey").alias("c"), "c_name")
     part = table(spark, sf, "part")
     cp = lambda a, k: F.concat(F.lit(a + ":"), k.cast("string"))
@@ -177,7 +177,7 @@ def collection_arrays(items: DataFrame) -> DataFrame:
 
 def stored_graphs(spark: SparkSession, sf: str, with_items: bool = False) -> Graphs:
     """The same graphs as written tables, so a query's searches read them and not the joins."""
-    g = graphs(spark, sf, with_items)
+    g = graphs(spark, sf, with_items, cut(lines(spark, sf)))
     return g._replace(states=cut(g.states), edges=cut(g.edges), triggers=cut(g.triggers))
 
 
@@ -215,6 +215,9 @@ def shop_pages(spark: SparkSession, sf: str) -> DataFrame:
     What a page holds follows from the part's size: see the pieces below.
     """
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    # a page costs far more to render and parse than its five columns to move, and the
+    # table is a single small file: spread the rows before the text is built
+    p = p.repartition(2 * spark.sparkContext.defaultParallelism)
     n = F.col("p_size")
     key = F.col("p_partkey").cast("string")
     L = F.lit

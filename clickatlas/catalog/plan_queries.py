@@ -132,10 +132,10 @@ def scenario_report(spark, sf):
 
 @query("unanswered_candidates", f"WITH {Q.ROUTES} SELECT r.q_id, r.trig_seq, r.label FROM routed r JOIN status s USING (q_id) WHERE s.status = 'unreachable'")
 def unanswered_candidates(spark, sf):
-    q = D.questions(spark, sf)
-    m, _ = H.routes(_graphs(spark, sf), q)
+    g, q = _graphs(spark, sf), D.questions(spark, sf)
+    m, _ = H.routes(g, q)
     m = cut(m)
-    return H.candidates(m, H.question_status(q, m)).select("q_id", "trig_seq", "label")
+    return H.candidates(m, H.question_status(q, m, g), g).select("q_id", "trig_seq", "label")
 
 
 @query("cache_misses", f"WITH {Q.ROUTES} SELECT q_id, goal FROM status WHERE status <> 'ok'")

@@ -19,34 +19,46 @@ def _blank(c: str):
 
 
 def routes(graphs: Graphs, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matches, starts) of a question batch.
+    """(matches, reached) of a question batch.
 
-    ``questions`` is (q_id, host, goal, match, start).  ``matches`` has one row per
-    question and selected trigger, with its distance and path where a route
-    exists.  One search per (host, start) serves every question that shares it.
+    ``questions`` is (q_id, host, goal, match, start).  ``matches`` has one narrow
+    row per question and selected trigger: its keys, its distance where a route
+    exists, and what ranking needs.  Texts, forms and paths are fetched later for
+    the rows that are shown.  ``reached`` is the search table: one search per
+    (host, start) serves every question that shares it.
     """
     asked = questions.where(~(_blank("goal") & _blank("match")))
     hits = cut(match_goals(asked, graphs.triggers))
-    starts = cut(start_state(graphs.states, asked.join(hits.select("q_id").distinct(), "q_id", "left_semi"), "root"))
-    t = graphs.triggers.select(
-        "host", "trig_seq", "label", "state_id", "kind", "selector", "href", "accept", "opens_at", "form",
-        labels.form_confidence("kind", "form").alias("confidence"),
-    )
-    q = asked.select("q_id", "host", F.coalesce("start", F.lit("")).alias("start"))
-    st = starts.select("host", F.coalesce("start", F.lit("")).alias("start"), F.col("state_id").alias("root"))
-    st = st.dropDuplicates(["host", "start"])
-    m = hits.join(t, ["host", "trig_seq"]).join(q, ["q_id", "host"]).join(st, ["host", "start"])
+    st = start_state(graphs.states, asked, "root").select(
+        "host", F.coalesce("start", F.lit("")).alias("start"), F.col("state_id").alias("root")
+    ).dropDuplicates(["host", "start"])
+    # the few questions carry their start, so the matches join once per table
+    q = asked.select("q_id", "host", F.coalesce("start", F.lit("")).alias("start")).join(st, ["host", "start"]).drop("start")
+    q = cut(q)
+    t = graphs.triggers.select("host", "trig_seq", "state_id", labels.form_confidence("kind", "form").alias("confidence"))
+    m = hits.join(t, ["host", "trig_seq"]).join(q, ["q_id", "host"])
+    m = cut(m)
     wanted = m.where(F.col("state_id").isNotNull()).select("host", "root", F.col("state_id").alias("node")).distinct()
     reached = bfs(graphs.edges, wanted.select("host", "root"), targets=wanted)
-    m = m.join(
-        reached.select("host", "root", F.col("node").alias("state_id"), "depth", "path"), ["host", "root", "state_id"], "left"
-    )
-    root_url = graphs.states.select("host", F.col("id").alias("root"), F.col("url").alias("start_url"))
-    state_url = graphs.states.select("host", F.col("id").alias("state_id"), F.col("url").alias("state_url"))
-    m = m.join(first_by(root_url, ["host", "root"], ["start_url"]), ["host", "root"], "left").join(
-        first_by(state_url, ["host", "state_id"], ["state_url"]), ["host", "state_id"], "left"
-    )
-    return m, starts
+    m = m.join(reached.select("host", "root", F.col("node").alias("state_id"), "depth"), ["host", "root", "state_id"], "left")
+    return m, reached
+
+
+def with_trigger(rows: DataFrame, graphs: Graphs) -> DataFrame:
+    """Adds the trigger's own columns to the few rows that are shown."""
+    t = graphs.triggers.select("host", "trig_seq", "label", "kind", "selector", "href", "accept", "opens_at", "form")
+    return rows.join(t, ["host", "trig_seq"])
+
+
+def with_urls(rows: DataFrame, graphs: Graphs) -> DataFrame:
+    st = first_by(graphs.states.select("host", "id", "state_seq", "url"), ["host", "id"], ["state_seq"], ["url"])
+    root = st.select("host", F.col("id").alias("root"), F.col("url").alias("start_url"))
+    page = st.select("host", F.col("id").alias("state_id"), F.col("url").alias("state_url"))
+    return rows.join(root, ["host", "root"], "left").join(page, ["host", "state_id"], "left")
+
+
+def with_path(rows: DataFrame, reached: DataFrame) -> DataFrame:
+    return rows.join(reached.select("host", "root", F.col("node").alias("state_id"), "path"), ["host", "root", "state_id"], "left")
 
 
 _ORDER = ["depth", "needle_desc", "trig_seq"]
@@ -56,13 +68,14 @@ def _ranked(m: DataFrame) -> DataFrame:
     return m.withColumn("needle_desc", F.when(F.col("needle_hit"), 0).otherwise(1))
 
 
-def question_status(questions: DataFrame, m: DataFrame) -> DataFrame:
+def question_status(questions: DataFrame, m: DataFrame, graphs: Graphs) -> DataFrame:
     """Status of every question; never an exception."""
     high = (F.col("confidence") == "high") & F.col("depth").isNotNull()
-    agg = m.groupBy("q_id").agg(
-        F.count("*").alias("matched"), F.count("depth").alias("routed"), F.count_if(high).alias("high"),
-        F.max("start_url").alias("start_url"),
+    agg = m.groupBy("q_id", "host").agg(
+        F.count("*").alias("matched"), F.count("depth").alias("routed"), F.count_if(high).alias("high"), F.max("root").alias("root")
     )
+    st = first_by(graphs.states.select("host", "id", "state_seq", "url"), ["host", "id"], ["state_seq"], ["url"])
+    agg = agg.join(st.select("host", F.col("id").alias("root"), F.col("url").alias("start_url")), ["host", "root"], "left").drop("host", "root")
     status = (
         F.when(_blank("goal") & _blank("match"), "invalid_args")
         .when(F.coalesce("matched", F.lit(0)) == 0, "no_match")
@@ -90,9 +103,10 @@ def low_confidence(m: DataFrame) -> DataFrame:
     return _ranked(m.where((F.col("confidence") == "low") & F.col("depth").isNotNull()))
 
 
-def candidates(m: DataFrame, status: DataFrame) -> DataFrame:
+def candidates(m: DataFrame, status: DataFrame, graphs: Graphs) -> DataFrame:
     """Labels matched by the questions that no route answers."""
-    return m.join(status.where("status = 'unreachable'").select("q_id"), "q_id", "left_semi").select("q_id", "host", "trig_seq", "label")
+    lost = m.join(status.where("status = 'unreachable'").select("q_id"), "q_id", "left_semi")
+    return with_trigger(lost.select("q_id", "host", "trig_seq"), graphs).select("q_id", "host", "trig_seq", "label")
 
 
 def narrate(picked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,10 +135,12 @@ def narrate(picked: DataFrame, edges: DataFrame) -> DataFrame:
 
 def howto(graphs: Graphs, questions: DataFrame, show_all: bool = False) -> DataFrame:
     """One row per question (per route with ``show_all``) with status and the shortest click path."""
-    m, _ = routes(graphs, questions)
+    m, reached = routes(graphs, questions)
     m = cut(m)
-    status = question_status(questions, m)
-    best = narrate(pick_triggers(m, show_all), graphs.edges).select(
+    status = question_status(questions, m, graphs)
+    picked = cut(pick_triggers(m, show_all))
+    picked = with_path(with_urls(with_trigger(picked, graphs), graphs), reached)
+    best = narrate(picked, graphs.edges).select(
         "q_id", "trig_seq", F.col("label").alias("trigger_label"), "state_id", "state_url", (F.col("depth") + 1).alias("clicks"),
         "steps", "opens_at", F.coalesce("kind", F.lit("form")).alias("action_kind"),
         F.when(F.lower("kind") == "download", F.col("href")).alias("download_url"), "form",
@@ -157,9 +173,9 @@ def resolve_action(graphs: Graphs, questions: DataFrame) -> DataFrame:
     """
     if "index" not in questions.columns:
         questions = questions.withColumn("index", F.lit(0))
-    m, _ = routes(graphs, questions)
+    m, reached = routes(graphs, questions)
     m = cut(m)
-    status = question_status(questions, m)
+    status = question_status(questions, m, graphs)
     pool = _ranked(m.where(F.col("depth").isNotNull()))
     sizes = pool.groupBy("q_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "high").alias("h"))
     want = questions.join(sizes, "q_id").select(
@@ -169,7 +185,8 @@ def resolve_action(graphs: Graphs, questions: DataFrame) -> DataFrame:
     deepest = want.where(F.col("index") < F.col("match_count")).agg(F.max("index")).first()[0]
     pool = pool.join(want, "q_id").where(~F.col("only_high") | (F.col("confidence") == "high"))
     ranked = top_n(pool, ["q_id"], _ORDER, max(int(deepest or 0), 0) + 1, rank="pool_rank")
-    chosen = path_step_structs(ranked.where(F.col("pool_rank") == F.col("index") + 1), graphs).select(
+    chosen = cut(ranked.where(F.col("pool_rank") == F.col("index") + 1))
+    chosen = path_step_structs(with_path(with_trigger(chosen, graphs), reached), graphs).select(
         "q_id", "trig_seq", "label", "state_id", "kind", "selector", "href", "accept", "opens_at", "form", "path_steps", "depth", "confidence",
         F.lit(True).alias("chosen"),
     )

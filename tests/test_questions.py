@@ -68,9 +68,9 @@ def test_howto(spark, stored):
     assert a[5]["clicks"] == 1 and a[5]["start_url"] == "https://example.test/reports"
     assert a[7]["trigger_label"] == "Download the Q3 report" and a[7]["download_url"].endswith("q3-report.pdf")
     m, _ = H.routes(stored, q)
-    low = {(r["q_id"], r["label"]) for r in H.low_confidence(m).collect()}
+    low = {(r["q_id"], r["label"]) for r in H.with_trigger(H.low_confidence(m), stored).collect()}
     assert low == {(8, "Find a new job"), (9, "Find a new job")}
-    assert [r["label"] for r in H.candidates(m, H.question_status(q, m)).collect()] == ["Add Widget"]
+    assert [r["label"] for r in H.candidates(m, H.question_status(q, m, stored), stored).collect()] == ["Add Widget"]
     hits, misses = split_hits(q, H.howto(stored, q))
     assert hits.count() == 5 and misses.count() == 5
     rep = answers(H.scenario_report(stored, q))
