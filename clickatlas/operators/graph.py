@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls
-from ..session import cut, cut_counted, work_dir
+from ..session import bucketed, cut, cut_counted, work_dir
 from .rows import first_by, top_n
 
 # Out-degree above which the edges of a node are spread over several tasks.
 HOT_DEGREE = 1_000_000
+# Edges per bucket when an edge table is large enough to be laid out by source.
+BUCKET_ROWS = 4_000_000
 
 
 def expand_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame | None) -> DataFrame:
@@ -49,6 +51,7 @@ def bfs(
     targets: DataFrame | None = None,
     max_depth: int | None = None,
     hot_degree: int = HOT_DEGREE,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Fewest-edge paths from each source.
 
@@ -63,13 +66,14 @@ def bfs(
     e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     # parallel edges: only the first can lie on a first-found shortest path
     e = e.groupBy("host", "src", "dst").agg(F.min("edge_seq").alias("edge_seq"))
-    e = cut(e, f"{base}/edges")
+    e, n_edges = cut_counted(e, f"{base}/edges")
     hot = (
         e.groupBy("host", "src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
         .select("host", F.col("src").alias("node"), F.ceil(F.col("n") / hot_degree).cast("int").alias("salts"))
     )
     hot, n_hot = cut_counted(hot, f"{base}/hot")
     salted = n_hot["rows"] > 0
+    keys = ["host", "src"]
     if salted:
         of_src = hot.withColumnRenamed("node", "src")
         e = (
@@ -77,6 +81,11 @@ def bfs(
             .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
             .drop("salts")
         )
+        keys.append("salt")
+    if n_edges["rows"] > bucket_rows:
+        # every level joins the same edges: laid out by source once, they are not shuffled again
+        e = bucketed(e, keys, n_edges["rows"] // bucket_rows + 1, f"{base}/by_source")
+    elif salted:
         e = cut(e, f"{base}/salted")
 
     seq_type = e.schema["edge_seq"].dataType.simpleString()
@@ -244,20 +253,14 @@ def start_state(states: DataFrame, starts: DataFrame | None = None, fallback: st
         return roots.select("host", F.col("root_id").alias("state_id"))
     want = urls.norm_light("start")
     given = F.coalesce("start", F.lit("")) != ""
-    asked = (
-        starts.select("host", "start").distinct()
-        .withColumn("k", F.when(given, want)).withColumn("pk", F.when(given, _path_key(want)))
-    )
-    light = states.withColumn("k", urls.norm_light("url"))
-    exact = first_by(light.select("host", "k", "state_seq", "id"), ["host", "k"], ["state_seq"], ["id"])
-    by_path = first_by(
-        light.select("host", _path_key(F.col("k")).alias("pk"), "state_seq", "id"), ["host", "pk"], ["state_seq"], ["id"]
-    )
-    out = (
-        asked.join(exact.withColumnRenamed("id", "exact_id"), ["host", "k"], "left")
-        .join(by_path.withColumnRenamed("id", "path_id"), ["host", "pk"], "left")
-        .select("host", "start", F.coalesce("exact_id", "path_id").alias("found_id"))
-    )
+    asked = starts.select("host", "start").distinct()
+    # the same url implies the same path, so one join on the path finds both kinds;
+    # the few starts meet the states before anything is aggregated
+    keyed = asked.where(given).select("host", "start", want.alias("k"), _path_key(want).alias("pk"))
+    light = states.select("host", "state_seq", "id", urls.norm_light("url").alias("u")).withColumn("pk", _path_key(F.col("u")))
+    rank = F.struct(F.when(F.col("u") == F.col("k"), 0).otherwise(1), F.col("state_seq"))
+    found = keyed.join(light, ["host", "pk"]).groupBy("host", "start").agg(F.min_by("id", rank).alias("found_id"))
+    out = asked.join(found, ["host", "start"], "left")
     out = out.join(roots, "host", "left")
     other = {"root": F.col("root_id"), "first": F.col("first_id"), "none": F.lit(None)}[fallback]
     state = F.when(F.coalesce("start", F.lit("")) == "", F.col("root_id")).otherwise(F.coalesce("found_id", other))

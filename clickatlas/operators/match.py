@@ -29,33 +29,35 @@ def match_goals(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     """
     q = questions.select("q_id", "host", "goal", "match")
     t = triggers.select("host", "trig_seq", "label")
+    # a site repeats its labels: patterns are tested once per label, not once per trigger
+    lab = t.select("host", "label").distinct()
     has_match = F.coalesce("match", F.lit("")) != ""
-    nouns = labels.goal_nouns("goal")
 
-    asked = q.where(F.coalesce("goal", F.lit("")) != "").withColumn("nouns", nouns)
+    asked = q.where(F.coalesce("goal", F.lit("")) != "").withColumn("nouns", labels.goal_nouns("goal"))
+    # the verb-near-noun test decides only the order among equally near routes
+    pattern = F.when(~has_match, labels.goal_needle(F.col("nouns")))
     by_word = asked.where(F.size("nouns") > 0).select(
-        "q_id", "host", F.explode(F.array_distinct(F.flatten(F.transform("nouns", labels.noun_forms)))).alias("word")
+        "q_id", "host", pattern.alias("needle"),
+        F.explode(F.array_distinct(F.flatten(F.transform("nouns", labels.noun_forms)))).alias("word"),
     )
-    words = t.select("host", "trig_seq", F.explode(label_tokens("label")).alias("word"))
-    noun_hits = by_word.join(words, ["host", "word"]).select("q_id", "host", "trig_seq").distinct()
-    # the verb-near-noun test decides only the order among equally near routes
-    needle = (
-        noun_hits.join(asked.where(~has_match).select("q_id", "host", labels.goal_needle(F.col("nouns")).alias("needle")), ["q_id", "host"], "left")
-        .join(t, ["host", "trig_seq"])
-        .select("q_id", "host", "trig_seq", F.coalesce(F.rlike("label", F.col("needle")), F.lit(False)).alias("needle_hit"))
+    words = lab.select("host", "label", F.explode(label_tokens("label")).alias("word"))
+    by_noun = by_word.join(words, ["host", "word"]).select(
+        "q_id", "host", "label", F.coalesce(F.rlike("label", F.col("needle")), F.lit(False)).alias("needle_hit")
     )
     verbs = (
         asked.where((F.size("nouns") == 0) & ~has_match).select("q_id", "host")
-        .join(t.where(F.col("label").rlike(labels.GOAL_VERB_PATTERN)).select("host", "trig_seq"), "host")
-        .withColumn("needle_hit", F.lit(True))
+        .join(lab.where(F.col("label").rlike(labels.GOAL_VERB_PATTERN)), "host")
+        .select("q_id", "host", "label", F.lit(True).alias("needle_hit"))
     )
     patterns = (
         q.where(has_match).select("q_id", "host", F.concat(F.lit("(?iuU)"), F.col("match")).alias("rx")).alias("q")
-        .join(t.alias("t"), (F.col("q.host") == F.col("t.host")) & F.rlike("t.label", F.col("q.rx")))
-        .select("q.q_id", "q.host", "t.trig_seq", F.lit(True).alias("needle_hit"))
+        .join(lab.alias("t"), (F.col("q.host") == F.col("t.host")) & F.rlike("t.label", F.col("q.rx")))
+        .select("q.q_id", "q.host", "t.label", F.lit(True).alias("needle_hit"))
+    )
+    hits = by_noun.unionByName(verbs).unionByName(patterns).groupBy("q_id", "host", "label").agg(
+        F.max("needle_hit").alias("needle_hit")
     )
-    every = needle.unionByName(verbs).unionByName(patterns)
-    return every.groupBy("q_id", "host", "trig_seq").agg(F.max("needle_hit").alias("needle_hit"))
+    return hits.join(t, ["host", "label"]).select("q_id", "host", "trig_seq", "needle_hit")
 
 
 def find_trigger_pages(edges: DataFrame, nodes: DataFrame, pattern: str) -> DataFrame:

@@ -59,6 +59,13 @@ def cut_counted(df: DataFrame, path: str, **sums) -> tuple[DataFrame, dict]:
     return out, {k: v or 0 for k, v in obs.get.items()}
 
 
+def bucketed(df: DataFrame, keys: list[str], n: int, path: str) -> DataFrame:
+    """Write ``df`` in ``n`` buckets of ``keys``, one file each; joins on the keys then need no shuffle of it."""
+    name = "bucketed_" + uuid.uuid4().hex
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 

@@ -38,16 +38,32 @@ def walk(edges, start):
     return path
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 1])
-def test_bfs_is_first_in_first_out(spark, hot):
+@pytest.mark.parametrize("hot, bucket", [(1_000_000, 1_000_000), (1, 1_000_000), (1, 100), (1_000_000, 100)])
+def test_bfs_is_first_in_first_out(spark, hot, bucket):
     graphs = random_graphs(60, 7)
     e = frame(spark, graphs)
     roots = e.select("host", F.lit("n0").alias("root")).distinct()
-    got = {(r["host"], r["node"]): r["path"] for r in G.bfs(e, roots, hot_degree=hot).collect()}
+    got = {(r["host"], r["node"]): r["path"] for r in G.bfs(e, roots, hot_degree=hot, bucket_rows=bucket).collect()}
     want = {(h, n): p for h, es in graphs.items() for n, p in walk(es, "n0").items()}
     assert got == want
 
 
+def test_bucketed_edges_are_not_shuffled(spark, tmp_path):
+    from clickatlas.session import bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = bucketed(frame(spark, random_graphs(40, 2)), ["host", "src"], 4, str(tmp_path / "e"))
+        f = spark.createDataFrame([("g0", "n0", "n0", []), ("g1", "n0", "n1", [])], "host string, root string, node string, path array<bigint>")
+        plan = G.expand_frontier(f, e, None)._jdf.queryExecution().executedPlan().toString()
+        side = plan[:plan.index("FileScan")].rsplit("SortMergeJoin", 1)[1]
+        src = [x for x in plan.splitlines() if "hashpartitioning" in x]
+        # one exchange for the frontier, one for the aggregate; none for the edges
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and len(src) == 2, (src, side)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bfs_stops_at_targets(spark):
     graphs = {"a": [(f"n{i}", f"n{i + 1}") for i in range(12)]}
     e = frame(spark, graphs)
