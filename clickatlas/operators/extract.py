@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import labels, urls
+from ..session import cut
 from .dom import attr, elements, has_ancestor, has_attr, parse_pages
 from .rows import first_by, top_n
 
@@ -577,7 +578,8 @@ def extract_collections(dom: DataFrame) -> DataFrame:
     aria = aria_collections(dom).withColumn("pass", F.lit(0))
     sib = sibling_collections(dom).withColumn("pass", F.lit(1))
     cols = ["page_id", "pass", "coll_pos", "kind", "count", "item_idx", "t", "cells", "level"]
-    both = aria.select(*cols).unionByName(sib.select(*cols))
+    # written once: the heads and the items would otherwise parse the pages again
+    both = cut(aria.select(*cols).unionByName(sib.select(*cols)))
     heads = both.where("item_idx = 1").select("page_id", "pass", "coll_pos")
     kept = top_n(heads, ["page_id"], ["pass", "coll_pos"], K.COLLECTIONS_PER_PAGE, rank="coll_idx")
     return both.join(kept, ["page_id", "pass", "coll_pos"])
