@@ -97,9 +97,9 @@ def _window_rows(window: int, n: int):
         o, late = _later(ids[line], start, hash_) if len(p) else (np.zeros(0, np.int64), np.zeros(0, bool))
         p, hash_, line, start = p[o], hash_[o], line[o], start[o]
         done = runs(line[late], start[late], start[late] + window)
-        first = np.append(True, hash_[1:] != hash_[:-1]) if len(p) else np.zeros(0, bool)
-        hash_, line, start = hash_[first], line[first], start[first]
-        shard = shard_of(rolling_words(w.hash, 1).of(p[first], p[first] + window), n)
+        # rows that share a doc_id can both be first
+        p, hash_, line, start = p[~late], hash_[~late], line[~late], start[~late]
+        shard = shard_of(rolling_words(w.hash, 1).of(p, p + window), n)
         o = np.lexsort((start, line, shard))
         shard, hash_, line, start = shard[o], hash_[o], line[o], start[o]
         # what this block decided by itself travels with its first row
