@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..session import cut_counted, work_dir
 #: Text of one block; a longer document is a block by itself.
 BLOCK_BYTES = 2 << 20
 #: Text whose hashes one shard takes.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Stands for a null doc_id: it comes before all others.
 NO_ID = np.iinfo(np.int64).min
 
@@ -74,7 +75,7 @@ def to_blocks(docs: DataFrame, part=None, size: int = BLOCK_BYTES) -> tuple[Data
                 mine = table.filter(pa.array(parts == p)) if len(np.unique(parts)) > 1 else table
                 mine = mine.select(["doc_id", "text"])
                 lengths = mine["text"].combine_chunks().cast(pa.large_binary()).fill_null(b"")
-                ends = np.cumsum(pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False)) if len(mine) else np.zeros(0, np.int64)
+                ends = np.cumsum(pc.binary_length(lengths).to_numpy(zero_copy_only=False)) if len(mine) else np.zeros(0, np.int64)
                 a = 0
                 while a < len(mine):
                     done = ends[a - 1] if a else 0
@@ -107,7 +108,7 @@ def lists(values: np.ndarray, shard: np.ndarray, n: int, kind: pa.DataType) -> p
 def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All values of a list column, and the row each comes from."""
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = pa.compute.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return c.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(c)), n)
 
 
