@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm, neardup, passages, suffixes
+from . import lm, neardup, passages, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, p, list_slice(w, p, p + 4) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w)),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, word_chars * 100 // n_words AS word_length, n_symbols * 1000 // n_words AS symbols, n_dup_lines * 1000 // n_lines AS dup_lines FROM m WHERE n_words > 0),
+x AS (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS signal, unnest([word_length, symbols, dup_lines]) AS v FROM s),
+b AS (SELECT lang, source, signal, CASE WHEN v < 64 THEN v ELSE greatest(length(bin(v)) - 6, 0) * 32 + (v >> greatest(length(bin(v)) - 6, 0)::INT) END AS bucket FROM x),
+k AS (SELECT 1 AS wide, lang, source, signal, bucket FROM b UNION ALL SELECT 2, lang, NULL, signal, bucket FROM b UNION ALL SELECT 3, NULL, NULL, signal, bucket FROM b),
+c AS (SELECT wide, lang, source, signal, bucket, count(*) AS n FROM k GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY wide, lang, source, signal ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY wide, lang, source, signal) AS docs FROM c),
+e AS (SELECT wide, lang, source, signal, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS b1, min(bucket) FILTER (upto * 4 >= docs * 3) AS b3 FROM u GROUP BY ALL),
+q AS (SELECT wide, lang, source, signal, docs, CASE WHEN b1 < 64 THEN b1 ELSE (b1 - greatest((b1 >> 5) - 1, 0) * 32) << greatest((b1 >> 5) - 1, 0)::INT END AS q1,
+    CASE WHEN b3 < 64 THEN b3 ELSE (b3 - greatest((b3 >> 5) - 1, 0) * 32) << greatest((b3 >> 5) - 1, 0)::INT END AS q3 FROM e),
+f AS (SELECT wide, lang, source, max(docs) AS docs,
+    max(CASE WHEN signal = 'word_length' THEN q1 - greatest((q3 - q1) * 10, 100) END) AS wl_low, max(CASE WHEN signal = 'word_length' THEN q3 + greatest((q3 - q1) * 10, 100) END) AS wl_high,
+    max(CASE WHEN signal = 'symbols' THEN q3 + greatest((q3 - q1) * 6, 100) END) AS sy_high, max(CASE WHEN signal = 'dup_lines' THEN q3 + greatest((q3 - q1) * 6, 400) END) AS dl_high
+    FROM q GROUP BY wide, lang, source),
+h AS (SELECT DISTINCT lang, source FROM s),
+p AS (SELECT h.lang, h.source, CASE WHEN o.docs >= 200 THEN 1 WHEN l.docs >= 200 THEN 2 ELSE 3 END AS wide FROM h
+    LEFT JOIN f o ON o.wide = 1 AND o.lang IS NOT DISTINCT FROM h.lang AND o.source IS NOT DISTINCT FROM h.source LEFT JOIN f l ON l.wide = 2 AND l.lang IS NOT DISTINCT FROM h.lang),
+z AS (SELECT p.lang, p.source, f.wl_low, f.wl_high, f.sy_high, f.dl_high FROM p JOIN f ON f.wide = p.wide AND (p.wide = 3 OR f.lang IS NOT DISTINCT FROM p.lang) AND (p.wide > 1 OR f.source IS NOT DISTINCT FROM p.source)),
+v AS (SELECT m.*, s.word_length < z.wl_low OR s.word_length > z.wl_high AS bad_w, s.symbols > z.sy_high AS bad_s, s.dup_lines > z.dl_high AS bad_d,
+    m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words AS base_failed
+    FROM m LEFT JOIN s USING (doc_id) LEFT JOIN z ON z.lang IS NOT DISTINCT FROM m.lang AND z.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(bad_w, FALSE) AND NOT coalesce(bad_s, FALSE) AND NOT coalesce(bad_d, FALSE) AS kept,
+    concat_ws(',', CASE WHEN bad_w THEN 'word_length' END, CASE WHEN bad_s THEN 'symbols' END, CASE WHEN bad_d THEN 'dup_lines' END) AS failed_rules
+FROM v
+"""
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.judge(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_digests(table(spark, sf_dir, "documents"))
