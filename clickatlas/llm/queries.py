@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, neardup, packing, passages, quality, secrets, suffixes
+from . import chat, decontaminate, lm, neardup, packing, passages, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_chat_formatting")
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(table(spark, sf_dir, "conversations"))
