@@ -161,19 +161,18 @@ def _rest(long: DataFrame, hubs: DataFrame, sets: DataFrame, links: DataFrame, p
     return j.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), seen["n"]
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Words are
     ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z; shingles have ``size`` words,
     and a text of fewer words is one shingle.  Returns one row a document: doc_id,
-    n_shingles, component_id (smallest doc_id reachable, itself included), kept
-    (doc_id = component_id).
+    text_key (a hash of the text), n_shingles, component (an identifier; null
+    without shingles), component_id (smallest doc_id reachable, itself included).
 
     A null, empty or blank text has no shingles and no links.  A null doc_id is
-    passed over when the smallest is chosen: such a row is kept only if its whole
-    component has none.  Repeated rows are copies of each other and share their
-    answer.
+    passed over when the smallest is chosen.  Repeated rows are copies of each
+    other and share their answer.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     all_ = cut(sketches(rows, size))
@@ -202,7 +201,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     label = components(links)
     named = classes.select("node", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    answer = named.join(lowest, "label").select("node", "component_id")
-    out = all_.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
+    answer = named.join(lowest, "label").select("node", "component_id", F.col("label").alias("component"))
+    out = all_.join(answer, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "component", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """:func:`linked` as doc_id, n_shingles, component_id, kept (doc_id = component_id).
+
+    A row without doc_id is kept if its whole component has none.
+    """
+    return linked(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest doc_id (nulls last), then text hash.
+
+    Documents without words are no copies of each other and all stay.  Of rows
+    that repeat the chosen document, one stays.  Keeps all columns.
+    """
+    found = cut(linked(docs, size, percent))
+    # an order in which a missing id comes last
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    grouped = found.where("component is not null")
+    chosen = grouped.groupBy("component").agg(F.min(rank).alias("best"))
+    keys = grouped.select("component", rank.alias("rank")).join(chosen, "component")
+    gone = keys.where("rank <> best").select(F.col("rank.doc_id").alias("gone_id"), F.col("rank.text_key").alias("gone_text")).distinct()
+    gone, seen = cut_counted(gone, work_dir(docs.sparkSession), n=F.lit(1))
+    twice = keys.where("rank = best").groupBy("component").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    side = F.broadcast(gone) if seen["n"] <= BROADCAST_KEYS else gone
+    out = docs.join(side, (text_key == F.col("gone_text")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti")
+    if twice:
+        # rows without words differ from each other by a number, so that none of them goes
+        key = F.struct("doc_id", F.col("text"), F.when(has_words(F.col("text")), F.lit(None)).otherwise(F.monotonically_increasing_id()))
+        out = out.withColumn("_same", key).dropDuplicates(["_same"]).drop("_same")
+    return out
+
+
+def has_words(text) -> F.Column:
+    """Whether a text has a word."""
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -18,7 +18,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEX_LEAST, ASSIGN_LEAST, ACCESS_LEAST = 16, 12, 18
@@ -143,18 +143,29 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan_batches, f"{fields}, secrets {_SPANS}")
 
 
-def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
-    """``text`` with every stretch covered by spans replaced by ``mark``; touching spans become one."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))
-    # spans are ordered by start; one that begins inside what is done only lengthens it
-    def add(acc, s):
-        inside = s["start"] < acc["upto"]
-        gap = F.substring(text, acc["upto"] + 1, F.greatest(s["start"] - acc["upto"], F.lit(0)))
-        more = F.concat(acc["done"], gap, F.lit(mark))
-        return F.struct(F.when(inside, acc["done"]).otherwise(more).alias("done"), F.greatest(acc["upto"], s["end"]).alias("upto"))
+def without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """``text`` with every stretch that spans cover replaced by one mark."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    whole = F.aggregate(spans, start, add, lambda acc: F.concat(acc["done"], F.substring(text, acc["upto"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced by ``mark``; overlapping secrets become one mark.
+
+    All other columns and the rows stay as they are; null texts stay null.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(KINDS)
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            texts = [without(t, scan(t, automaton), mark) if t else t for t in (x.as_py() for x in batch.column(at))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
