@@ -68,6 +68,8 @@ def _matches(w: Words, bench: Suffixes) -> Iterator[tuple[np.ndarray, np.ndarray
         query = _rows(bench.hash, start, size)
         low, high = np.searchsorted(suffix, query, "left"), np.searchsorted(suffix, query, "right")
         found = high - low
+        if not found.any():
+            continue
         which = np.repeat(np.arange(len(query)), found)
         place = at[np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + low[which]]
         yield place, start[which], item[which], size

@@ -98,11 +98,21 @@ def _send(n: int):
 
 def _added(key: np.ndarray, count: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row: the sum over training parts and over the retained part of its key; and the sums by key."""
-    _, inverse = np.unique(key, return_inverse=True)
-    size = int(inverse.max()) + 1 if len(inverse) else 0
-    by = [np.bincount(inverse, weights=count * (part == p), minlength=size).astype(np.int64) for p in (RETAINED, DELETED)]
-    total = by[0] + by[1]
-    return total[inverse], by[0][inverse], np.stack([total, by[0]])
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+    o = np.argsort(key)
+    key = key[o]
+    new = np.append(True, key[1:] != key[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+    del key, new
+    count, part = count[o], part[o]
+    sums = np.stack([np.add.reduceat(np.where(keep, count, 0), first, dtype=np.int64) for keep in (part != HELD_OUT, part == RETAINED)])
+    out = []
+    for s in sums:
+        back = np.empty(len(o), np.int64)
+        back[o] = s[group]
+        out.append(back)
+    return *out, sums
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -210,7 +220,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     sums = cut(each_block(blocks.select("block", "part", "payload"), _send(shards), _SENT).groupBy("shard").applyInArrow(_sum, _SUMS))
     got = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "v_kept", "n_kept")]).first()
     kept = ("word_kept", "pair_kept")
-    cells = each_block(answered(blocks.where(F.col("part") == DELETED).select("block", "payload"), sums.where(F.size("word_kept") > 0).select("block", "shard", *kept)),
+    cells = each_block(answered(blocks.where(F.col("part") == DELETED).select("block", "payload"), sums.where((F.size("word_kept") > 0) | (F.size("pair_kept") > 0)).select("block", "shard", *kept)),
                        _cells(shards, got["n_kept"], got["v_kept"]), "bucket bigint, q2 bigint, q1 bigint, n bigint")
     # bounded by the steps of a ratio of doubles, whatever the corpus
     table = cells.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas().to_numpy()
