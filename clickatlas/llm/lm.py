@@ -31,7 +31,7 @@ from .words import U64, Words, mix
 FOLDS = 10
 RETAINED, DELETED, HELD_OUT = 0, 1, 2
 #: Larger blocks hold a pair less often twice.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Ratios of probabilities are gathered for EM in steps of 1 / STEPS octave.
 STEPS = 8
 MAX_BUCKET = 40
@@ -216,7 +216,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     part = F.when(fold == 0, HELD_OUT).when(fold == 1, DELETED).otherwise(RETAINED)
     blocks, shards = to_blocks(docs, part, block_bytes)
-    shards *= 2  # tokens and pairs make more hashes than other operators send
+    shards *= 4  # tokens and pairs make more hashes than other operators send
     sums = cut(each_block(blocks.select("block", "part", "payload"), _send(shards), _SENT).groupBy("shard").applyInArrow(_sum, _SUMS))
     got = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "v_kept", "n_kept")]).first()
     kept = ("word_kept", "pair_kept")
