@@ -45,10 +45,7 @@ def _ledger(spark, sf):
 
 
 def _latest(spark, sf):
-    # the record written last wins: order by position alone
-    return LG.latest(_ledger(spark, sf).withColumn("real", F.col("seen_at")).withColumn("seen_at", F.format_string("%020d|%s", "pos", "real"))).withColumn(
-        "seen_at", F.split_part("seen_at", F.lit("|"), F.lit(2))
-    )
+    return LG.latest(_ledger(spark, sf))
 
 
 @query("hashed_files", f"WITH {_F} SELECT file_seq, sha256, size::BIGINT AS size FROM f")
@@ -101,9 +98,9 @@ def first_seen_files(spark, sf):
     return T.first_seen(_files(spark, sf), ["file_seq"]).select("file_seq", "status", "first_file")
 
 
-@query("newest_artifacts", f"WITH {_F}, {_L} SELECT sha256, seen_at FROM led WHERE scope = 'en'")
+@query("newest_artifacts", f"WITH {_F}, {_L} SELECT scope, sha256, seen_at FROM led")
 def newest_artifacts(spark, sf):
-    return A.newest_first(_latest(spark, sf).where("scope = 'en'"), "seen_at", "sha256").select("sha256", "seen_at")
+    return A.newest_first(_latest(spark, sf), "seen_at", "sha256").select("scope", "sha256", "seen_at")
 
 
 # --- transcripts ---------------------------------------------------------------------------
@@ -345,14 +342,15 @@ def run_stream(spark, sf):
 @query("ledger_stream", f"WITH {_F} SELECT scope, sha256, arg_min(name, file_seq) AS name FROM f GROUP BY 1, 2")
 def ledger_stream(spark, sf):
     base = work_dir(spark)
-    # the later half of the file table arrives after a restart and meets the first half's ledger
+    # three parts of the table: two runs of one stream, then another stream with a checkpoint of its own
     f = _files(spark, sf).select("scope", "file_seq", "sha256", "name", "size", "source")
-    middle = f.agg(F.max("file_seq")).first()[0] // 2
-    for half in (F.col("file_seq") <= middle, F.col("file_seq") > middle):
-        f.where(half).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(f.schema).parquet(f"{base}/in")
-        ST.ledger_stream(stream, f"{base}/ledger", "/store", "2026-01-01T00:00:00Z", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/ledger").select("scope", "sha256", "name")
+    last = f.agg(F.max("file_seq")).first()[0]
+    parts = [("a", F.col("file_seq") <= last // 3), ("a", F.col("file_seq").between(last // 3 + 1, 2 * last // 3)), ("b", F.col("file_seq") > 2 * last // 3)]
+    for name, part in parts:
+        f.where(part).write.mode("append").parquet(f"{base}/in_{name}")
+        stream = spark.readStream.schema(f.schema).parquet(f"{base}/in_{name}")
+        ST.ledger_stream(stream, f"{base}/ledger", "/store", "2026-01-01T00:00:00Z", f"{base}/ckpt_{name}")
+    return ST.stored_ledger(spark, f"{base}/ledger").select("scope", "sha256", "name")
 
 
 @query("merge_stream", """SELECT 'shop' || n_nationkey || '.example.com' AS host, 2 * count(c_custkey) AS live_hits, count(c_custkey) AS live_triggers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")

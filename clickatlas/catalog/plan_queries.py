@@ -272,9 +272,16 @@ def flow_targets(spark, sf):
     return U.goal_targets(U.flow_steps(_flows(spark, sf))).select("flow_id", "path", "goal", "match", big("index"))
 
 
-@query("flow_steps", "SELECT s_suppkey AS flow_id, unnest(['steps[0]', 'steps[1]', 'steps[2]', 'steps[2].body[0]', 'steps[2].body[1]', 'steps[2].body[1].body[0]', 'steps[3]']) AS path, unnest(['goto', 'goto', 'for_each', 'do', 'paginate', 'do', 'log']) AS op FROM supplier")
+@query("flow_steps", """WITH a AS (SELECT s_suppkey AS flow_id, unnest(['steps[0]', 'steps[1]', 'steps[2]', 'steps[2].body[0]', 'steps[2].body[1]', 'steps[2].body[1].body[0]', 'steps[3]']) AS path, unnest(['goto', 'goto', 'for_each', 'do', 'paginate', 'do', 'log']) AS op FROM supplier),
+d AS (SELECT s_suppkey AS flow_id, unnest(range(0, 1 + s_suppkey % 9)) AS k, s_suppkey % 9 AS depth FROM supplier)
+SELECT * FROM a UNION ALL SELECT -1 - flow_id, 'steps[0]' || repeat('.body[0]', k::INT), CASE WHEN k = depth THEN 'do' ELSE 'for_each' END FROM d""")
 def flow_steps(spark, sf):
-    return U.flow_steps(_flows(spark, sf)).select("flow_id", "path", "op")
+    # besides, a flow of one step inside loops, up to nine levels
+    s = D.table(spark, sf, "supplier")
+    depth = (F.col("s_suppkey") % 9).cast("int")
+    deep = F.concat(F.lit('{"steps":['), F.repeat(F.lit('{"op":"for_each","match":"a","body":['), depth), F.lit('{"op":"do","match":"b"}'), F.repeat(F.lit("]}"), depth), F.lit("]}"))
+    nested = s.select((-1 - F.col("s_suppkey")).alias("flow_id"), D.host_of("s_nationkey").alias("host"), deep.alias("doc"))
+    return U.flow_steps(_flows(spark, sf).unionByName(nested)).select("flow_id", "path", "op")
 
 
 @query("goal_warnings")

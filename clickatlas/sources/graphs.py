@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,40 +137,105 @@ def read_link_graphs(spark: SparkSession, path: str) -> LinkGraphs:
     return LinkGraphs(nodes, edges, meta, errors)
 
 
+_TABLES = {"states": X.STATES, "edges": X.EDGES, "triggers": X.TRIGGERS, "meta": X.META}
+_POINTER = X.struct(host=X.S, version=X.S)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """(host, version) table that is in force, and its number."""
+    fs, p = _fs(spark, f"{path}/current")
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()] if fs.exists(p) else []
+    if not numbers:
+        return None, 0
+    return spark.read.schema(_POINTER).parquet(f"{path}/current/{max(numbers)}"), max(numbers)
+
+
+def current_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(host, version) of every stored host."""
+    now, _ = _pointer(spark, path)
+    return spark.createDataFrame([], _POINTER) if now is None else now
+
+
 def read_tables(spark: SparkSession, path: str) -> Graphs:
-    """The columnar layout of :func:`write_graphs`; ``host`` is a partition column."""
+    """The columnar layout of :func:`write_graphs`, as its pointer has it.
+
+    Version and host are folders; the join with the pointer prunes those that are
+    not in force.
+    """
+    now = current_versions(spark, path)
+
     def table(name, schema):
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+        fs, p = _fs(spark, f"{path}/{name}")
+        if not fs.exists(p):
+            return spark.createDataFrame([], schema)
+        rows = spark.read.schema(X.StructType([*schema.fields, X.StructField("version", X.S)])).parquet(f"{path}/{name}")
+        return rows.join(now, ["host", "version"], "left_semi").select(*schema.names)
 
     errors = spark.createDataFrame([], X.struct(host=X.S, status=X.S, error=X.S))
-    return Graphs(
-        table("states", X.STATES), table("edges", X.EDGES), table("triggers", X.TRIGGERS),
-        table("meta", X.META), errors,
-    )
+    return Graphs(*(table(n, _TABLES[n]) for n in ("states", "edges", "triggers", "meta")), errors)
 
 
-def write_graphs(graphs: Graphs, path: str, hosts_per_task_salt: int = 16) -> None:
-    """Replace the graphs of the hosts present, and of no other host.
+def write_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000, version: str | None = None) -> None:
+    """Replace the graphs of the hosts present, as a whole, and of no other host.
 
-    Dynamic partition overwrite swaps whole host folders at commit, so a reader
-    never meets half a host.  A salt next to the host spreads a host that holds
-    much of the data over several writers.
+    The tables are written as a new version next to the old ones; then one rename
+    puts a new pointer (host, version) in force.  A reader sees all tables of a
+    host before or after it, never between, and a table without a row for a host
+    is empty for it.  The tables may be made from what is stored at ``path``.
+
+    Hosts meet in one file until they hold ``rows_per_file`` rows.
     """
-    for name in ("meta", "states", "edges", "triggers"):
+    spark = graphs.meta.sparkSession
+    version = version or uuid.uuid4().hex
+    for name in _TABLES:
         df = getattr(graphs, name)
-        seq = next((c for c in df.columns if c.endswith("_seq")), None)
-        salt = F.pmod(F.xxhash64(seq), F.lit(hosts_per_task_salt)) if seq else F.lit(0)
-        (
-            df.repartition(F.col("host"), salt)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("host")
-            .parquet(f"{path}/{name}")
-        )
+        # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
+        rows = df.withColumn("version", F.lit(version)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
+        rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
+    new = None
+    for name in _TABLES:
+        mine = spark.read.schema("host string, version string").parquet(f"{path}/{name}").where(F.col("version") == version).select("host")
+        new = mine if new is None else new.unionByName(mine)
+    new = new.distinct().withColumn("version", F.lit(version))
+    old, number = _pointer(spark, path)
+    if old is not None:
+        new = old.join(new.select("host"), "host", "left_anti").unionByName(new)
+    staged = f"{path}/current/.{version}"
+    new.write.mode("overwrite").parquet(staged)
+    fs, p = _fs(spark, staged)
+    if not fs.rename(p, _fs(spark, f"{path}/current/{number + 1}")[1]):
+        raise RuntimeError(f"another writer replaced the pointer of {path}")
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete tables that no host points at any more, and old pointers; for a time without readers.
+
+    The driver sees version names only, as many as there were writes since the
+    last call.
+    """
+    now, number = _pointer(spark, path)
+    if now is None:
+        return
+    used = {r[0] for r in now.select("version").distinct().collect()}
+    for name in _TABLES:
+        fs, p = _fs(spark, f"{path}/{name}")
+        for f in fs.listStatus(p):
+            folder = f.getPath().getName()
+            if folder.startswith("version=") and folder.removeprefix("version=") not in used:
+                fs.delete(f.getPath(), True)
+    fs, p = _fs(spark, f"{path}/current")
+    for f in fs.listStatus(p):
+        if f.getPath().getName() != str(number):
+            fs.delete(f.getPath(), True)
 
 
 def to_documents(graphs: Graphs) -> DataFrame:
-    """One JSON document per host, lists in sequence order.
+    """One JSON document per host, lists in sequence order, with all that the tables hold.
 
     A document is one cell by definition of the format; the columnar layout of
     :func:`write_graphs` has no such bound and is what a large graph should use.
@@ -182,8 +248,11 @@ def to_documents(graphs: Graphs) -> DataFrame:
             ).alias(name)
         )
 
+    def stamp(c):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
     c = F.col
-    states = listed(graphs.states, "state_seq", [c("id"), c("url"), c("label"), c("depth"), c("collections")], "states")
+    states = listed(graphs.states, "state_seq", [c("id"), c("url"), c("label"), c("depth"), c("controls"), c("collections")], "states")
     edges = listed(
         graphs.edges, "edge_seq",
         [c("src").alias("from"), c("dst").alias("to"), c("label"), c("selector"), c("kind")], "edges",
@@ -191,11 +260,15 @@ def to_documents(graphs: Graphs) -> DataFrame:
     triggers = listed(
         graphs.triggers, "trig_seq",
         [c("label"), c("state_id").alias("state"), c("path"), c("form"), c("opens_at").alias("opensAt"),
-         c("kind"), c("selector"), c("href"), c("accept")],
+         c("kind"), c("selector"), c("href"), c("accept"), stamp("cached_at").alias("cachedAt"),
+         c("cache_source").alias("cacheSource"), c("stale").alias("staleWarning")],
         "triggers",
     )
-    doc = states.join(edges, "host", "full").join(triggers, "host", "full")
-    return doc.select("host", F.to_json(F.struct("states", "edges", "triggers")).alias("document"))
+    meta = graphs.meta.groupBy("host").agg(F.any_value(F.struct(
+        c("host"), c("start"), c("pages"), c("complete"), c("stopped"), stamp("last_live_update").alias("lastLiveUpdate"), c("live_hits").alias("liveHits"))).alias("meta"))
+    doc = states.join(edges, "host", "full").join(triggers, "host", "full").join(meta, "host", "full")
+    none = lambda name: F.coalesce(name, F.expr("array()").cast(dict(states.dtypes + edges.dtypes + triggers.dtypes)[name]))
+    return doc.select("host", F.to_json(F.struct("meta", *[none(n).alias(n) for n in ("states", "edges", "triggers")])).alias("document"))
 
 
 def hosts(meta: DataFrame) -> DataFrame:

@@ -11,20 +11,25 @@ from .. import schema as X
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Last record per (scope, sha256); blank and torn lines are skipped.
 
-    ``path`` holds ``scope=<name>/`` folders of JSON lines.
+    ``path`` holds ``scope=<name>/`` folders of JSON lines.  Files follow each
+    other by the time they were written, then by name; within a file the line
+    decides.
     """
     raw = (
         spark.read.schema(X.LEDGER)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("basePath", path)
         .json(f"{path}/scope=*")
-        .withColumn("pos", F.monotonically_increasing_id())
+        .withColumn("pos", F.struct(
+            F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ))
     )
     return latest(raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
 
 
 def latest(records: DataFrame) -> DataFrame:
-    """One record per (scope, sha256), the one written last.
+    """One record per (scope, sha256), the one written last: the greatest ``pos``.
 
     A partial aggregate runs before the shuffle, so a hash that fills a third of
     the ledger leaves each task as a single row.
@@ -33,7 +38,7 @@ def latest(records: DataFrame) -> DataFrame:
     return (
         records.where(F.coalesce("sha256", F.lit("")) != "")
         .groupBy("scope", "sha256")
-        .agg(F.max_by(rec, F.struct("seen_at", "pos")).alias("r"))
+        .agg(F.max_by(rec, "pos").alias("r"))
         .select("scope", "sha256", "r.*")
     )
 
@@ -49,10 +54,11 @@ def append_ledger(accepted: DataFrame, path: str) -> None:
     )
 
 
-def extension(name) -> "F.Column":
-    """Last extension of a file name with its dot, at most 12 characters."""
+def extension(name, chars: int | None = 12) -> "F.Column":
+    """Last extension of a file name with its dot, of at most ``chars`` characters."""
     base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)$", 1)
-    return F.substring(F.regexp_extract(base, r"^\.*[^.].*?(\.[^.]*)$", 1), 1, 12)
+    ext = F.regexp_extract(base, r"^\.*[^.].*?(\.[^.]*)$", 1)
+    return F.substring(ext, 1, chars) if chars else ext
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,21 +1,26 @@
 """Structured Streaming jobs over run logs, crawl logs and live results.
 
-The stores are the state: each micro-batch is joined with the stored table and
-the table is extended or replaced, so no operator keeps unbounded state and a
-restart continues from the stream's checkpoint.
+The stores are the state: each micro-batch is joined with the stored table, which
+is extended or gets a new version, so a restart continues from the stream's
+checkpoint and a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.artifacts import accept_artifacts
 from ..plans.merge import merge_live
-from ..session import work_dir
 from ..sources.frames import parse_frames, parse_progress
-from ..sources.graphs import read_tables, write_graphs
+from ..sources.graphs import current_versions, read_tables, write_graphs
+
+
+#: Keys of a batch are broadcast up to this many, some 50 MB; beyond that they are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def checkpointed(writer, path: str):
@@ -61,47 +66,67 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-_LEDGER = "scope string, sha256 string, name string, path string, size bigint, source string, seen_at string, batch bigint"
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of a stream that its restarts share: Spark keeps it in the checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+_LEDGER = "scope string, sha256 string, name string, path string, size bigint, source string, seen_at string, stream string, batch bigint"
+
+
+def stored_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """Rows of all streams that ever wrote the ledger."""
+    return spark.read.schema(_LEDGER).parquet(ledger_path) if _exists(spark, ledger_path) else _empty(spark, _LEDGER)
 
 
 def ledger_stream(files: DataFrame, ledger_path: str, files_dir: str, now: str, checkpoint: str) -> None:
-    """Admit a stream of files against the stored ledger.
+    """Admit a stream of files against the stored ledger, which lasts over streams.
 
-    A replayed batch overwrites its own ``batch`` folder and ignores it on
-    reading, so a batch that ran twice is admitted once.
+    Rows lie in a folder by stream and batch.  A batch that runs again overwrites
+    its own folder and passes it over on reading, so it is admitted once; another
+    stream, with a checkpoint of its own, has folders of its own.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _exists(spark, ledger_path):
-            ledger = spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("batch") != batch_id)
-        else:
-            ledger = _empty(spark, _LEDGER)
-        got = accept_artifacts(batch, ledger, files_dir, now)
-        (
-            got.where("status = 'new'")
-            .select("scope", "sha256", "name", "path", "size", "source", "seen_at", F.lit(batch_id).cast("bigint").alias("batch"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger_path)
-        )
+        mine = stream_id(spark, checkpoint)
+        ledger = stored_ledger(spark, ledger_path).where((F.col("stream") != mine) | (F.col("batch") != batch_id))
+        batch = batch.persist()
+        try:
+            # only the ledger rows of the batch's own files are shuffled
+            keys = batch.select("scope", "sha256").distinct()
+            few = keys.count() <= BROADCAST_KEYS
+            got = accept_artifacts(batch, ledger.join(F.broadcast(keys) if few else keys, ["scope", "sha256"], "left_semi"), files_dir, now)
+            (
+                got.where("status = 'new'")
+                .select("scope", "sha256", "name", "path", "size", "source", "seen_at", F.lit(mine).alias("stream"), F.lit(batch_id).cast("bigint").alias("batch"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(ledger_path)
+            )
+        finally:
+            batch.unpersist()
 
     run_to_end(checkpointed(files.writeStream.foreachBatch(step), checkpoint).start())
 
 
 def merge_stream(live: DataFrame, graphs_path: str, now: str, checkpoint: str) -> None:
-    """Fold a stream of live results into stored graphs, host folder by host folder."""
+    """Fold a stream of live results into stored graphs; each batch comes into force at once.
+
+    The hosts of a batch get a version named by stream and batch, so a batch that
+    runs again finds its hosts merged and leaves them.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        version = f"{stream_id(spark, checkpoint)}-{batch_id}"
+        if current_versions(spark, graphs_path).where(F.col("version") == version).limit(1).count():
+            return
         batch = batch.persist()
         try:
             g = read_tables(spark, graphs_path)
             # the hosts of the batch prune the stored partitions
             hosts = batch.select("host").distinct()
-            part = g._replace(**{n: getattr(g, n).join(F.broadcast(hosts) if hosts.count() < 10_000 else hosts, "host", "left_semi")
+            few = hosts.count() <= BROADCAST_KEYS
+            part = g._replace(**{n: getattr(g, n).join(F.broadcast(hosts) if few else hosts, "host", "left_semi")
                                  for n in ("states", "edges", "triggers", "meta")})
-            merged = merge_live(part, batch, now)
-            staged = work_dir(spark)
-            write_graphs(merged, staged)
-            # the new tables are complete before the first old folder is replaced
-            write_graphs(read_tables(spark, staged), graphs_path)
+            write_graphs(merge_live(part, batch, now), graphs_path, version=version)
         finally:
             batch.unpersist()
 
