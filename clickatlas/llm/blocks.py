@@ -29,6 +29,10 @@ SHARD_BYTES = 32 << 20
 #: Stands for a null doc_id: it comes before all others.
 NO_ID = np.iinfo(np.int64).min
 
+#: Rows hold a megabyte and more here, so the default of 64 MB an Arrow batch would cost every task several times that.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 BLOCK_SCHEMA = "block bigint, part int, n bigint, bytes bigint, payload binary"
 
 
@@ -51,8 +55,12 @@ def doc_ids(table: pa.Table) -> np.ndarray:
 def to_blocks(docs: DataFrame, part=None, size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """Write ``doc_id`` and ``text`` as blocks; documents of different ``part`` never share one.
 
-    Returns the table and the number of shards for its size.
+    Returns the table and the number of shards for its size.  Lowers the session's
+    Arrow batches to ``BATCH_BYTES`` where they are larger.
     """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH_CONF) != str(BATCH_BYTES):
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         held: dict[int, list[pa.Table]] = {}
