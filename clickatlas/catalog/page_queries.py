@@ -168,44 +168,102 @@ def representative_rows(spark, sf):
     return R.representative_rows(c, 1).select("page_id", "section", "link_seq")
 
 
-# a crawl over the corpus as one site: every page links to the pages of the next ids of its language
-CRAWL_LINKS = """cp AS (SELECT page_id, 'https://one.example.com/' || split_part(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/', 1) || '/' || page_id AS u, (SELECT count(*) FROM pages) AS n FROM pages),
-cl AS (SELECT a.u AS page_url, b.u AS href, k AS link_seq FROM cp a, (SELECT unnest([1, 2, 3, 4, 5]) AS k) JOIN cp b ON b.page_id = (a.page_id * 3 + k) % a.n)"""
+# --- crawls: every page links to the pages of five other ids; a site per language, or one site ---------
 
-
-def _crawl_controls(spark, sf):
+def _crawl_controls(spark, sf, one_site=True):
     p = _pages(spark, sf)
     n = p.count()
     lang = F.try_element_at(urls.segments("url"), F.lit(1))
-    one = p.select("page_id", F.concat(F.lit("https://one.example.com/"), lang, F.lit("/"), F.col("page_id").cast("string")).alias("u"))
+    where = F.lit("https://one.example.com/") if one_site else F.concat(F.lit("https://"), lang, F.lit(".example.com/"))
+    section = lang if one_site else F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string"))
+    one = p.select("page_id", F.concat(where, section, F.lit("/"), F.col("page_id").cast("string")).alias("u"))
     out = one.select("page_id", F.col("u").alias("page_url"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("link_seq"))
     out = out.withColumn("to_id", (F.col("page_id") * 3 + F.col("link_seq")) % F.lit(n))
     to = one.select(F.col("page_id").alias("to_id"), F.col("u").alias("href"))
     controls = out.join(to, "to_id").select(
         "page_id", "page_url", "link_seq", "href", F.lit("go").alias("text"), F.lit(False).alias("bulk")
     )
-    seeds = one.where("page_id = 0").select(F.lit("one.example.com").alias("host"), F.col("u").alias("url"))
-    return seeds, controls
-
-
-@query("frontier_crawl_states")
+    host = urls.host_key("u")
+    seeds = one.withColumn("host", host).groupBy("host").agg(F.min_by("u", "page_id").alias("url"))
+    if one_site:
+        return seeds, controls, None
+    # every fourth page embeds the page after the next
+    frames = one.where("page_id % 4 = 0").select("page_id", F.col("u").alias("page_url"), F.lit(1).alias("link_seq"), ((F.col("page_id") + 2) % n).alias("to_id")).join(to, "to_id")
+    return seeds, controls, frames.select("page_id", "page_url", "link_seq", F.col("href").alias("src"))
+
+
+def _crawl_sql(one_site, max_states, depth, per_section, list_min, budget):
+    """The crawl unrolled, a set of clauses a level: found, chosen, known, claimed, cut, numbered."""
+    lang = "split_part(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/', 1)"
+    u = f"'https://one.example.com/' || {lang} || '/' || page_id" if one_site else f"'https://' || {lang} || '.example.com/s' || page_id % 3 || '/' || page_id"
+    frames = "" if one_site else " UNION ALL SELECT a.u, b.u, 1, 1 FROM cp a JOIN cp b ON b.page_id = (a.page_id + 2) % a.n WHERE a.page_id % 4 = 0"
+    out = [f"""cp AS MATERIALIZED (SELECT page_id, {u} AS u, (SELECT count(*) FROM pages) AS n FROM pages),
+cl AS MATERIALIZED (SELECT *, split_part(b, '/', 3) AS to_host, split_part(b, '/', 4) AS section FROM (
+  SELECT a.u AS a, b.u AS b, 0 AS fr, k AS seq FROM cp a, (SELECT unnest([1, 2, 3, 4, 5]) AS k) JOIN cp b ON b.page_id = (a.page_id * 3 + k) % a.n{frames})),
+l0 AS (SELECT split_part(u, '/', 3) AS host, arg_min(u, page_id) AS key, 0 AS depth, NULL AS kind, NULL AS via, 0 AS nr FROM cp GROUP BY 1)"""]
+    for k in range(depth):
+        states = " UNION ALL ".join(f"SELECT host, key, nr FROM l{i}" for i in range(k + 1))
+        claimed = "".join(f" AND NOT EXISTS (SELECT 1 FROM f{i} o WHERE o.host = x.host AND o.b = x.b)" for i in range(k))
+        spent = " + ".join(["0", *[f"coalesce((SELECT count(*) FROM ev{i} e WHERE e.host = m.host), 0)" for i in range(k)]])
+        before = " + ".join(["0", *[f"(SELECT count(*) FROM t{i} o WHERE o.host = x.host AND o.section = x.section)" for i in range(k)]])
+        out.append(f"""s{k} AS MATERIALIZED ({states}),
+m{k} AS MATERIALIZED (SELECT l.host, l.nr AS p, cl.*, cl.to_host <> l.host AS away FROM l{k} l JOIN cl ON cl.a = l.key),
+li{k} AS (SELECT host, p, section FROM m{k} WHERE fr = 0 AND NOT away GROUP BY ALL HAVING count(*) >= {list_min}),
+cv{k} AS MATERIALIZED (SELECT * FROM m{k} m WHERE away AND (fr = 0 OR NOT EXISTS (SELECT 1 FROM m{k} o WHERE o.host = m.host AND o.p = m.p AND o.fr = 0 AND o.b = m.b AND o.b <> o.a))),
+ev{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY p, fr, seq) AS rn FROM cv{k}) m WHERE rn + {spent} <= {budget}),
+c{k} AS (SELECT host, p, a, b, fr, seq, section, away FROM m{k} WHERE NOT away UNION ALL SELECT host, p, a, b, fr, seq, section, away FROM ev{k}),
+d{k} AS MATERIALIZED (SELECT c.*, li.section IS NOT NULL AND NOT away AS listed FROM c{k} c LEFT JOIN li{k} li USING (host, p, section) WHERE fr = 0 AND a <> b QUALIFY row_number() OVER (PARTITION BY host, p, b ORDER BY seq) = 1),
+w{k} AS MATERIALIZED (SELECT host, p, a, b, fr, seq, section, CASE WHEN away THEN 'external' WHEN listed THEN 'row' ELSE 'link' END AS kind FROM d{k} QUALIFY NOT listed OR row_number() OVER (PARTITION BY host, p, section, listed ORDER BY seq) <= 1),
+n{k} AS MATERIALIZED (SELECT * FROM w{k} UNION ALL SELECT host, p, a, b, fr, seq, section, 'iframe' FROM c{k} c WHERE fr = 1 AND NOT EXISTS (SELECT 1 FROM w{k} o WHERE o.host = c.host AND o.p = c.p AND o.b = c.b)),
+e{k} AS (SELECT n.host, n.a, n.b, n.kind FROM n{k} n JOIN s{k} s ON s.host = n.host AND s.key = n.b AND s.nr <= n.p),
+f{k} AS MATERIALIZED (SELECT * FROM n{k} x WHERE NOT EXISTS (SELECT 1 FROM s{k} s WHERE s.host = x.host AND s.key = x.b){claimed} QUALIFY row_number() OVER (PARTITION BY host, b ORDER BY p, fr, seq) = 1),
+t{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, section ORDER BY p, fr, seq) AS rn FROM f{k}) x WHERE rn + {before} <= {per_section}),
+q{k} AS MATERIALIZED (SELECT host, b AS key, {k + 1} AS depth, kind, a AS via, (SELECT count(*) FROM s{k} s WHERE s.host = t.host) + row_number() OVER (PARTITION BY host ORDER BY CASE kind WHEN 'row' THEN 2 ELSE 1 END, p, fr, seq) - 1 AS nr FROM t{k} t),
+l{k + 1} AS MATERIALIZED (SELECT * FROM q{k} WHERE nr < {max_states})""")
+    every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(depth + 1))
+    back = " UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(depth))
+    left = " + ".join(f"(SELECT count(*) FROM q{i} q WHERE q.host = l0.host AND nr >= {max_states})" for i in range(depth))
+    head = "WITH " + ",\n".join(out)
+    return {
+        "states": f"{head} SELECT host, nr::BIGINT AS state_seq, key, depth::BIGINT AS depth, kind FROM ({every})",
+        "edges": f"{head} SELECT host, via AS from_key, key AS to_key, kind FROM ({every}) WHERE via IS NOT NULL UNION ALL SELECT * FROM ({back})",
+        "stop": f"{head}, z AS (SELECT host, (SELECT count(*) FROM ({every}) x WHERE x.host = l0.host) AS states, ({left})::BIGINT AS queued FROM l0) "
+                f"SELECT host, states, queued, CASE WHEN queued = 0 THEN 'frontier-exhausted' ELSE 'hit-max-states({max_states})' END AS stopped FROM z",
+    }
+
+
+_ONE = dict(max_states=500, max_depth=6, max_per_section=40, data_list_min=4)
+_ONE_SQL = _crawl_sql(True, 500, 6, 40, 4, 0)
+_SITES = dict(max_states=40, max_depth=5, max_per_section=12, data_list_min=3, cross_host=True, max_cross_host=25)
+_SITES_SQL = _crawl_sql(False, 40, 5, 12, 3, 25)
+
+
+@query("frontier_crawl_states", _ONE_SQL["states"])
 def frontier_crawl_states(spark, sf):
-    seeds, controls = _crawl_controls(spark, sf)
-    states, _, _ = R.frontier_expand(seeds, controls, data_list_min=4, max_per_section=40, max_depth=6)
-    return states.select("host", "state_seq", "key", "depth", "kind")
+    seeds, controls, _ = _crawl_controls(spark, sf)
+    states, _, _ = R.frontier_expand(seeds, controls, **_ONE)
+    return states.select("host", big("state_seq"), "key", big("depth"), "kind")
 
 
-@query("frontier_crawl_edges")
+@query("frontier_crawl_edges", _ONE_SQL["edges"])
 def frontier_crawl_edges(spark, sf):
-    seeds, controls = _crawl_controls(spark, sf)
-    _, edges, _ = R.frontier_expand(seeds, controls, data_list_min=4, max_per_section=40, max_depth=6, max_states=100)
-    return edges.select("host", "from_key", "to_key", "label", "kind")
+    seeds, controls, _ = _crawl_controls(spark, sf)
+    _, edges, _ = R.frontier_expand(seeds, controls, **_ONE)
+    return edges.select("host", "from_key", "to_key", "kind")
+
+
+@query("frontier_crawl_sites", _SITES_SQL["states"])
+def frontier_crawl_sites(spark, sf):
+    seeds, controls, frames = _crawl_controls(spark, sf, one_site=False)
+    states, _, _ = R.frontier_expand(seeds, controls, frames=frames, **_SITES)
+    return states.select("host", big("state_seq"), "key", big("depth"), "kind")
 
 
-@query("frontier_crawl_stop")
+@query("frontier_crawl_stop", _SITES_SQL["stop"])
 def frontier_crawl_stop(spark, sf):
-    seeds, controls = _crawl_controls(spark, sf)
-    return R.frontier_expand(seeds, controls, data_list_min=99, max_per_section=10000, max_depth=50, max_states=120)[2]
+    seeds, controls, frames = _crawl_controls(spark, sf, one_site=False)
+    _, _, reasons = R.frontier_expand(seeds, controls, frames=frames, **_SITES)
+    return reasons.select("host", "states", "queued", "stopped")
 
 
 # --- pages rendered from the part table ------------------------------------------------------

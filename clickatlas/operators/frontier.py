@@ -83,7 +83,9 @@ def page_children(controls: DataFrame, data_list_min: int = K.DATA_LIST_MIN, row
 
 
 def frontier_order(frontier: DataFrame) -> DataFrame:
-    return frontier.orderBy("host", "depth", "tier", "found_seq")
+    """``frontier`` with ``place`` from 1: the order in which each host's entries are taken."""
+    w = Window.partitionBy("host").orderBy("depth", "tier", "found_seq")
+    return frontier.withColumn("place", F.row_number().over(w))
 
 
 def stop_reason(states, queued, max_states: int = K.MAX_STATES, visits=None, max_visits: int = K.MAX_VISITS):
@@ -97,6 +99,68 @@ def stop_reason(states, queued, max_states: int = K.MAX_STATES, visits=None, max
     )
 
 
+def crawl_links(controls: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Links and frames of stored pages as a crawl meets them, before any choice.
+
+    ``controls`` is (page_id, page_url, link_seq, href, text, bulk), ``frames``
+    (page_id, page_url, link_seq, src); frames come after all controls of their
+    page.  Of the pages stored under one identity the first answers.
+    """
+    u = urls.drop_fragment("href")
+    skip = F.col("bulk") | F.coalesce("text", F.lit("")).rlike(K.SKIP_NAV)
+    links = controls.select("page_id", "page_url", F.lit(0).alias("frame"), F.col("link_seq").cast("bigint").alias("seq"), u.alias("url"), F.coalesce(F.nullif(F.col("text"), F.lit("")), u).alias("label"), skip.alias("skip"))
+    if frames is not None:
+        v = urls.drop_fragment("src")
+        links = links.unionByName(frames.select(
+            "page_id", "page_url", F.lit(1).alias("frame"), F.col("link_seq").cast("bigint").alias("seq"), v.alias("url"), urls.host_key(v).alias("label"), F.lit(False).alias("skip")))
+    links = links.where(F.col("url").startswith("http")).select(
+        urls.norm_state_url("page_url").alias("from_key"), "page_id", "frame", "seq", "url", "label", F.coalesce("skip", F.lit(False)).alias("skip"),
+        urls.norm_state_url("url").alias("key"), urls.host_key("url").alias("to_host"), urls.section_key("url").alias("section"),
+        (urls.rtrim_slash(F.col("url")) == urls.rtrim_slash(urls.drop_fragment("page_url"))).alias("own"),
+    )
+    owner = links.groupBy("from_key").agg(F.min("page_id").alias("page_id"))
+    return links.join(owner, ["from_key", "page_id"]).drop("page_id")
+
+
+def level_children(found: DataFrame, data_list_min: int, rows_per_list: int, used: DataFrame | None = None, max_cross_host: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Children of a level's states, and the cross-host links spent by now.
+
+    ``found`` has the :func:`crawl_links` of each state with (host, parent_seq,
+    start_host).  A link leaves the crawl's site if its host is not the start's;
+    such links cost one of ``max_cross_host`` each time one is met, in order, even
+    where it then turns out to be the page itself or a repeat.  A frame that
+    repeats a link of its page costs nothing.  ``used`` (host, used) is None where
+    the crawl keeps to its site.
+    """
+    found = found.withColumn("cross", F.col("to_host") != F.col("start_host"))
+    at = ["host", "parent_seq"]
+    lists = found.where((F.col("frame") == 0) & ~F.col("cross")).groupBy(*at, "section").agg(F.count("*").alias("n")).where(F.col("n") >= data_list_min).select(*at, "section", F.lit(True).alias("listed"))
+    cand = found.where(~F.col("skip"))
+    links, frames = cand.where("frame = 0"), cand.where("frame = 1")
+    frames = first_by(frames, [*at, "url"], ["seq"])
+    home = frames.where(~F.col("cross"))
+    if used is None:
+        links, frames = links.where(~F.col("cross")), home
+    else:
+        away = links.where("cross")
+        new = frames.where("cross").join(away.where(~F.col("own")).select(*at, "url").distinct(), [*at, "url"], "left_anti")
+        w = Window.partitionBy("host").orderBy("parent_seq", "frame", "seq")
+        met = away.unionByName(new.select(*away.columns)).withColumn("rn", F.row_number().over(w)).join(used, "host", "left")
+        met = cut(met.withColumn("ok", F.col("rn") + F.coalesce("used", F.lit(0)) <= max_cross_host))
+        spent = met.groupBy("host").agg(F.count_if("ok").alias("n"))
+        used = cut(used.join(spent, "host", "left").select("host", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")))
+        allowed = met.where("ok").drop("rn", "used", "ok")
+        links = links.where(~F.col("cross")).unionByName(allowed.where("frame = 0"))
+        frames = home.select(*away.columns).unionByName(allowed.where("frame = 1").select(*away.columns))
+    links = first_by(links.where(~F.col("own")), [*at, "url"], ["seq"]).join(lists, [*at, "section"], "left")
+    listed = F.coalesce("listed", F.lit(False)) & ~F.col("cross")
+    rows = top_n(links.where(listed), [*at, "section"], ["seq"], rows_per_list).withColumn("kind", F.lit("row"))
+    plain = links.where(~listed).withColumn("kind", F.when(F.col("cross"), "external").otherwise("link"))
+    links = rows.unionByName(plain).drop("listed")
+    frames = frames.join(links.select(*at, "url"), [*at, "url"], "left_anti").withColumn("kind", F.lit("iframe"))
+    return links.unionByName(frames.select(*links.columns)), used
+
+
 def frontier_expand(
     seeds: DataFrame,
     controls: DataFrame,
@@ -108,92 +172,64 @@ def frontier_expand(
     rows_per_list: int = K.ROWS_PER_LIST,
     cross_host: bool = False,
     max_cross_host: int = K.MAX_CROSS_HOST,
+    frames: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bounded breadth-first crawl of a stored link table, for all hosts at once.
 
-    ``seeds`` is (host, url) with one start per host; ``controls`` the links of
-    every stored page, as for :func:`page_children`.  Answers (states, edges,
-    reasons).  A level is one job: the children of the level's states are
-    ordered by (parent, position), claimed once per url, cut per section and
-    numbered.  No group of a level exceeds max_states times the controls of a
-    page, because a crawl holds at most ``max_states`` states.
+    ``seeds`` is (host, url) with one start per host; ``controls`` and ``frames``
+    the links of every stored page, as for :func:`crawl_links`.  Answers (states,
+    edges, reasons).  The children of a level's states are ordered by (parent,
+    position), claimed once per url, cut per section and numbered.  No group of a
+    level exceeds max_states times the controls of a page, because a crawl holds
+    at most ``max_states`` states.  In a stored table every visit is a state of
+    its own, so the smaller of the two bounds ends the crawl.
     """
-    kids = page_children(controls, data_list_min, rows_per_list)
-    if not cross_host:
-        kids = kids.where(~F.col("cross"))
-    kids = cut(
-        kids.select(
-            urls.norm_state_url("page_url").alias("from_key"), "page_id", "link_seq", F.col("target").alias("href"),
-            urls.norm_state_url("target").alias("key"), F.col("text").alias("label"), "kind", "cross", "section",
-        )
-    )
-    # of the pages stored under one identity the first answers
-    owner = kids.groupBy("from_key").agg(F.min("page_id").alias("page_id"))
-    kids = kids.join(owner, ["from_key", "page_id"]).drop("page_id")
+    kids = cut(crawl_links(controls, frames))
     cap = min(max_states, max_visits)
-
+    place = lambda p, f, q: F.struct(p.cast("bigint").alias("parent"), f.cast("int").alias("frame"), q.cast("bigint").alias("seq"))
+    zero = F.lit(0)
+    start = seeds.select("host", urls.host_key("url").alias("start_host"))
     queue = seeds.select(
         "host", urls.norm_state_url("url").alias("key"), urls.drop_fragment("url").alias("url"), F.lit(0).alias("depth"),
-        F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("found_seq"), F.lit(None).cast("string").alias("label"),
+        F.lit(0).alias("tier"), place(zero, zero, zero).alias("found_seq"), F.lit(None).cast("string").alias("label"),
         F.lit(None).cast("string").alias("from_key"), F.lit(None).cast("string").alias("kind"),
     )
+    none = F.lit(0).cast("bigint")
     states = edges = claimed = sections = leftovers = None
-    used_cross = seeds.select("host", F.lit(0).cast("bigint").alias("used"))
+    used = seeds.select("host", none.alias("used")) if cross_host else None
     depth = 0
     while True:
-        done = states.groupBy("host").agg(F.count("*").alias("done")) if states is not None else seeds.select("host", F.lit(0).cast("bigint").alias("done"))
-        w = Window.partitionBy("host").orderBy("tier", "found_seq")
-        ranked = queue.withColumn("rn", F.row_number().over(w)).join(done, "host", "left").withColumn(
-            "state_seq", F.col("rn") - 1 + F.coalesce("done", F.lit(0))
-        ).drop("rn", "done")
+        done = states.groupBy("host").agg(F.count("*").alias("done")) if states is not None else seeds.select("host", none.alias("done"))
+        ranked = frontier_order(queue).join(done, "host", "left").withColumn(
+            "state_seq", F.col("place") - 1 + F.coalesce("done", F.lit(0))
+        ).drop("place", "done")
         ranked = cut(ranked)
         level = ranked.where(F.col("state_seq") < cap)
         rest = ranked.where(F.col("state_seq") >= cap).select("host", "key")
         leftovers = rest if leftovers is None else leftovers.unionByName(rest)
         states = level if states is None else states.unionByName(level)
-        into = level.where(F.col("from_key").isNotNull()).select(
-            "host", "from_key", F.col("key").alias("to_key"), "label", "kind", F.col("state_seq").alias("at"), F.lit(0).cast("bigint").alias("sub")
-        )
+        into = level.where(F.col("from_key").isNotNull()).select("host", "from_key", F.col("key").alias("to_key"), "label", "kind")
         edges = into if edges is None else edges.unionByName(into)
         if depth >= max_depth or level.isEmpty():
             break
-        found = level.select("host", F.col("key").alias("from_key"), F.col("state_seq").alias("parent_seq")).join(kids, "from_key")
-        if cross_host:
-            wx = Window.partitionBy("host").orderBy("parent_seq", "link_seq")
-            crossing = found.where("cross").withColumn("rn", F.row_number().over(wx)).join(used_cross, "host", "left")
-            # the budget is spent when a candidate is examined, followed or not
-            spent = crossing.groupBy("host").agg(F.count("*").alias("n"))
-            allowed = crossing.where(F.col("rn") + F.coalesce("used", F.lit(0)) <= max_cross_host).drop("rn", "used")
-            found = found.where(~F.col("cross")).unionByName(allowed)
-            used_cross = cut(
-                used_cross.join(spent, "host", "left").select("host", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used"))
-            )
+        found = level.select("host", F.col("key").alias("from_key"), F.col("state_seq").alias("parent_seq")).join(start, "host").join(kids, "from_key")
+        children, used = level_children(found, data_list_min, rows_per_list, used, max_cross_host)
         # links to a state recorded by now become edges
         known = states.select("host", "key", F.col("state_seq").alias("known_seq"))
-        seen = found.join(known, ["host", "key"], "left")
-        seen = cut(seen)
-        back = seen.where(F.col("known_seq") <= F.col("parent_seq")).select(
-            "host", "from_key", F.col("key").alias("to_key"), "label", "kind", F.col("parent_seq").alias("at"), (F.col("link_seq") + 1).cast("bigint").alias("sub")
-        )
+        seen = cut(children.join(known, ["host", "key"], "left").withColumn("found_seq", place(F.col("parent_seq"), F.col("frame"), F.col("seq"))))
+        back = seen.where(F.col("known_seq") <= F.col("parent_seq")).select("host", "from_key", F.col("key").alias("to_key"), "label", "kind")
         edges = edges.unionByName(back)
         # everything else is claimed by its first finder, before the section cap is tested
-        fresh = first_by(
-            seen.where(F.col("known_seq").isNull()), ["host", "key"], ["parent_seq", "link_seq"],
-            ["parent_seq", "link_seq", "href", "label", "kind", "section", "from_key"],
-        )
+        fresh = first_by(seen.where(F.col("known_seq").isNull()), ["host", "key"], ["found_seq"], ["found_seq", "url", "label", "kind", "section", "from_key"])
         if claimed is not None:
             fresh = fresh.join(claimed, ["host", "key"], "left_anti")
         fresh = cut(fresh)
         mine = fresh.select("host", "key")
         claimed = mine if claimed is None else claimed.unionByName(mine)
-        ws = Window.partitionBy("host", "section").orderBy("parent_seq", "link_seq")
+        ws = Window.partitionBy("host", "section").orderBy("found_seq")
         counted = fresh.withColumn("rn", F.row_number().over(ws))
-        if sections is not None:
-            counted = counted.join(sections, ["host", "section"], "left")
-        else:
-            counted = counted.withColumn("taken", F.lit(0).cast("bigint"))
-        taken = counted.where(F.col("rn") + F.coalesce("taken", F.lit(0)) <= max_per_section)
-        taken = cut(taken.drop("rn", "taken"))
+        counted = counted.join(sections, ["host", "section"], "left") if sections is not None else counted.withColumn("taken", none)
+        taken = cut(counted.where(F.col("rn") + F.coalesce("taken", F.lit(0)) <= max_per_section).drop("rn", "taken"))
         now = taken.groupBy("host", "section").agg(F.count("*").alias("k"))
         sections = cut(
             now.withColumnRenamed("k", "taken") if sections is None
@@ -202,10 +238,7 @@ def frontier_expand(
             )
         )
         depth += 1
-        queue = taken.select(
-            "host", "key", F.col("href").alias("url"), F.lit(depth).alias("depth"), labels.tier("kind").alias("tier"),
-            (F.col("parent_seq") * 1_000_000 + F.col("link_seq")).cast("bigint").alias("found_seq"), "label", "from_key", "kind",
-        )
+        queue = taken.select("host", "key", "url", F.lit(depth).alias("depth"), labels.tier("kind").alias("tier"), "found_seq", "label", "from_key", "kind")
     # children past the depth limit are not queued, so only states cut by the cap remain
     counts = states.groupBy("host").agg(F.count("*").alias("states")).join(
         leftovers.groupBy("host").agg(F.count("*").alias("queued")), "host", "left"

@@ -75,36 +75,36 @@ def sequential(graph, recs):
 
 
 def check(spark, tmp_path, recs):
-    g = S.read_graphs(spark, fixtures.write(tmp_path, {"example.test": fixtures.EXAMPLE}))
-    rows = [("example.test", i, r["start"], r["trigger"], r["steps"], r["trigger_page"], None, None, "form", r["selector"], None, None) for i, r in enumerate(recs)]
+    g = S.read_graphs(spark, fixtures.write(tmp_path, {"clinic.test": fixtures.CLINIC}))
+    rows = [("clinic.test", i, r["start"], r["trigger"], r["steps"], r["trigger_page"], None, None, "form", r["selector"], None, None) for i, r in enumerate(recs)]
     live = spark.createDataFrame(rows, X.LIVE_RECORD)
     m = merge_live(g, live, "2026-01-01 00:00:00")
-    states, edges, trig = sequential(fixtures.EXAMPLE, recs)
+    states, edges, trig = sequential(fixtures.CLINIC, recs)
     assert sorted((r["id"], light(r["url"]), r["label"], r["depth"]) for r in m.states.collect()) == sorted((s["id"], light(s["url"]), s["label"], s["depth"]) for s in states)
     assert sorted((r["src"], r["dst"], r["label"], r["selector"], r["kind"]) for r in m.edges.collect() if r["dst"]) == sorted(e for e in edges if e[1])
     assert sorted((r["label"], r["state_id"], len(r["path"])) for r in m.triggers.collect()) == sorted((t["label"], t["state"], len(t["path"])) for t in trig)
     assert m.meta.first()["live_hits"] == len(recs)
 
 
-B = "https://example.test"
+B = "https://clinic.test"
 
 
-def rec(trigger, steps, start=B + "/dashboard", tp=None):
+def rec(trigger, steps, start=B + "/desk", tp=None):
     return {"start": start, "trigger": trigger, "steps": [dict(zip(("label", "selector", "href"), s)) for s in steps], "trigger_page": tp, "selector": "#t"}
 
 
 def test_merge_one_by_one_rules(spark, tmp_path):
     check(spark, tmp_path, [
-        rec("Create Role", [("TEAM", "#x", B + "/team"), ("roles TAB", "#y", None)]),      # refreshes the stored answer
-        rec("New note", [("Team", "nav>a:nth-of-type(1)", B + "/team/"), ("Notes", "#n", None)]),   # stored page, new tab
-        rec("New memo", [("Team", "nav>a:nth-of-type(1)", B + "/team"), ("Notes", "#n", None), ("More", "#m", None)]),  # shares the new tab
+        rec("Create Bed", [("WARD", "#x", B + "/ward"), ("beds TAB", "#y", None)]),      # refreshes the stored answer
+        rec("New note", [("Ward", "#ward", B + "/ward/"), ("Notes", "#n", None)]),   # stored page, new tab
+        rec("New memo", [("Ward", "#ward", B + "/ward"), ("Notes", "#n", None), ("More", "#m", None)]),  # shares the new tab
         rec("New item", [("Shop", "#s", B + "/shop"), ("Cart", "#c", B + "/cart")]),       # two new pages
         rec("New order", [("Shop", "#s", B + "/shop")], tp=B + "/shop"),                   # shares a new page
-        rec("Loop", [("Team", "#a", B + "/team"), ("Back", "#b", B + "/dashboard"), ("Again", "#d", B + "/team")]),  # a page twice
+        rec("Loop", [("Ward", "#a", B + "/ward"), ("Back", "#b", B + "/desk"), ("Again", "#d", B + "/ward")]),  # a page twice
         rec("Elsewhere", [], start=B + "/other"),
-        rec("Moved", [("Reports", "#r", B + "/reports"), ("Year", "#y", None)], tp=B + "/reports?year=1"),   # last click takes the page's url
-        rec("Tail", [("Reports", "#r", B + "/reports")], tp=B + "/reports/tail"),          # stored end, one more state
-        rec("New note", [("Team", "#other", B + "/team"), ("notes", "#n2", None)]),        # refreshes the second record
+        rec("Moved", [("Lab", "#r", B + "/lab"), ("Year", "#y", None)], tp=B + "/lab?year=1"),   # last click takes the page's url
+        rec("Tail", [("Lab", "#r", B + "/lab")], tp=B + "/lab/tail"),          # stored end, one more state
+        rec("New note", [("Ward", "#other", B + "/ward"), ("notes", "#n2", None)]),        # refreshes the second record
         rec("Alone", [], start=B + "/solo", tp=B + "/solo/page"),
     ])
 
@@ -115,7 +115,7 @@ def test_merge_random_chains(spark, tmp_path):
     for i in range(14):
         steps = []
         for _ in range(rnd.randint(0, 3)):
-            page = rnd.choice(["/team", "/reports", "/p1", "/p2", None])
+            page = rnd.choice(["/ward", "/lab", "/p1", "/p2", None])
             steps.append((page or rnd.choice(["t1", "t2"]), "#" + rnd.choice("abc"), B + page if page else None))
         recs.append(rec(f"T{i}", steps))
     check(spark, tmp_path, recs)
