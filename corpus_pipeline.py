@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickatlas.llm import decontaminate, neardup, packing, quality, secrets
+from clickatlas.llm.queries import table
 from clickatlas.session import cut
 
 _OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +23,7 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rows, names = _aside(docs)
-    columns = [c for c in rows.columns]
-    return quality.judge(rows.withColumnRenamed("n_chars", "_n_chars"), keep_text=True).where("kept").withColumnRenamed("_n_chars", "n_chars").select(*columns).withColumnsRenamed(names)
+    return quality.judge(rows, keep_text=True).where("kept").select(*rows.columns).withColumnsRenamed(names)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark's passages in a twentieth of their words."""
     rows, names = _aside(docs)
-    judged = decontaminate.judge(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    judged = decontaminate.judge(rows, table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("contaminated")).select(*rows.columns).withColumnsRenamed(names)
 
 
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
