@@ -67,6 +67,19 @@ def _corpus_graph(spark, sf):
     return build_link_graph(pages.select("page_id", "url", title.alias("title")), _links(spark, sf))
 
 
+# links without quotes, left open, with named and numbered entities, and one inside a comment
+@query("odd_links", """SELECT p_partkey AS page_id, 'https://parts.example.com/' || unnest(['x/', 'y/', 'z/', 'w/']) || p_partkey AS href, unnest(['Café ' || p_partkey, 'One', 'Two & three', p_name || '…']) AS text FROM part""")
+def odd_links(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><body><!-- <a href='/no'>hidden</a> --><a href=/x/"), k, F.lit(">Caf&eacute; "), k, F.lit("</a><a href='/y/"), k, F.lit("'>One<a href=\"/z/"), k,
+        F.lit("\">Two &#38; three</a><p>text</p><a\nhref = '/w/"), k, F.lit("' >"), F.col("p_name"), F.lit("&hellip;</a></body></html>"),
+    )
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://parts.example.com/p/"), k).alias("url"), html.alias("html"))
+    return X.extract_links(pages).select("page_id", "href", "text")
+
+
 @query("build_link_graph_edges", f"WITH {GRAPH} SELECT host, src, dst, label, 'link' AS kind, false AS skipped FROM edges")
 def build_link_graph_edges(spark, sf):
     return _corpus_graph(spark, sf)[1].select("host", "src", "dst", "label", "kind", "skipped")

@@ -105,13 +105,13 @@ pstep AS (SELECT p.q_id, i, e.kind, e.label, e.selector, s.url FROM (SELECT q_id
 @query("action_plan", f"""WITH {_CHOSEN}, rows AS (
   SELECT q_id, 0 AS o, 'nav' AS role, start_url AS target, NULL AS value, NULL AS comment, false AS needs_input, false AS disabled FROM pick
   UNION ALL SELECT q_id, i, CASE WHEN kind = 'link' THEN 'nav' ELSE 'click' END, CASE WHEN kind = 'link' THEN url ELSE selector END, NULL, label, false, false FROM pstep
-  UNION ALL SELECT q_id, 100, 'note', NULL, NULL, CASE WHEN kind = 'download' THEN '# --- download ---' ELSE '# --- fill the form (values are placeholders — edit them) ---' END, false, true FROM pick
+  UNION ALL SELECT q_id, 100, 'note', NULL, NULL, CASE WHEN kind = 'download' THEN 'section download' ELSE 'section form' END, false, true FROM pick
   UNION ALL SELECT q_id, 101, 'download', href, trig_seq || '.pdf', NULL, false, false FROM pick WHERE kind = 'download' AND href IS NOT NULL
-  UNION ALL SELECT q_id, 101, 'download', '#t-' || trig_seq, NULL, 'JS-triggered — the session captures the file', false, false FROM pick WHERE kind = 'download' AND href IS NULL
-  UNION ALL SELECT q_id, 101, CASE WHEN opens_at IS NULL THEN 'click' ELSE 'nav' END, coalesce(opens_at, '#t-' || trig_seq), NULL, 'opens the form', false, false FROM pick WHERE kind = 'form'
-  UNION ALL SELECT q_id, 102, 'fill', '#name', '<name>', 'Name (required)', true, false FROM pick WHERE kind = 'form' AND fc >= 1
+  UNION ALL SELECT q_id, 101, 'download', '#t-' || trig_seq, NULL, 'no_url', false, false FROM pick WHERE kind = 'download' AND href IS NULL
+  UNION ALL SELECT q_id, 101, CASE WHEN opens_at IS NULL THEN 'click' ELSE 'nav' END, coalesce(opens_at, '#t-' || trig_seq), NULL, 'open_form', false, false FROM pick WHERE kind = 'form'
+  UNION ALL SELECT q_id, 102, 'fill', '#name', '<name>', 'Name *', true, false FROM pick WHERE kind = 'form' AND fc >= 1
   UNION ALL SELECT q_id, 103, 'select', '#type', p_type, 'Type', true, false FROM pick WHERE kind = 'form' AND fc >= 2
-  UNION ALL SELECT q_id, 104, 'submit', '#save', NULL, 'submit (uncomment to save)', false, true FROM pick WHERE kind = 'form')
+  UNION ALL SELECT q_id, 104, 'submit', '#save', NULL, 'submit', false, true FROM pick WHERE kind = 'form')
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY o) - 1 AS step, role, target, value, comment, needs_input, disabled FROM rows""")
 def action_plan(spark, sf):
     return H.action_plan(_resolved(spark, sf)).select("q_id", big("step"), "role", "target", "value", "comment", "needs_input", "disabled")

@@ -30,6 +30,7 @@ _BLOCK = frozenset(
 # a start tag closes the open element of the second set unless one of the third lies between
 _ROW = frozenset("tr td th".split())
 _IMPLIED = {
+    "a": (frozenset({"a"}), frozenset({"table", "td", "th", "button"})),
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),

@@ -20,14 +20,40 @@ def _entities(c: Column) -> Column:
     return c
 
 
+_HIDES = r"(?is)<(script|style|textarea|title|template|noscript|xmp|iframe)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)"
+_INLINE = r"(?i)<(?!/?(?:a|b|i|u|em|strong|span|small)[\s>])"
+
+
+def _plain_markup(matches: Column) -> Column:
+    """Whether the pattern finds all links of a page just as a parser does.
+
+    That is so if every ``<a`` of the page is part of a match, none stands in a
+    comment or raw text, and the matches hold inline tags and the six entities
+    only, and no second ``<a``.
+    """
+    opens = lambda c: F.regexp_count(c, F.lit(r"(?i)<a(?=[\s/>])"))
+    bare = F.regexp_replace("html", _HIDES, "")
+    odd = F.exists(
+        matches,
+        lambda m: (opens(m) > 1) | m.rlike(r"&(?!(?:lt|gt|quot|nbsp|amp|#39);)[#a-zA-Z]") | F.regexp_replace(m, r"^<[^>]*>", "").rlike(_INLINE),
+    )
+    return (opens(F.col("html")) == F.size(matches)) & (opens(bare) == F.size(matches)) & ~odd
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Links of each page, first per absolute href, straight from the markup.
+    """Links of each page, first per absolute href.
 
-    Pure string built-ins: no Python between the scan and the result.  Use
-    :func:`extract_links_dom` where markup is not well formed.
+    Pages whose links are plain markup are read by pattern, without Python; all
+    others by the parser.  Both give the same links.
     """
     matches = F.regexp_extract_all("html", F.lit(_LINK), F.lit(0))
-    raw = pages.select("page_id", "url", F.posexplode(matches).alias("link_seq", "m"))
+    found = pages.select("page_id", "url", "html", matches.alias("ms")).withColumn("plain", _plain_markup(F.col("ms")))
+    parsed = extract_links_dom(parse_pages(found.where(~F.coalesce("plain", F.lit(True))).select("page_id", "url", "html"), keep=["a"], texts=["a"]))
+    return _links_by_pattern(found.where("plain")).unionByName(parsed)
+
+
+def _links_by_pattern(found: DataFrame) -> DataFrame:
+    raw = found.select("page_id", "url", F.posexplode("ms").alias("link_seq", "m"))
     part = lambda i: F.regexp_extract("m", _LINK, i)
     href = urls.resolve("url", _entities(F.concat(part(1), part(2))))
     text = labels.collapse(_entities(F.regexp_replace(part(4), r"<[^>]*>", "")))

@@ -219,27 +219,22 @@ def _note(text):
     return _step("note", "", None, comment=text, disabled=True)
 
 
-def _quoted(c):
-    return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'"))
-
-
 def _field_step(f):
     kind = F.lower(F.coalesce(F.nullif(f["type"], F.lit("")), F.lit("text")))
     lab = F.trim(F.coalesce(F.nullif(f["label"], F.lit("")), F.lit("(unlabeled)")))
-    req = F.when(F.coalesce(f["required"], F.lit(False)), " (required)").otherwise("")
-    note = F.concat(lab, req)
+    note = F.concat(lab, F.when(F.coalesce(f["required"], F.lit(False)), " *").otherwise(""))
     value = labels.field_placeholder(f)
     accept = F.nullif(f["accept"], F.lit(""))
     sel = f["selector"]
     return (
         F.when(
             F.coalesce(sel, F.lit("")) == "",
-            _note(F.concat(F.lit("# set "), _quoted(lab), req, F.lit(" ["), kind, F.lit("] — re-crawl to capture a selector"))),
+            _note(F.concat(F.lit("no_selector "), kind, F.lit(" "), note)),
         )
         .when(kind.isin(list(K.CHECK_TYPES)), _step("check", "check", sel, comment=note, label=lab, needs_input=True))
         .when(
             accept.isNotNull() | (kind == "file"),
-            _step("upload", "upload", sel, F.lit("<FILE>"), F.concat(note, F.lit("  accepts: "), F.coalesce(accept, F.lit("any"))), lab, True),
+            _step("upload", "upload", sel, F.lit("<FILE>"), F.concat(note, F.lit(" accept="), F.coalesce(accept, F.lit("*"))), lab, True),
         )
         .when(kind.isin(list(K.SELECT_TYPES)), _step("select", "select", sel, value, note, lab, True))
         .otherwise(_step("fill", "fill", sel, value, note, lab, True))
@@ -250,6 +245,9 @@ def action_plan(resolved: DataFrame, allow_submit: bool = False) -> DataFrame:
     """Ordered steps of each resolved action; a submit stays disabled unless allowed.
 
     The steps of one action are built from its own row, so no shuffle is needed.
+    Comments are labels (`*` marks a required field) or short codes: ``section``
+    begins a part, ``no_selector``, ``no_url`` and ``no_target`` say what the graph
+    lacks.
     """
     r = resolved.where("status = 'ok'")
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
@@ -262,34 +260,34 @@ def action_plan(resolved: DataFrame, allow_submit: bool = False) -> DataFrame:
             ).when(
                 F.coalesce(s["selector"], F.lit("")) != "", _step("click", "click", s["selector"], comment=F.nullif(F.trim(s["label"]), F.lit("")))
             ).otherwise(
-                _note(F.concat(F.lit("# (no selector recorded) click "), F.when(F.trim(F.coalesce(s["label"], F.lit(""))) != "", _quoted(F.trim(s["label"]))).otherwise("the control")))
+                _note(F.concat(F.lit("no_selector click "), F.trim(F.coalesce(s["label"], F.lit("")))))
             ),
         ),
     )
     download = F.concat(
-        F.array(_note(F.lit("# --- download ---"))),
+        F.array(_note(F.lit("section download"))),
         F.when(
             has("href"), F.array(_step("download", "download", F.col("href"), labels.suggest_filename(F.col("href"), F.col("accept"), F.col("trigger_label"))))
         ).when(
-            has("selector"), F.array(_step("download", "click", F.col("selector"), comment=F.lit("JS-triggered — the session captures the file")))
-        ).otherwise(F.array(_note(F.lit("# download control had neither a URL nor a selector recorded")))),
+            has("selector"), F.array(_step("download", "click", F.col("selector"), comment=F.lit("no_url")))
+        ).otherwise(F.array(_note(F.lit("no_target")))),
     )
     none = F.slice(nav, 1, 0)
-    opener = F.when(has("opens_at"), F.array(_step("nav", "nav", F.col("opens_at"), comment=F.lit("opens the form")))).when(
-        has("selector"), F.array(_step("click", "click", F.col("selector"), comment=F.lit("opens the form")))
+    opener = F.when(has("opens_at"), F.array(_step("nav", "nav", F.col("opens_at"), comment=F.lit("open_form")))).when(
+        has("selector"), F.array(_step("click", "click", F.col("selector"), comment=F.lit("open_form")))
     ).otherwise(none)
     fields = F.coalesce(F.transform(F.col("form.fields"), _field_step), none)
     sub_sel = F.coalesce(F.col("form.submitSelector"), F.lit(""))
     first_sub = F.try_element_at(F.col("form.submitButtons"), F.lit(1))
     if allow_submit:
-        submit_step = _step("submit", "click", sub_sel, comment=F.coalesce(F.concat(F.lit("submit: "), first_sub), F.lit("submit")))
+        submit_step = _step("submit", "click", sub_sel, comment=F.concat_ws(" ", F.lit("submit"), first_sub))
     else:
-        submit_step = _step("submit", "click", sub_sel, comment=F.lit("submit (uncomment to save)"), disabled=True)
+        submit_step = _step("submit", "click", sub_sel, comment=F.lit("submit"), disabled=True)
     submit = F.when(sub_sel != "", F.array(submit_step)).when(
-        first_sub.isNotNull(), F.array(_note(F.concat(F.lit("# then click "), _quoted(first_sub), F.lit(" to submit"))))
+        first_sub.isNotNull(), F.array(_note(F.concat(F.lit("no_selector submit "), first_sub)))
     ).otherwise(none)
     fill = F.concat(
-        F.array(_note(F.lit("# --- fill the form (values are placeholders — edit them) ---"))), opener, fields, submit
+        F.array(_note(F.lit("section form"))), opener, fields, submit
     )
     steps = F.concat(nav, F.when(F.lower("kind") == "download", download).otherwise(fill))
     return r.select("q_id", "host", F.posexplode(steps).alias("step", "s")).select("q_id", "host", "step", "s.*")
