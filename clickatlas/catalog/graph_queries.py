@@ -299,7 +299,7 @@ def _needles(nodes):
     return nodes.select("host").distinct().select("host", F.explode(F.array(*[F.lit(n) for n in _NEEDLES])).alias("needle"))
 
 
-@query("resolved_nodes", f"WITH {_RESOLVED} SELECT * FROM resolved WHERE NOT (status = 'ok' AND needle = 'p:7' AND false)")
+@query("resolved_nodes", f"WITH {_RESOLVED} SELECT * FROM resolved")
 def resolved_nodes(spark, sf):
     nodes, _, _ = D.link_graph(spark, sf)
     nodes = cut(nodes)
@@ -308,12 +308,15 @@ def resolved_nodes(spark, sf):
     return out.select("host", "needle", "id", "status", hits.alias("candidates"))
 
 
-@query("resolver_candidates", f"""WITH {_RESOLVED} SELECT r.host, r.needle, CASE WHEN n.url <> '' THEN n.url WHEN n.title <> '' THEN n.title ELSE n.id END AS label
-FROM resolved r JOIN hits h ON h.host = r.host AND h.needle = r.needle AND h.hit JOIN nodes n ON n.host = h.host AND n.id = h.id WHERE r.status = 'ambiguous'""")
+@query("resolver_candidates", f"""WITH {_RESOLVED}, named AS MATERIALIZED (SELECT host, id, CASE WHEN url <> '' THEN url WHEN title <> '' THEN title ELSE id END AS label FROM nodes),
+amb AS MATERIALIZED (SELECT host, needle FROM resolved WHERE status = 'ambiguous'),
+found AS MATERIALIZED (SELECT h.host, h.needle, h.id FROM hits h JOIN amb USING (host, needle) WHERE h.hit)
+SELECT f.host, f.needle, count(*) AS n, md5(string_agg(label, chr(10) ORDER BY label)) AS labels FROM found f JOIN named USING (host, id) GROUP BY 1, 2""")
 def resolver_candidates(spark, sf):
     nodes, _, _ = D.link_graph(spark, sf)
     nodes = cut(nodes)
-    return G.resolver_candidates(G.resolve_nodes(_needles(nodes), nodes), nodes).select("host", "needle", "label")
+    found = G.resolver_candidates(G.resolve_nodes(_needles(nodes), nodes), nodes)
+    return found.groupBy("host", "needle").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("label")), "\n")).alias("labels"))
 
 
 _LP = f"""{_RESOLVED}, lq AS (SELECT host, unnest(range(4)) AS k, unnest(['root', 'root', 'zzz', '/c/']) AS frm, unnest(['p:7', 'gear', 'root', 'root']) AS "to" FROM (SELECT DISTINCT host FROM cust)),

@@ -290,14 +290,22 @@ def goal_warnings(spark, sf):
     return w.select("flow_id", "path", "status", "message", F.array_join("candidates", " | ").alias("candidates"))
 
 
-@query("suggested_labels", f"""WITH {Q.LN}, {Q.TRIGGERS}, d AS (SELECT host, label, min(trig_seq) AS ts FROM triggers GROUP BY 1, 2),
-t AS (SELECT host, label, ts, list_transform(list_filter(list_transform(regexp_extract_all(label, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'add', 'all', 'any', 'with', 'from')), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN x[:-2] ELSE x END) AS w FROM d)
-SELECT host, n AS needle, label, row_number() OVER (PARTITION BY host, n ORDER BY ts) AS rank FROM t, (SELECT unnest(['red gears', 'anvil']) AS n) WHERE list_has_any(w, CASE n WHEN 'anvil' THEN ['anvil'] ELSE ['red', 'gear'] END)
-QUALIFY row_number() OVER (PARTITION BY host, n ORDER BY ts) <= 5""")
+# two needles that share a word with labels, one that is only close to some, and one close to none
+_TIPS = f"""{Q.LN}, {Q.TRIGGERS}, d AS (SELECT host, label, min(trig_seq) AS ts FROM triggers GROUP BY 1, 2),
+t AS (SELECT host, label, ts, list_transform(list_filter(list_transform(regexp_extract_all(label, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'add', 'all', 'any', 'with', 'from')), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN x[:-2] ELSE x END) AS w FROM d),
+byword AS (SELECT host, n AS needle, label, row_number() OVER (PARTITION BY host, n ORDER BY ts) AS rank, 'word' AS found_by FROM t, (SELECT unnest(['red gears', 'anvil']) AS n) WHERE list_has_any(w, CASE n WHEN 'anvil' THEN ['anvil'] ELSE ['red', 'gear'] END)
+  QUALIFY row_number() OVER (PARTITION BY host, n ORDER BY ts) <= 5),
+low AS (SELECT host, lower(label) AS low, arg_max(label, ts) AS label FROM d GROUP BY 1, 2),
+close AS (SELECT host, n AS needle, label, low, 1 - levenshtein(low, n) / greatest(length(low), length(n))::DOUBLE AS ratio FROM low, (SELECT unnest(['crate smal rodd', 'qqq']) AS n)),
+near AS (SELECT host, needle, label, row_number() OVER (PARTITION BY host, needle ORDER BY ratio DESC, low DESC) AS rank, 'closeness' AS found_by FROM close WHERE ratio >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY host, needle ORDER BY ratio DESC, low DESC) <= 5)"""
+
+
+@query("suggested_labels", f"WITH {_TIPS} SELECT * FROM byword UNION ALL SELECT * FROM near")
 def suggested_labels(spark, sf):
     g = D.graphs(spark, sf, with_items=False)
-    needles = g.meta.select("host", F.explode(F.array(F.lit("red gears"), F.lit("anvil"))).alias("needle"))
-    return M.suggest_labels(needles, g.triggers).where("found_by = 'word'").select("host", "needle", "label", big("rank"))
+    needles = g.meta.select("host", F.explode(F.array(*[F.lit(x) for x in ("red gears", "anvil", "crate smal rodd", "qqq")])).alias("needle"))
+    return M.suggest_labels(needles, g.triggers).select("host", "needle", "label", big("rank"), "found_by")
 
 
 # --- merges ------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import urls
 from ..session import bucketed, cut, cut_counted, work_dir
-from .rows import first_by, top_n
+from .rows import first_by, spread, top_n
 
 # Out-degree above which the edges of a node are spread over several tasks.
 HOT_DEGREE = 1_000_000
@@ -286,17 +286,17 @@ def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node for each (host, needle): exact id, else substring of url, id or title.
 
     More than one substring hit is settled by a unique url suffix, else the
-    needle is ``ambiguous``.  A needle is tested against its host's nodes inside
-    the join condition, and only the aggregate per needle leaves the join.
+    needle is ``ambiguous``.  A needle is tested against its host's nodes, spread
+    over salts, inside the join condition, and only the aggregate per needle leaves
+    the join.
     """
-    n = needles.select("host", "needle").distinct().alias("n")
-    x = nodes.alias("x")
+    n, x = (d.alias(a) for d, a in zip(spread(needles.select("host", "needle").distinct(), nodes, ["id"]), "nx", strict=True))
     low = F.lower("n.needle")
     place = F.coalesce(F.nullif(F.col("x.url"), F.lit("")), F.col("x.id"))
     hit = F.lower(place).contains(low) | F.lower(F.coalesce("x.title", F.lit(""))).contains(low)
     exact = F.col("x.id") == F.col("n.needle")
     suffix = urls.rtrim_slash(place).endswith(urls.rtrim_slash(F.col("n.needle")))
-    joined = n.join(x, (F.col("n.host") == F.col("x.host")) & (exact | hit)).select(
+    joined = n.join(x, (F.col("n.host") == F.col("x.host")) & (F.col("n._salt") == F.col("x._salt")) & (exact | hit)).select(
         "n.host", "n.needle", "x.id", exact.alias("exact"), hit.alias("hit"), (hit & suffix).alias("suffix")
     )
     agg = joined.groupBy("host", "needle").agg(
@@ -325,8 +325,8 @@ def resolver_candidates(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     hit = F.lower(place).contains(low) | F.lower(F.coalesce("x.title", F.lit(""))).contains(low)
     from ..functions.labels import label_of
 
+    n, x = spread(resolved.where("status = 'ambiguous'").select("host", "needle"), nodes, ["id"])
     return (
-        resolved.where("status = 'ambiguous'").alias("n")
-        .join(nodes.alias("x"), (F.col("n.host") == F.col("x.host")) & hit)
+        n.alias("n").join(x.alias("x"), (F.col("n.host") == F.col("x.host")) & (F.col("n._salt") == F.col("x._salt")) & hit)
         .select("n.host", "n.needle", F.col("x.node_seq").alias("node_seq"), label_of("x.url", "x.title", "x.id").alias("label"))
     )

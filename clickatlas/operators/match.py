@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import labels
-from .rows import top_n
+from .rows import spread, top_n
 
 
 def label_tokens(label) -> "F.Column":
@@ -24,8 +21,8 @@ def match_goals(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     with an optional plural ending.  Nouns and label words meet in an equi-join
     on (host, word), so the cost follows the matches and not questions times
     triggers.  A goal without nouns asks for any goal verb, and ``match`` is a
-    regular expression over the label; both join on the host alone and test the
-    pattern in the join condition.
+    regular expression over the label; both test the pattern in the join
+    condition, and a host's labels are spread over salts.
     """
     q = questions.select("q_id", "host", "goal", "match")
     t = triggers.select("host", "trig_seq", "label")
@@ -44,14 +41,11 @@ def match_goals(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     by_noun = by_word.join(words, ["host", "word"]).select(
         "q_id", "host", "label", F.coalesce(F.rlike("label", F.col("needle")), F.lit(False)).alias("needle_hit")
     )
-    verbs = (
-        asked.where((F.size("nouns") == 0) & ~has_match).select("q_id", "host")
-        .join(lab.where(F.col("label").rlike(labels.GOAL_VERB_PATTERN)), "host")
-        .select("q_id", "host", "label", F.lit(True).alias("needle_hit"))
-    )
+    bare, doing = spread(asked.where((F.size("nouns") == 0) & ~has_match).select("q_id", "host"), lab.where(F.col("label").rlike(labels.GOAL_VERB_PATTERN)), ["label"])
+    verbs = bare.join(doing, ["host", "_salt"]).select("q_id", "host", "label", F.lit(True).alias("needle_hit"))
+    rx, texts = spread(q.where(has_match).select("q_id", "host", F.concat(F.lit("(?iuU)"), F.col("match")).alias("rx")), lab, ["label"])
     patterns = (
-        q.where(has_match).select("q_id", "host", F.concat(F.lit("(?iuU)"), F.col("match")).alias("rx")).alias("q")
-        .join(lab.alias("t"), (F.col("q.host") == F.col("t.host")) & F.rlike("t.label", F.col("q.rx")))
+        rx.alias("q").join(texts.alias("t"), (F.col("q.host") == F.col("t.host")) & (F.col("q._salt") == F.col("t._salt")) & F.rlike("t.label", F.col("q.rx")))
         .select("q.q_id", "q.host", "t.label", F.lit(True).alias("needle_hit"))
     )
     hits = by_noun.unionByName(verbs).unionByName(patterns).groupBy("q_id", "host", "label").agg(
@@ -70,13 +64,8 @@ def find_trigger_pages(edges: DataFrame, nodes: DataFrame, pattern: str) -> Data
 
 
 def closeness(a, b) -> "F.Column":
-    """Matching-blocks similarity of two strings, 0 to 1."""
-
-    @F.pandas_udf("double")
-    def ratio(label: pd.Series, needle: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(label, needle)])
-
-    return ratio(a, b)
+    """Similarity of two strings, 0 to 1: the share of the longer one that no edit touches."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def suggest_labels(needles: DataFrame, triggers: DataFrame, n: int = K.MAX_SUGGESTIONS) -> DataFrame:
@@ -84,8 +73,8 @@ def suggest_labels(needles: DataFrame, triggers: DataFrame, n: int = K.MAX_SUGGE
 
     Labels that share a stemmed word come first, in trigger order: an equi-join
     on (host, word).  Only needles without any such label look for the closest
-    ones; labels too short or too long to reach the cutoff are ruled out in the
-    join condition, before any text is compared.
+    ones, by edit distance; labels too short or too long to reach the cutoff are
+    ruled out in the join condition, before any text is compared.
     """
     known = triggers.where(F.trim(F.coalesce("label", F.lit(""))) != "")
     distinct = known.groupBy("host", "label").agg(F.min("trig_seq").alias("trig_seq"))
@@ -96,14 +85,15 @@ def suggest_labels(needles: DataFrame, triggers: DataFrame, n: int = K.MAX_SUGGE
     by_word = top_n(shared, ["host", "needle"], ["trig_seq"], n, rank="rank").drop("trig_seq")
 
     rest = want.join(shared.select("host", "needle").distinct(), ["host", "needle"], "left_anti")
-    rest = rest.withColumn("low", F.lower("needle")).alias("n")
+    rest = rest.withColumn("low", F.lower("needle"))
     # labels that differ in case only answer as the last of them
     folded = distinct.groupBy("host", F.lower("label").alias("low")).agg(F.max_by("label", "trig_seq").alias("label"))
-    folded = folded.alias("l")
+    rest, folded = (x.alias(a) for x, a in zip(spread(rest, folded, ["low"]), "nl", strict=True))
+    # a longer text needs as many edits as it is longer, at least
     la, lb = F.length("n.low"), F.length("l.low")
-    bound = 2 * F.least(la, lb) >= F.lit(K.SUGGEST_CUTOFF) * (la + lb)
+    bound = F.least(la, lb) >= F.lit(K.SUGGEST_CUTOFF) * F.greatest(la, lb)
     near = (
-        rest.join(folded, (F.col("n.host") == F.col("l.host")) & bound)
+        rest.join(folded, (F.col("n.host") == F.col("l.host")) & (F.col("n._salt") == F.col("l._salt")) & bound)
         .select("n.host", "n.needle", "l.label", F.col("l.low").alias("low"), closeness(F.col("l.low"), F.col("n.low")).alias("ratio"))
         .where(F.col("ratio") >= K.SUGGEST_CUTOFF)
     )

@@ -47,6 +47,17 @@ def first_by(df: DataFrame, keys: list[str], order: list, cols: list[str] | None
     )
 
 
+def spread(needles: DataFrame, rows: DataFrame, key: list[str], n: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt`` to join on besides the host, for tests that no equality can narrow.
+
+    The rows of a host are dealt over ``n`` salts by ``key`` and each needle is
+    repeated for every salt, so a site that holds much of the data is compared in
+    ``n`` tasks at least.  Every pair still meets exactly once.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return needles.withColumn("_salt", salts), rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
     """Row number from 1 within each group, for groups of any size.
 

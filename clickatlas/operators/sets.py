@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .rows import first_by
+from .rows import first_by, spread
 
 
 def union_items(rounds: DataFrame) -> DataFrame:
@@ -72,10 +72,10 @@ def mark_stale(triggers: DataFrame, goals: DataFrame) -> DataFrame:
     words of a host meet its labels in the join condition and only the keys of
     the hits come out.
     """
-    words = goals.select("host", F.explode(labels.stale_nouns("goal")).alias("w")).distinct().alias("w")
-    t = triggers.select("host", "trig_seq", "label").alias("t")
+    words = goals.select("host", F.explode(labels.stale_nouns("goal")).alias("w")).distinct()
+    words, t = (x.alias(a) for x, a in zip(spread(words, triggers.select("host", "trig_seq", "label"), ["trig_seq"]), "wt", strict=True))
     hits = t.join(
-        words, (F.col("t.host") == F.col("w.host")) & F.lower(F.coalesce("t.label", F.lit(""))).contains(F.col("w.w")), "left_semi"
+        words, (F.col("t.host") == F.col("w.host")) & (F.col("t._salt") == F.col("w._salt")) & F.lower(F.coalesce("t.label", F.lit(""))).contains(F.col("w.w")), "left_semi"
     ).select("t.host", "t.trig_seq").withColumn("_hit", F.lit(True))
     return triggers.join(hits, ["host", "trig_seq"], "left").withColumn(
         "stale", F.coalesce("stale", F.lit(False)) | F.coalesce("_hit", F.lit(False))
