@@ -284,7 +284,28 @@ def flow_steps(spark, sf):
     return U.flow_steps(_flows(spark, sf).unionByName(nested)).select("flow_id", "path", "op")
 
 
-@query("goal_warnings")
+# the goal steps of all flows as questions from the root page; the pattern steps are tested on the labels
+_FLOW_Q = f"questions AS MATERIALIZED (SELECT s_suppkey AS q_id, 'shop' || s_nationkey || '.example.com' AS host, 'create ' || {_WORD} AS goal, '^' || {_WORD} AS rx, 0 AS m, 0 AS c, 'root' AS root, '' AS start_url FROM supplier)"
+_STEMS = "list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'add', 'all', 'any', 'with', 'from')), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN x[:-2] ELSE x END))"
+_WARN = f"""{Q.ROUTES.replace(Q.QUESTIONS, _FLOW_Q)},
+d AS MATERIALIZED (SELECT host, label, min(trig_seq) AS ts FROM triggers GROUP BY 1, 2),
+rxn AS (SELECT q.q_id, count(*) AS n FROM questions q JOIN d ON d.host = q.host AND regexp_matches(d.label, '(?i)' || q.rx) GROUP BY 1),
+bad AS MATERIALIZED (
+  SELECT q_id, host, goal AS needle, 'steps[0]' AS path, CASE WHEN matched = 0 THEN 'no_match' ELSE 'unreachable' END AS status FROM status WHERE routed = 0
+  UNION ALL SELECT q.q_id, q.host, q.rx, 'steps[2].body[1].body[0]', 'no_match' FROM questions q LEFT JOIN rxn USING (q_id) WHERE coalesce(rxn.n, 0) = 0),
+nd AS MATERIALIZED (SELECT DISTINCT host, needle, {_STEMS.format('needle')} AS w FROM bad),
+dl AS MATERIALIZED (SELECT *, {_STEMS.format('label')} AS w FROM d),
+byword AS MATERIALIZED (SELECT nd.host, nd.needle, label, row_number() OVER (PARTITION BY nd.host, nd.needle ORDER BY ts) AS rank FROM nd JOIN dl ON dl.host = nd.host AND list_has_any(dl.w, nd.w)
+  QUALIFY row_number() OVER (PARTITION BY nd.host, nd.needle ORDER BY ts) <= 5),
+low AS (SELECT host, lower(label) AS low, arg_max(label, ts) AS label FROM d GROUP BY 1, 2),
+close AS (SELECT nd.host, nd.needle, label, low, 1 - levenshtein(low, lower(needle)) / greatest(length(low), length(needle))::DOUBLE AS ratio FROM nd JOIN low USING (host) WHERE (nd.host, nd.needle) NOT IN (SELECT host, needle FROM byword)),
+near AS (SELECT host, needle, label, row_number() OVER (PARTITION BY host, needle ORDER BY ratio DESC, low DESC) AS rank FROM close WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY host, needle ORDER BY ratio DESC, low DESC) <= 5),
+tips AS (SELECT host, needle, string_agg(label, ' | ' ORDER BY rank) AS candidates FROM (SELECT * FROM byword UNION ALL SELECT * FROM near) GROUP BY 1, 2)"""
+
+
+@query("goal_warnings", f"""WITH {_WARN} SELECT q_id AS flow_id, path, status,
+  CASE status WHEN 'unreachable' THEN '“' || needle || '” matches a trigger, but no click-path in the ' || host || ' graph reaches it' ELSE 'no trigger matches “' || needle || '” in the ' || host || ' graph' END AS message,
+  coalesce(candidates, '') AS candidates FROM bad LEFT JOIN tips USING (host, needle)""")
 def goal_warnings(spark, sf):
     w = U.goal_warnings(U.flow_steps(_flows(spark, sf)), _graphs(spark, sf))
     return w.select("flow_id", "path", "status", "message", F.array_join("candidates", " | ").alias("candidates"))
