@@ -130,14 +130,32 @@ def scenario_report(spark, sf):
     return r.select("q_id", "status", "goal", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"), "trigger", big("candidates"), "found")
 
 
-@query("unanswered_candidates", f"WITH {Q.ROUTES} SELECT r.q_id, r.trig_seq, r.label FROM routed r JOIN status s USING (q_id) WHERE s.status = 'unreachable'")
-def unanswered_candidates(spark, sf):
+# nations with an odd key lose all links to parts, so what they ask lies out of reach; one question a nation asks nothing
+_LOST = Q.ROUTES.replace("AS selector FROM edges0)", "AS selector FROM edges0 WHERE NOT (regexp_extract(host, '[0-9]+')::INT % 2 = 1 AND dst LIKE 'p:%'))")
+
+
+def _lost(spark, sf):
     g, q = _graphs(spark, sf), D.questions(spark, sf)
+    odd = F.regexp_extract("host", "[0-9]+", 0).cast("int") % 2 == 1
+    blank = q.where("q_id % 100 = 0").withColumns({"q_id": F.col("q_id") + 50, "goal": F.lit(""), "match": F.lit(None).cast("string")})
+    return g._replace(edges=g.edges.where(~(odd & F.col("dst").startswith("p:")))), q.unionByName(blank)
+
+
+@query("unanswered_candidates", f"WITH {_LOST} SELECT r.q_id, r.trig_seq, r.label FROM routed r JOIN status s USING (q_id) WHERE s.status = 'unreachable'")
+def unanswered_candidates(spark, sf):
+    g, q = _lost(spark, sf)
     m, _ = H.routes(g, q)
     m = cut(m)
     return H.candidates(m, H.question_status(q, m, g), g).select("q_id", "trig_seq", "label")
 
 
+@query("howto_statuses", f"""WITH {_LOST} SELECT s.q_id, s.status, coalesce(b.depth + 1, -1)::BIGINT AS clicks FROM status s LEFT JOIN best b USING (q_id)
+UNION ALL SELECT n_nationkey * 100 + 50, 'invalid_args', -1 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def howto_statuses(spark, sf):
+    g, q = _lost(spark, sf)
+    return H.howto(g, q).select("q_id", "status", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"))
+
+
 @query("cache_misses", f"WITH {Q.ROUTES} SELECT q_id, goal FROM status WHERE status <> 'ok'")
 def cache_misses(spark, sf):
     q = D.questions(spark, sf)

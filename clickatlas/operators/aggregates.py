@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels, urls
 from ..sources.graphs import Graphs
-from .dom import elements  # noqa: F401  (re-exported for page-level callers)
+from .rows import last_by_id
 
 
 def graph_summary(graphs: Graphs) -> DataFrame:
@@ -93,7 +93,8 @@ def list_content_hosts(states: DataFrame, errors: DataFrame | None = None) -> Da
 
 def trigger_states(triggers: DataFrame, states: DataFrame) -> DataFrame:
     """Triggers with the url of their state; an unknown state keeps the row without one."""
-    s = states.select("host", F.col("id").alias("state_id"), F.col("url").alias("state_url"))
+    s = last_by_id(states, triggers.select("host", F.col("state_id").alias("id")), ["url"])
+    s = s.select("host", F.col("id").alias("state_id"), F.col("url").alias("state_url"))
     return triggers.join(s, ["host", "state_id"], "left")
 
 
@@ -126,7 +127,8 @@ def drop_dangling_edges(edges: DataFrame, states: DataFrame) -> DataFrame:
 
 def label_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the label of the node they lead to."""
-    n = nodes.select("host", F.col("id").alias("dst"), labels.label_of("url", "title", "id").alias("to_label"))
+    n = last_by_id(nodes.withColumn("to_label", labels.label_of("url", "title", "id")), edges.select("host", F.col("dst").alias("id")), ["to_label"], "node_seq")
+    n = n.withColumnRenamed("id", "dst")
     return edges.join(n, ["host", "dst"], "left").withColumn("to_label", F.coalesce("to_label", "dst"))
 
 

@@ -47,6 +47,18 @@ def first_by(df: DataFrame, keys: list[str], order: list, cols: list[str] | None
     )
 
 
+def last_by_id(table: DataFrame, wanted: DataFrame | None, cols: list[str], seq: str = "state_seq", key: str = "id") -> DataFrame:
+    """(host, key, cols) of the last row of each id: a stored id that occurs twice means its later row.
+
+    With ``wanted`` (host, key) only those rows enter the aggregate, so a few shown
+    rows never cost a pass over the whole table's ids.
+    """
+    if wanted is not None:
+        table = table.join(wanted.select("host", key).distinct(), ["host", key], "left_semi")
+    one = F.max_by(F.struct(*cols), seq)
+    return table.groupBy("host", key).agg(one.alias("_r")).select("host", key, *[F.col("_r")[c].alias(c) for c in cols])
+
+
 def spread(needles: DataFrame, rows: DataFrame, key: list[str], n: int = 16) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``_salt`` to join on besides the host, for tests that no equality can narrow.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels
 from ..operators.graph import bfs, start_state
-from ..operators.rows import top_n
+from ..operators.rows import last_by_id, top_n
 from ..session import cut
 from ..sources.graphs import Graphs
 
@@ -66,7 +66,8 @@ def find_content(
         (F.col("before") < limit) | (F.col("view_rank") == 1)
     )
     best = best.withColumn("shown", F.least("matches", F.greatest(F.lit(limit) - F.col("before"), F.lit(0))))
-    st = graphs.states.select("host", F.col("id").alias("state_id"), "url", "label")
+    best = cut(best)
+    st = last_by_id(graphs.states, best.select("host", F.col("state_id").alias("id")), ["url", "label"]).withColumnRenamed("id", "state_id")
     views = best.join(st, ["host", "state_id"]).select(
         "host", "state_id", "view_rank", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("(root)")).alias("view_label"),
         F.col("url").alias("view_url"), F.col("distance").isNotNull().alias("reachable"), F.col("distance").alias("distance_clicks"),

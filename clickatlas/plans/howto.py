@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import labels
 from ..operators.graph import bfs, path_steps, start_state
 from ..operators.match import match_goals
-from ..operators.rows import first_by, top_n
+from ..operators.rows import first_by, last_by_id, top_n
 from ..session import cut
 from ..sources.graphs import Graphs
 
@@ -51,7 +51,8 @@ def with_trigger(rows: DataFrame, graphs: Graphs) -> DataFrame:
 
 
 def with_urls(rows: DataFrame, graphs: Graphs) -> DataFrame:
-    st = first_by(graphs.states.select("host", "id", "state_seq", "url"), ["host", "id"], ["state_seq"], ["url"])
+    shown = rows.select("host", F.explode(F.array("root", "state_id")).alias("id"))
+    st = last_by_id(graphs.states, shown, ["url"])
     root = st.select("host", F.col("id").alias("root"), F.col("url").alias("start_url"))
     page = st.select("host", F.col("id").alias("state_id"), F.col("url").alias("state_url"))
     return rows.join(root, ["host", "root"], "left").join(page, ["host", "state_id"], "left")
@@ -74,7 +75,7 @@ def question_status(questions: DataFrame, m: DataFrame, graphs: Graphs) -> DataF
     agg = m.groupBy("q_id", "host").agg(
         F.count("*").alias("matched"), F.count("depth").alias("routed"), F.count_if(high).alias("high"), F.max("root").alias("root")
     )
-    st = first_by(graphs.states.select("host", "id", "state_seq", "url"), ["host", "id"], ["state_seq"], ["url"])
+    st = last_by_id(graphs.states, agg.select("host", F.col("root").alias("id")), ["url"])
     agg = agg.join(st.select("host", F.col("id").alias("root"), F.col("url").alias("start_url")), ["host", "root"], "left").drop("host", "root")
     status = (
         F.when(_blank("goal") & _blank("match"), "invalid_args")
@@ -151,10 +152,10 @@ def howto(graphs: Graphs, questions: DataFrame, show_all: bool = False) -> DataF
 
 def path_step_structs(picked: DataFrame, graphs: Graphs) -> DataFrame:
     """Adds ``path_steps``: a link step goes to its target's url, any other step clicks its selector."""
-    dest = graphs.states.select("host", F.col("id").alias("dst"), F.col("url").alias("dest_url"))
     paths = picked.select("host", "root", "state_id", "path").dropDuplicates(["host", "root", "state_id"])
     steps = path_steps(paths, graphs.edges.select("host", "edge_seq", "dst", "label", "selector", "kind"), ["host", "root", "state_id"])
-    steps = steps.join(first_by(dest, ["host", "dst"], ["dest_url"]), ["host", "dst"], "left")
+    dest = last_by_id(graphs.states, steps.select("host", F.col("dst").alias("id")), ["url"])
+    steps = steps.join(dest.select("host", F.col("id").alias("dst"), F.col("url").alias("dest_url")), ["host", "dst"], "left")
     one = F.struct(
         "step", "label", "selector", F.when(F.col("kind") == "link", F.col("dest_url")).alias("href"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels, urls
 from ..operators.graph import all_simple_paths, path_steps, resolve_nodes, shortest_link_path, structural
-from ..operators.rows import first_by, spread
+from ..operators.rows import first_by, last_by_id, spread
 from ..session import cut
 
 
@@ -36,12 +36,13 @@ def link_paths(
 
 def link_path_steps(answers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each step of the shortest paths with its label, kind and target."""
-    n = nodes.select("host", F.col("id").alias("dst"), labels.label_of("url", "title", "id").alias("to_url"))
+    n = nodes.withColumn("to_url", labels.label_of("url", "title", "id"))
     steps = path_steps(
         answers.where("status = 'ok'").select("q_id", "host", "path"),
         edges.select("host", "edge_seq", "dst", "label", "kind"), ["q_id", "host"],
     )
-    return steps.join(first_by(n, ["host", "dst"], ["to_url"]), ["host", "dst"], "left").select(
+    n = last_by_id(n, steps.select("host", F.col("dst").alias("id")), ["to_url"], "node_seq").withColumnRenamed("id", "dst")
+    return steps.join(n, ["host", "dst"], "left").select(
         "q_id", "host", "step", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("kind", F.lit("link")).alias("kind"),
         F.coalesce("to_url", "dst").alias("to_url"),
     )
