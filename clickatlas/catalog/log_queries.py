@@ -321,14 +321,20 @@ def _event_stream(spark, sf):
 
 @query("progress_stream", """SELECT user_id AS crawl_id, count(*) AS lines, max(event_id) AS states, arg_max(event_id % 30, event_id) AS controls FROM events WHERE event_type <> 'error' GROUP BY 1""")
 def progress_stream(spark, sf):
-    out = ST.complete_table(ST.progress_stream(_progress_lines(_event_stream(spark, sf))), work_dir(spark))
-    return out.select("crawl_id", "lines", "states", "controls")
+    base = work_dir(spark)
+    ST.progress_stream(_progress_lines(_event_stream(spark, sf)), f"{base}/store", f"{base}/ckpt")
+    return ST.latest_progress(spark, f"{base}/store").select(big("crawl_id"), "lines", "states", "controls")
 
 
 @query("frame_stream", """SELECT user_id AS run_id, count(*) AS frames, count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS logs,
   arg_max(CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'error' END, event_id) FILTER (WHERE event_type = 'purchase') AS result_status FROM events GROUP BY 1""")
 def frame_stream(spark, sf):
-    return ST.complete_table(ST.frame_stream(_lines(_event_stream(spark, sf))), work_dir(spark))
+    base = work_dir(spark)
+    ST.frame_stream(_lines(_event_stream(spark, sf)), f"{base}/store", f"{base}/ckpt")
+    kept = ST.stored_frames(spark, f"{base}/store").groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("kept"))
+    # counts and frames themselves must agree
+    both = ST.frame_totals(spark, f"{base}/store").join(kept, "run_id").where("kept = frames")
+    return both.select(big("run_id"), "frames", "logs", "result_status")
 
 
 @query("run_stream", """SELECT user_id AS run_id, CASE WHEN bool_or(event_type = 'purchase') THEN arg_max(CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'error' END, event_id) FILTER (WHERE event_type = 'purchase')

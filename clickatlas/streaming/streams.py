@@ -32,29 +32,136 @@ def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def complete_table(agg: DataFrame, path: str) -> DataFrame:
-    """Run an aggregating stream to its end and keep its full result as a table."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+#: Parts of a keyed store; a batch rewrites only the parts that hold its keys.
+BUCKETS = 16
 
-    run_to_end(checkpointed(agg.writeStream.outputMode("complete").foreachBatch(step), f"{path}/checkpoint").start())
-    return agg.sparkSession.read.schema(agg.schema).parquet(f"{path}/table")
 
+def _versions(spark: SparkSession, store: str) -> dict[tuple[int, str], list[int]]:
+    """Buckets that each version of a store holds: ``v=<number>.<stream>-<batch>/bucket=<b>``."""
+    out = {}
+    if _exists(spark, store):
+        p = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if name.startswith("v="):
+                number, _, tag = name[2:].partition(".")
+                out[int(number), tag] = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(f.getPath()) if x.getPath().getName().startswith("bucket=")]
+    return out
 
-def progress_stream(lines: DataFrame) -> DataFrame:
-    """Latest counters per crawl, from (crawl_id, seq, line)."""
-    p = parse_progress(lines).where("type = 'progress'")
-    latest = F.max_by(F.struct("states", "visits", "depth", "url", "controls"), "seq")
-    return p.groupBy("crawl_id").agg(latest.alias("p"), F.count("*").alias("lines")).select("crawl_id", "lines", "p.*")
 
+def _newest(versions: dict, before: int | None = None) -> dict[int, tuple[int, str]]:
+    """The newest version that holds each bucket."""
+    out = {}
+    for v in sorted(versions):
+        if before is None or v[0] < before:
+            out |= dict.fromkeys(versions[v], v)
+    return out
 
-def frame_stream(lines: DataFrame) -> DataFrame:
-    """Frames and the last result per run, from (run_id, seq, line)."""
-    f = parse_frames(lines)
-    return f.groupBy("run_id").agg(
-        F.count("*").alias("frames"), F.count_if(F.col("type") == "log").alias("logs"),
-        F.max_by("status", F.when(F.col("type") == "result", F.col("seq"))).alias("result_status"),
-    )
+
+def _folder(store: str, version: tuple[int, str], bucket: int) -> str:
+    return f"{store}/v={version[0]}.{version[1]}/bucket={bucket}"
+
+
+def read_store(spark: SparkSession, store: str, schema: str, buckets: set[int] | None = None, before: int | None = None) -> DataFrame:
+    """Rows of a keyed store, of some buckets or of all."""
+    at = _newest(_versions(spark, store), before)
+    places = [_folder(store, v, b) for b, v in at.items() if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*places) if places else _empty(spark, schema)
+
+
+def fold_into_store(batch: DataFrame, tag: str, store: str, schema: str, key: str, fold) -> None:
+    """Fold a batch into a store with one row a key.
+
+    ``fold(old, batch)`` gives the new rows of the batch's buckets.  They become a
+    version named ``tag``, by stream and batch: a batch that runs again finds the
+    version, reads what was there before and writes it anew.  What is older than
+    the version before is deleted, so a store holds two versions of a bucket at
+    most.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+    held = _versions(spark, store)
+    number = next((n for n, t in held if t == tag), max((n for n, _ in held), default=0) + 1)
+    # at most BUCKETS numbers
+    touched = {r[0] for r in batch.select(bucket).distinct().collect()}
+    if not touched:
+        return
+    old = read_store(spark, store, schema, touched, number)
+    fold(old, batch).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v={number}.{tag}")
+    before = _newest(held, number)
+    p = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for version, buckets in held.items():
+        for b in buckets:
+            if b in touched and version[0] < number and version != before.get(b):
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(store, version, b)), True)
+
+
+def _run(stream: DataFrame, checkpoint: str, step) -> None:
+    """Run ``step(batch, tag)`` on each batch; the tag names stream and batch."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            step(batch, f"{stream_id(batch.sparkSession, checkpoint)}-{batch_id}")
+        finally:
+            batch.unpersist()
+
+    run_to_end(checkpointed(stream.writeStream.foreachBatch(each), checkpoint).start())
+
+
+_PROGRESS = "crawl_id string, lines bigint, seq bigint, states bigint, visits bigint, depth bigint, url string, controls bigint"
+
+
+def progress_stream(lines: DataFrame, store: str, checkpoint: str) -> None:
+    """Keep the latest counters of each crawl, from (crawl_id, seq, line)."""
+    last = ["seq", "states", "visits", "depth", "url", "controls"]
+
+    def fold(old: DataFrame, batch: DataFrame) -> DataFrame:
+        p = parse_progress(batch).where("type = 'progress'").select(
+            F.col("crawl_id").cast("string").alias("crawl_id"), F.lit(1).cast("bigint").alias("lines"), *[F.col(c).cast("string" if c == "url" else "bigint").alias(c) for c in last])
+        both = old.unionByName(p)
+        return both.groupBy("crawl_id").agg(F.sum("lines").alias("lines"), F.max_by(F.struct(*last), "seq").alias("p")).select("crawl_id", "lines", "p.*")
+
+    _run(lines, checkpoint, lambda batch, tag: fold_into_store(batch, tag, store, _PROGRESS, "crawl_id", fold))
+
+
+def latest_progress(spark: SparkSession, store: str) -> DataFrame:
+    return read_store(spark, store, _PROGRESS)
+
+
+_FRAMES = "run_id string, frames bigint, logs bigint, result_seq bigint, result_status string"
+
+
+def frame_stream(lines: DataFrame, store: str, checkpoint: str) -> None:
+    """Keep every frame of every run, and each run's counts and last result, from (run_id, seq, line).
+
+    Frames lie in a folder by stream and batch, which a batch that runs again
+    overwrites.
+    """
+    def fold(old: DataFrame, batch: DataFrame) -> DataFrame:
+        result = F.col("type") == "result"
+        new = batch.select(
+            F.col("run_id").cast("string").alias("run_id"), F.lit(1).cast("bigint").alias("frames"), F.when(F.col("type") == "log", 1).otherwise(0).cast("bigint").alias("logs"),
+            F.when(result, F.col("seq")).cast("bigint").alias("result_seq"), F.when(result, F.col("status")).alias("result_status"))
+        both = old.unionByName(new)
+        return both.groupBy("run_id").agg(
+            F.sum("frames").alias("frames"), F.sum("logs").alias("logs"), F.max("result_seq").alias("result_seq"), F.max_by("result_status", "result_seq").alias("result_status"))
+
+    def step(batch: DataFrame, tag: str) -> None:
+        frames = parse_frames(batch)
+        frames.withColumn("part", F.lit(tag)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{store}/frames")
+        fold_into_store(frames, tag, f"{store}/runs", _FRAMES, "run_id", fold)
+
+    _run(lines, checkpoint, step)
+
+
+def frame_totals(spark: SparkSession, store: str) -> DataFrame:
+    return read_store(spark, f"{store}/runs", _FRAMES)
+
+
+def stored_frames(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/frames").drop("part")
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -162,23 +269,14 @@ def fold_runs(old: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def run_stream(frames: DataFrame, store: str, checkpoint: str) -> None:
-    """Keep one record per run up to date.
+    """Keep one record per run up to date: ``running`` until a result, ``error`` when it ended without one."""
+    def step(batch: DataFrame, tag: str) -> None:
+        batch = batch.withColumn("run_id", F.col("run_id").cast("string"))
+        fold_into_store(batch, tag, store, _RUNS, "run_id", fold_runs)
 
-    Each batch writes a new version of the table, named by its number; a replay
-    starts again from the version before.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = f"{store}/v={batch_id - 1}"
-        old = spark.read.schema(_RUNS).parquet(prev) if batch_id and _exists(spark, prev) else _empty(spark, _RUNS)
-        fold_runs(old, batch.withColumn("run_id", F.col("run_id").cast("string"))).write.mode("overwrite").parquet(f"{store}/v={batch_id}")
-
-    run_to_end(checkpointed(frames.writeStream.foreachBatch(step), checkpoint).start())
+    _run(frames, checkpoint, step)
 
 
 def latest_runs(spark: SparkSession, store: str) -> DataFrame:
-    """The newest version of the run table."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(store)
-    versions = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-    last = max(int(v.split("=")[1]) for v in versions if v.startswith("v="))
-    return spark.read.schema(_RUNS).parquet(f"{store}/v={last}")
+    """The run table as it stands."""
+    return read_store(spark, store, _RUNS)

@@ -89,3 +89,39 @@ def test_run_stream_survives_restart(spark, tmp_path):
 
     assert feed([("a", 1, "step", "ok"), ("b", 1, "step", "ok"), ("c", 1, "result", "ok")]) == {"a": ("running", 1), "b": ("running", 1), "c": ("ok", 1)}
     assert feed([("a", 2, "exit", None), ("b", 2, "result", "aborted")]) == {"a": ("error", 2), "b": ("aborted", 2), "c": ("ok", 1)}
+
+
+def test_a_new_stream_extends_the_store(spark, tmp_path):
+    schema = "run_id string, seq long, type string, status string"
+    store = str(tmp_path / "runs")
+    for i, rows in enumerate([[("a", 1, "step", "ok"), ("b", 1, "step", "ok")], [("b", 2, "result", "ok"), ("c", 1, "step", "ok")]]):
+        src = str(tmp_path / f"in{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+        ST.run_stream(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / f"ck{i}"))
+    assert {r["run_id"]: (r["status"], r["frames"]) for r in ST.latest_runs(spark, store).collect()} == {"a": ("running", 1), "b": ("ok", 2), "c": ("running", 1)}
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    store, shape = str(tmp_path / "s"), "k string, n bigint"
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    batch = lambda *rows: spark.createDataFrame(rows, shape)
+    read = lambda: {r["k"]: r["n"] for r in ST.read_store(spark, store, shape).collect()}
+    ST.fold_into_store(batch(("a", 1), ("b", 1)), "x-0", store, shape, "k", add)
+    for _ in range(2):
+        ST.fold_into_store(batch(("a", 5), ("c", 1)), "x-1", store, shape, "k", add)
+        assert read() == {"a": 6, "b": 1, "c": 1}
+    for i in range(2, 6):
+        ST.fold_into_store(batch(("a", 1)), f"x-{i}", store, shape, "k", add)
+    assert read() == {"a": 10, "b": 1, "c": 1}
+    # two versions of the bucket that changed, not one a batch
+    changed = max(ST._newest(ST._versions(spark, store)).items(), key=lambda x: x[1])[0]
+    assert sum(changed in b for b in ST._versions(spark, store).values()) == 2
+
+
+def test_ledger_outlives_its_streams(spark, tmp_path):
+    base = str(tmp_path)
+    for i, (sha, name) in enumerate([("x", "1"), ("y", "2"), ("x", "3"), ("z", "4")]):
+        stream = "a" if i < 2 else "b"
+        spark.createDataFrame([("s", i, sha, name, 1, "t")], FILES).coalesce(1).write.mode("append").parquet(f"{base}/in_{stream}")
+        ST.ledger_stream(spark.readStream.schema(FILES).parquet(f"{base}/in_{stream}"), f"{base}/ledger", "/st", "NOW", f"{base}/ck_{stream}")
+    assert sorted((r["sha256"], r["name"]) for r in ST.stored_ledger(spark, f"{base}/ledger").collect()) == [("x", "1"), ("y", "2"), ("z", "4")]
