@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 
-# A side is broadcast only after its rows were counted and stay under this bound.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     b = (
