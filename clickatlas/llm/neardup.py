@@ -119,8 +119,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(make, "a binary, b binary")
 
 
-def _rest(long: DataFrame, hubs: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """Pairs that star links may have missed, and how many classes they may concern.
+def _rest(long: DataFrame, hubs: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs that star links may have missed; None if there can be none.
 
     Those are members of long lists that are in another component than the hub of
     a list of theirs.  Tokens are ordered by how many members have them; sets of
@@ -128,14 +128,13 @@ def _rest(long: DataFrame, hubs: DataFrame, sets: DataFrame, links: DataFrame, p
     each, and behind their first shared token at most what is left of the shorter
     one.
     """
-    label = components(links)
     at = lambda d, c, to: d.join(label.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
     members = at(long.select("node").distinct(), "node", "label")
     hub = at(hubs.select("key", "hub"), "hub", "hub_label")
     apart = at(long, "node", "label").join(hub, "key").where("label <> hub_label").select("node").distinct()
     apart, seen = cut_counted(apart, work_dir(sets.sparkSession), n=F.lit(1))
     if not seen["n"]:
-        return links.limit(0), 0
+        return None
 
     def spell(batches):
         for batch in batches:
@@ -158,7 +157,7 @@ def _rest(long: DataFrame, hubs: DataFrame, sets: DataFrame, links: DataFrame, p
     fits = (100 + percent) * left >= percent * (F.col("x_size") + F.col("y_size"))
     sizes = 100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")
     j = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label")) & sizes & fits)
-    return j.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), seen["n"]
+    return j.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -193,12 +192,18 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pairs = cut(_likely(pairs, classes, percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
     sets = _sets(rows, classes.select("node", "doc_id", "text_key").join(wanted, "node", "left_semi"), size)
-    links = cut(_verified(pairs, sets, percent))
-    more, n = _rest(long, hubs, sets, links, percent)
-    if n:
-        links = cut(links.unionByName(_verified(_likely(more, classes, percent), sets, percent)))
-
-    label = components(links)
+    label = cut(components(_verified(pairs, sets, percent)))
+    more = _rest(long, hubs, sets, label, percent)
+    if more is not None:
+        # links between components join whole components: only those are searched again
+        ends = _verified(_likely(more, classes, percent), sets, percent)
+        for end in "ab":
+            to = label.select(F.col("node").alias(end), F.col("label").alias("to"))
+            ends = ends.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        wider = components(ends).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+        alone = wider.join(label.select("label"), "label", "left_anti").select(F.col("label").alias("node"), F.col("wider").alias("label"))
+        label = label.join(wider, "label", "left").select("node", F.coalesce("wider", "label").alias("label")).unionByName(alone)
+        label = cut(label)
     named = classes.select("node", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     answer = named.join(lowest, "label").select("node", "component_id", F.col("label").alias("component"))
