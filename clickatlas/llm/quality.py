@@ -165,11 +165,13 @@ def fences(sketches: DataFrame) -> DataFrame:
         return agg.select(*by, F.struct("docs", *[f"{r.signal}_{s}" for r in RULES for s in ("low", "high")]).alias(name))
 
     own = bounds(_quantiles(sketches, ["lang", "source"]), ["lang", "source"], "own")
-    # corpus-wide sums have one row a signal; a constant key keeps them a plain join
     langs = bounds(_quantiles(sketches, ["lang"]), ["lang"], "by_lang").withColumnRenamed("lang", "of_lang")
-    corpus = bounds(_quantiles(sketches.withColumn("one", F.lit(1)), ["one"]), ["one"], "overall")
-    j = own.join(langs, own["lang"].eqNullSafe(langs["of_lang"]), "left").withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one")
-    pick = F.when(F.col("own.docs") >= GROUP, F.col("own")).when(F.col("by_lang.docs") >= GROUP, F.col("by_lang")).otherwise(F.col("overall"))
+    # one row of a few numbers: the fences of the whole corpus
+    corpus = bounds(_quantiles(sketches.withColumn("one", F.lit(1)), ["one"]), ["one"], "overall").first()
+    j = own.join(langs, own["lang"].eqNullSafe(langs["of_lang"]), "left")
+    names = [f.name for f in own.schema["own"].dataType]
+    overall = F.struct(*[F.lit(corpus["overall"][n] if corpus else None).cast("bigint").alias(n) for n in names])
+    pick = F.when(F.col("own.docs") >= GROUP, F.col("own")).when(F.col("by_lang.docs") >= GROUP, F.col("by_lang")).otherwise(overall)
     return j.select("lang", "source", pick.alias("fences"))
 
 
