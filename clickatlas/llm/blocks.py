@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_counted, work_dir
@@ -29,13 +29,19 @@ SHARD_BYTES = 32 << 20
 #: Stands for a null doc_id: it comes before all others.
 NO_ID = np.iinfo(np.int64).min
 
-#: Rows hold a megabyte and more here, so the default of 64 MB an Arrow batch would cost every task several times that.
+#: An Arrow batch is held several times over, in the JVM, in Python and as arrays of hashes; the default is 64 MB.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BLOCK_SCHEMA = "block bigint, part int, n bigint, bytes bigint, payload binary"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES`` where they are larger: a task then holds little text at once."""
+    if spark.conf.get(_BATCH_CONF) != str(BATCH_BYTES):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def _dump(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -58,9 +64,7 @@ def to_blocks(docs: DataFrame, part=None, size: int = BLOCK_BYTES) -> tuple[Data
     Returns the table and the number of shards for its size.  Lowers the session's
     Arrow batches to ``BATCH_BYTES`` where they are larger.
     """
-    conf = docs.sparkSession.conf
-    if conf.get(_BATCH_CONF) != str(BATCH_BYTES):
-        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    small_batches(docs.sparkSession)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         held: dict[int, list[pa.Table]] = {}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import small_batches
 from .words import PLAIN, U64, Words, rolling_words
 
 WINDOW = 13
@@ -131,6 +132,7 @@ def verbatim(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound:
     executor holds two.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // bound))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, cut_counted, work_dir
+from .blocks import small_batches
 from .graph import components
 from .words import U64, Words, mix, rolling_words
 
@@ -174,6 +175,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     other and share their answer.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    small_batches(docs.sparkSession)
     all_ = cut(sketches(rows, size))
     one = F.min(F.struct("doc_id", "text_key", "sketch", "n_shingles"))
     classes = cut(all_.where("node is not null").groupBy("node").agg(one.alias("r"), F.min("doc_id").alias("low")).select("node", "low", "r.*"))
