@@ -368,6 +368,15 @@ def paths_between(spark, sf):
     return P.path_between(cut(nodes), cut(edges), pages, asks, use_global=True).select("host", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"))
 
 
+@query("paths_between_pages", f"WITH {_HUB}, keep AS MATERIALIZED (SELECT * FROM edges e WHERE (e.host, e.dst) NOT IN (SELECT host, dst FROM hub)), {_ROOTS}, {Q.bfs('roots', 'keep')} SELECT h.host, coalesce(r.depth, -1)::BIGINT AS clicks FROM (SELECT DISTINCT host FROM cust) h LEFT JOIN reached r ON r.host = h.host AND r.node = (SELECT 's:' || max(s) FROM ln WHERE ln.host = h.host)")
+def paths_between_pages(spark, sf):
+    # without links to hubs, which is how paths are asked for by default
+    nodes, edges, pages = D.link_graph(spark, sf)
+    high = D.lines(spark, sf).groupBy("host").agg(F.max("s").alias("s"))
+    asks = high.select("host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("a"), F.concat(F.lit("Supplier "), F.col("s").cast("string")).alias("b"))
+    return P.path_between(cut(nodes), cut(edges), _hub_pages(pages), asks).select("host", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"))
+
+
 @query("merged_states", f"WITH {Q.LN}, {Q.STATES} SELECT host, id, CASE WHEN id LIKE 'c:%' THEN 'new' ELSE label END AS label FROM states")
 def merged_states(spark, sf):
     s = D.graphs(spark, sf, with_items=False).states.select("host", "id", "label", "depth")
