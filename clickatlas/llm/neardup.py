@@ -75,11 +75,14 @@ def _listed(entries: DataFrame, limit: int) -> DataFrame:
     return entries.join(n, "key").withColumn("long", F.col("n") > limit)
 
 
-def _pairs(short: DataFrame) -> DataFrame:
-    """All pairs of each list; a list here is no longer than its limit."""
-    rest = F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    lists = short.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
-    return lists.select(F.explode(F.flatten(rest)).alias("p")).select("p.a", "p.b").distinct()
+def _pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each list whose sizes allow the similarity; a list here is no longer than its limit."""
+    near = lambda x: F.filter(F.col("rest"), lambda y: 100 * x["n_shingles"] >= percent * y["n_shingles"])
+    lists = short.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n_shingles", "node"))).alias("nodes")).where(F.size("nodes") > 1)
+    # sizes rise within a list, so each entry is paired with later ones only
+    each = lists.select("nodes", F.posexplode("nodes").alias("i", "x")).withColumn("rest", F.slice("nodes", F.col("i") + 2, F.size("nodes")))
+    pairs = each.select("x", F.explode(near(F.col("x"))).alias("y"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -180,17 +183,17 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one = F.min(F.struct("doc_id", "text_key", "sketch", "n_shingles"))
     classes = cut(all_.where("node is not null").groupBy("node").agg(one.alias("r"), F.min("doc_id").alias("low")).select("node", "low", "r.*"))
 
-    index = classes.where("n_shingles > 2").select("node", F.explode(F.slice("sketch", 1, INDEX)).alias("key"))
+    index = classes.where("n_shingles > 2").select("node", "n_shingles", F.explode(F.slice("sketch", 1, INDEX)).alias("key"))
     first = cut(_listed(index, LIST))
     again = classes.join(first.where("long").select("node").distinct(), "node", "left_semi")
     three = F.transform(F.sequence(F.lit(0), F.size("sketch") - 3), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1), F.get("sketch", i + 2)))
-    second = cut(_listed(again.where(F.size("sketch") >= 3).select("node", F.explode(three).alias("key")).distinct(), LIST))
+    second = cut(_listed(again.where(F.size("sketch") >= 3).select("node", "n_shingles", F.explode(three).alias("key")).distinct(), LIST))
     long = second.where("long").select("key", "node")
     # the typical member of a list is in most long lists: it has the fewest values of its own
     typical = long.groupBy("node").agg(F.count("*").alias("in"))
     hubs = cut(long.join(typical, "node").groupBy("key").agg(F.max(F.struct("in", "node")).alias("h")).select("key", F.col("h.node").alias("hub")))
     star = long.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = _pairs(first.where("not long")).unionByName(_pairs(second.where("not long"))).unionByName(star).distinct()
+    pairs = _pairs(first.where("not long"), percent).unionByName(_pairs(second.where("not long"), percent)).unionByName(star).distinct()
     pairs = cut(_likely(pairs, classes, percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
     sets = _sets(rows, classes.select("node", "doc_id", "text_key").join(wanted, "node", "left_semi"), size)
