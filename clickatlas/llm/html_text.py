@@ -2,17 +2,22 @@
 
 A page is a tree of tag paths: elements with the same path of tags (with their
 class and id words) share a node.  For each path the text length, the punctuation
-and the text inside links are added up.  The ratio of a path is its text length a
-text node, raised by its punctuation and lowered by its links.  Ratios are
-smoothed down the tree (a path takes half of its parent's), fused with what the
-tags themselves say, and paths above a threshold are content.
-
-The tags say: navigation, forms, notices and the like hold no content, whatever
-their ratio; if there is an article, content is inside it.
+and the text inside links are added up; inline elements count with the block they
+stand in.  The ratio of a path is its text length a line, raised by its punctuation
+and lowered by its links.  Ratios are smoothed along the tree (less within an
+article, where a short heading belongs to its paragraphs; never to link lists),
+fused with what tags and names say, and paths above a threshold are content, on
+every page.
+
+What tags and names say: navigation, footers, buttons and the like hold no
+content.  Forms and elements of a boilerplate name have their score lowered, unless
+they hold the page's article or long, punctuated prose without links.  Text outside
+articles counts by the share of the page's text that lies there.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -27,7 +32,12 @@ SHARE = 0.1
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-_WORD = re.compile(r"[a-z]+")
+#: A named path keeps this share of its score.
+NAMED = 0.002
+#: A line this long is prose, not a label or a notice's button.
+LONG = 100
+#: What a path takes of its parent's ratio and gives to it, outside and inside an article.
+SMOOTH, SMOOTH_RICH = 0.5, 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object select xmp noembed noframes".split())
@@ -39,36 +49,62 @@ BLOCK = frozenset(
 _ENDS_P = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-# Elements that hold no main text, and words of class, id and role that say so.
-BOILERPLATE = frozenset("nav footer aside form button dialog menu head fieldset label input search".split())
-_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion "
-    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies "
-    "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+# Elements that hold no main text, elements that seldom do, and class, id and role tokens that say so.
+BOILERPLATE = frozenset("nav footer aside button dialog menu head label input search".split())
+_SELDOM = frozenset("form fieldset".split())
+_FIRM = (
+    "ad ads advert adverts advertisement advertisements breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr masthead modal nav navbar "
+    "navigation newsletter newsletters notice notices pager pagination popup promo promoted sidebar sidebars skip sponsored sponsors toolbar widget widgets"
 )
-_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
+# words that also name the sections of a text
+_PLAIN = "advertising banner discussion login menu promotion related search share sharing signup social sponsor subscribe"
+_THREAD = "comment comments disqus replies reply respond"
+_FILL = "area bar block bottom box button buttons column container content form hero icons inner item items left link links list main panel post posts right section site text title top wrap wrapper"
+# a token is a name if it is made of these words only: sidebar-left, commentlist; not no-sidebar, commentary, related-work
+_ANY = "|".join(sorted({*_FIRM.split(), *_PLAIN.split(), *_THREAD.split(), *_FILL.split()}, key=lambda w: (-len(w), w)))
+_TOKEN_NAME = re.compile(rf"(?:(?:{_ANY})[-_\d]*)+")
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# an id there is an anchor, a class there describes the page
+_UNNAMED = _HEADS | {"html", "body", "main"}
+_INNER = frozenset("ul ol dl table tbody thead tfoot tr".split())
+_LISTED = frozenset("li dt dd tbody thead tfoot tr td th".split())
+PLAIN, FIRM, THREAD = 1, 2, 3
+_KINDS = [(THREAD, re.compile("|".join(sorted(_THREAD.split(), key=len, reverse=True)))), (FIRM, re.compile("|".join(sorted(_FIRM.split(), key=len, reverse=True)))), (PLAIN, re.compile("|".join(_PLAIN.split())))]
 ARTICLE = frozenset(("article", "main"))
 
 
+@functools.lru_cache(1 << 14)
+def _kind(token: str) -> int:
+    """What a class, id or role token says: PLAIN, FIRM or THREAD; 0 if it is no boilerplate name."""
+    if not _TOKEN_NAME.fullmatch(token):
+        return 0
+    return next((kind for kind, words in _KINDS if words.search(token)), 0)
+
+
 class Path:
-    """A tag path with the sums over its text."""
+    """A tag path with the sums over its text; ``group`` is the path of the block it stands in."""
 
-    __slots__ = ("children", "chars", "content", "index", "label", "linked", "nodes", "parent", "poor", "punctuation", "rich", "score")
+    __slots__ = ("all", "chars", "children", "content", "group", "label", "linked", "long", "lowered", "named", "nodes", "parent", "poor", "punctuation", "rich", "runs", "score", "sums", "tag")
 
-    def __init__(self, parent, label: str, poor: bool, rich: bool):
-        self.parent, self.label, self.poor, self.rich = parent, label, poor, rich
+    def __init__(self, parent, label: str, tag: str, poor: bool, rich: bool, named: int):
+        self.parent, self.label, self.tag, self.poor, self.rich, self.named = parent, label, tag, poor, rich, named
+        self.group = self if parent is None or tag in BLOCK or named or poor != parent.poor or rich != parent.rich else parent.group
         self.children: dict = {}
-        self.nodes = self.chars = self.punctuation = self.linked = 0
-        self.score, self.content = 0.0, False
+        self.nodes = self.chars = self.punctuation = self.linked = self.long = self.runs = 0
+        self.score, self.content, self.lowered = 0.0, False, False
+        self.sums = self.all = (0, 0, 0, 0)
 
     def child(self, tag: str, names: str) -> Path:
         label = f"{tag}.{names}" if names else tag
         got = self.children.get(label)
         if got is None:
-            words = set(_WORD.findall(names))
-            poor = self.poor or tag in BOILERPLATE or bool(words & _NAMES) or any(w.startswith(_STARTS) for w in words) or (tag == "header" and not self.rich) or "hidden" in words
-            rich = self.rich or tag in ARTICLE or "main" in words and "role" in words
-            got = self.children[label] = Path(self, label, poor, rich)
+            tokens = names.split()
+            rich = self.rich or tag in ARTICLE or "main" in tokens and "role" in tokens
+            whole = tag in ("html", "body")
+            poor = self.poor or not whole and (tag in BOILERPLATE or "hidden" in tokens or tag == "header" and not self.rich)
+            opens = rich and not self.rich and tag not in ARTICLE
+            named = 0 if tag in _UNNAMED or opens else max(map(_kind, tokens), default=0) or (FIRM if tag in _SELDOM else 0)
+            got = self.children[label] = Path(self, label, tag, poor, rich, named)
         return got
 
     def spelled(self) -> str:
@@ -100,7 +136,7 @@ def _names(attributes: str) -> str:
 
 def parse(page: str) -> tuple[list[Path], list[tuple[Path, int, str]]]:
     """Paths of a page, and its text in order as (path, block number, decoded text)."""
-    root = Path(None, "", False, False)
+    root = Path(None, "", "", False, False, 0)
     stack: list[tuple[str, Path]] = [("", root)]
     paths, texts, block, links, at, n = [root], [], 0, 0, 0, len(page)
 
@@ -166,31 +202,89 @@ def parse(page: str) -> tuple[list[Path], list[tuple[Path, int, str]]]:
             paths.append(path)
         stack.append((tag, path))
         links += tag == "a"
+    sizes: dict[int, int] = {}
+    for _, number, got in texts:
+        sizes[number] = sizes.get(number, 0) + len(got.strip())
+    seen = set()
+    for path, number, got in texts:
+        if not got.isspace():
+            if sizes[number] >= LONG:
+                path.long += len(got.strip())
+            if (id(path.group), number) not in seen:
+                seen.add((id(path.group), number))
+                path.group.runs += 1
     return paths, texts
 
 
+def _lower(paths: list[Path]) -> None:
+    """Which paths a boilerplate name lowers; names of the page's article and of what holds it do not count."""
+    best, exempt = 0.0, None
+    for p in paths:
+        above = p.parent
+        p.lowered = bool(above and above.lowered)
+        if p.named and not p.lowered:
+            chars, punctuation, linked, long = p.all
+            prose = 2 * long >= chars > 0 and 100 * punctuation >= chars and 5 * linked <= chars
+            p.lowered = not (prose and (p.named == PLAIN or p.named == FIRM and p.rich and p.tag not in _SELDOM))
+        if p.rich and not p.poor and above and not above.rich:
+            weight = p.all[0] * (1 if p.tag == "article" else 10) * (0.2 if p.lowered else 1)
+            if weight > best:
+                best, exempt = weight, p
+    at, again = exempt, False
+    while at is not None:
+        if at.named == THREAD:
+            return
+        again |= at.lowered and at.named > 0
+        at.named, at = 0, at.parent
+    if again:
+        _lower(paths)
+
+
 def judge(paths: list[Path], share: float = SHARE) -> None:
     """Smooth, fuse and threshold the ratios of the paths, which are listed parents first."""
-    article = any(p.rich and not p.poor and p.chars for p in paths)
+    own_sums: dict[int, list[int]] = {}
     for p in paths:
-        own = p.chars / p.nodes * (1 + p.punctuation / p.nodes) * (1 - p.linked / p.chars) if p.chars else 0.0
-        # a path takes half of its parent's ratio, so a short heading beside long paragraphs keeps up
-        p.score = max(own, (own + p.parent.score) / 2) if p.parent else own
-    # and half of what its children have, through their parent
-    best: dict[int, float] = {}
+        held = own_sums.setdefault(id(p.group), [0, 0, 0, 0])
+        for i, x in enumerate((p.chars, p.punctuation, p.linked, p.long)):
+            held[i] += x
+        p.all = (p.chars, p.punctuation, p.linked, p.long)
     for p in reversed(paths):
-        mine = max(p.score, best.get(id(p), 0.0) / 2)
-        p.score = mine
-        if p.parent is not None and not p.poor:
-            best[id(p.parent)] = max(best.get(id(p.parent), 0.0), mine)
+        if p.parent is not None and (not p.poor or p.parent.poor):
+            p.parent.all = tuple(x + y for x, y in zip(p.parent.all, p.all, strict=True))
+    _lower(paths)
+    groups = [p for p in paths if p.group is p]
+
+    def kept(p: Path) -> float:
+        """The share of a block's text that is not in links, for list items and cells of their whole list."""
+        if p.rich and p.tag in _HEADS:
+            return 1.0
+        while p.tag in _LISTED and p.parent is not None and not p.parent.poor:
+            p = p.parent
+        return 1 - p.all[2] / p.all[0] if p.all[0] else 1.0
+
+    for p in groups:
+        p.sums = tuple(own_sums[id(p)])
+        chars, punctuation, linked, _ = p.sums
+        p.score = chars / p.runs * (1 + punctuation / p.runs) * (1 - linked / chars) if chars else 0.0
+    # a path takes a part of what its children have, and then of its parent's, so a short heading beside long paragraphs keeps up
+    for p in reversed(groups):
+        up = p.parent.group if p.parent is not None else None
+        if up is not None and not p.poor and p.lowered == up.lowered:
+            up.score = max(up.score, p.score * (1 if up.tag in _INNER else SMOOTH_RICH if up.rich else SMOOTH))
+    for p in groups:
+        up = p.parent.group if p.parent is not None else None
+        # whole parts of a page do not stand for each other
+        if up is not None and not (up.tag in ("", "html", "body") and p.tag in ("div", "section")):
+            p.score = max(p.score, up.score * kept(p) * (1 if p.tag in _INNER or p.tag in _LISTED else SMOOTH_RICH if up.rich else SMOOTH))
+    inside = sum(p.sums[0] for p in groups if p.rich and not p.poor and not p.lowered)
+    beside = sum(p.sums[0] for p in groups if not p.rich and not p.poor and not p.lowered)
+    outside = (beside / (inside + beside)) ** 2 if inside else 1.0
+    for p in groups:
+        p.score *= (0.0 if p.poor else 1.0) * (NAMED if p.lowered else 1.0) * (1.0 if p.rich else outside)
+    least = share * max((p.score for p in groups if p.sums[0]), default=0.0)
     for p in paths:
-        if p.parent is not None:
-            p.score = max(p.score, p.parent.score / 2)
-    fused = [0.0 if p.poor or (article and not p.rich) else p.score for p in paths]
-    least = share * max(fused, default=0.0)
-    for p, score in zip(paths, fused, strict=True):
-        # inside an article only the tags take text out: its short lines are content too
-        p.score, p.content = score, not p.poor and (p.rich if article else score >= least and score > 0)
+        p.score = p.group.score
+        p.content = p.score >= least and p.score > 0
 
 
 def main_text(page: str | None, share: float = SHARE) -> tuple[str, list[Path]]:

@@ -239,6 +239,22 @@ def test_main_text():
     assert [html_text.main_text(x)[0] for x in (None, "", "plain, no tags", "<div", "<p>a<", "<article></article><p>x y z.</p>", "<!-- a")] == ["", "", "plain, no tags", "", "a<", "x y z.", ""]
 
 
+FIRST = "The first paragraph of the text, which is long enough to be prose, says a thing or two; it has commas, and it stops."
+OTHER = "Another paragraph follows here, also with some length, so that the text has more than one line of its own, as texts do."
+
+
+@pytest.mark.parametrize(("names", "tag"), [(n, t) for n in ("single no-sidebar", "has-sidebar", "post comments-open", "overflow-hidden") for t in ("div", "article", "main")] + [("right-sidebar", "article"), ("menu", "main")])
+def test_page_names_are_no_verdict(names, tag):
+    page = f'<html><body class="{names}"><nav>Home</nav><div class="{names}"><{tag}><h1>T</h1><p>{FIRST}<p>{OTHER}</{tag}></div><div class="sidebar"><p>{OTHER}</div></body></html>'
+    assert html_text.main_text(page)[0] == f"T\n{FIRST}\n{OTHER}"
+
+
+def test_names_inside_an_article():
+    kept = f'<section id="related-work"><h2>R</h2><p>{FIRST}</section><section id="discussion"><h2 id="web-search">W</h2><p>{OTHER}</section><div class="commentary"><p>c d</div>'
+    gone = f'<div class="comment-list"><p>{OTHER}</div><div class="newsletter">Get our news.</div><div class="sidebar-left">x</div>'
+    assert html_text.main_text(f"<article><h1>T</h1><p>{FIRST}</p>{kept}{gone}</article>")[0] == f"T\n{FIRST}\nR\n{FIRST}\nW\n{OTHER}\nc d"
+
+
 def test_pages_of_the_table(spark):
     got = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
