@@ -255,6 +255,14 @@ def test_names_inside_an_article():
     assert html_text.main_text(f"<article><h1>T</h1><p>{FIRST}</p>{kept}{gone}</article>")[0] == f"T\n{FIRST}\nR\n{FIRST}\nW\n{OTHER}\nc d"
 
 
+def test_ratio_selects_beside_and_inside_articles():
+    teaser, body = "<article><p>Read on.</article>", f"<div class=content><h2>H</h2><p>{FIRST}<p>{OTHER}<ul><li>x<li>y</ul></div>"
+    assert html_text.main_text(teaser + body)[0].endswith(f"H\n{FIRST}\n{OTHER}\nx\ny")
+    links = '<ul><li><a href="a">One</a><li><a href="b">Two</a></ul>'
+    page = f'<body><div class="bio">Bio, short.</div><article><h1><a href="#">T</a></h1><p>{FIRST}</p><div>{links}</div><table><tr><td>1<td>2</table><p>see <a href="c">this</a>.</article></body>'
+    assert html_text.main_text(page)[0] == f"T\n{FIRST}\n1\n2\nsee this."
+
+
 def test_pages_of_the_table(spark):
     got = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
