@@ -41,6 +41,10 @@ SMOOTH, SMOOTH_RICH = 0.5, 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object select xmp noembed noframes".split())
+# those that run to the end of the page without an end tag, and those that may be closed by a slash
+_TO_END = frozenset("script style textarea title".split())
+_SLASHED = frozenset("svg math".split())
+_VALUE = re.compile(r"=\s*[^\s\"'=]+\Z")
 # Fixed lists of HTML: elements that begin a line of their own, and which open elements a start tag ends.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -134,11 +138,29 @@ def _names(attributes: str) -> str:
     return " ".join(sorted(set(" ".join(out).split())))
 
 
+def _closed(tag: str, attributes: str) -> bool:
+    """Whether a start tag of svg or math is the whole element; the slash of an unquoted value is not."""
+    return tag in _SLASHED and attributes.endswith("/") and not _VALUE.search(attributes)
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a tag end, by the end of their start tags; those without an end tag are left out."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", page, re.I):
+        if not m[1]:
+            if not _closed(tag, m[2]):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def parse(page: str) -> tuple[list[Path], list[tuple[Path, int, str]]]:
     """Paths of a page, and its text in order as (path, block number, decoded text)."""
     root = Path(None, "", "", False, False, 0)
     stack: list[tuple[str, Path]] = [("", root)]
     paths, texts, block, links, at, n = [root], [], 0, 0, 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def text(a: int, z: int) -> None:
         raw = page[a:z]
@@ -180,8 +202,14 @@ def parse(page: str) -> tuple[list[Path], list[tuple[Path, int, str]]]:
             continue
         block += tag in BLOCK
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if tag in _TO_END:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+            elif not _closed(tag, m[3]):
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                # without an end tag only the start tag is skipped
+                at = ends[tag].get(at, at)
             continue
         if tag in VOID:
             continue

@@ -263,6 +263,13 @@ def test_ratio_selects_beside_and_inside_articles():
     assert html_text.main_text(page)[0] == f"T\n{FIRST}\n1\n2\nsee this."
 
 
+@pytest.mark.parametrize("tag", ['<svg width="1"/>', "<svg/>", "<math />", "<math>", "<object data=x>", "<svg a=b/><svg/></svg>", "<svg><svg></svg><text>t</text></svg>", '<svg><path d="m"/></svg>', "<svg hidden/>"])
+def test_elements_without_end_tag(tag):
+    assert html_text.main_text(f"<article><p>{FIRST}{tag} It ends.</p><p>{OTHER}</article>")[0] == f"{FIRST} It ends.\n{OTHER}"
+    assert html_text.main_text(f"<article><p>{FIRST}{tag} It ends.</p><p>{OTHER}<svg>no</svg></article>")[0] == f"{FIRST} It ends.\n{OTHER}"
+    assert html_text.main_text(f"<p>{FIRST}<script>{tag}")[0] == FIRST
+
+
 def test_pages_of_the_table(spark):
     got = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
