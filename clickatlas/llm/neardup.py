@@ -5,11 +5,14 @@ is its ``SKETCH`` smallest values.
 
 1. Documents with the same set of shingles are one class; only classes go on.
 2. Inverted lists of the ``INDEX`` smallest values give pairs of classes.  Two sets
-   of similarity 0.85 share none of 16 with probability 0.15 ** 16.
+   of similarity 0.85 share none of 16 with probability 0.15 ** 16; below 0.8 there
+   are more values to keep the odds.
 3. A list longer than ``LIST`` gives no pairs.  Classes in such lists are listed
-   again by each three consecutive values of their whole sketch, which separates
-   texts that merely share a passage.  Lists of those that are still long hold one
-   large group of copies: each member is paired with the list's most typical one.
+   again by each three consecutive values of their whole sketch (fewer at low
+   similarities), which separates texts that merely share a passage.  Lists of those
+   that are still long hold one large group of copies: each member is paired with
+   the list's most typical one.  Sets that are no larger than a sketch may share no
+   three: their long first lists are treated like these.
 4. The sketch of the union estimates the similarity; a pair stays unless that is
    five standard deviations short.  Full sets decide.
 5. Members of long lists that are not in the component of their typical member may
@@ -39,6 +42,25 @@ SKETCH, INDEX, LIST = 64, 16, 32
 BROADCAST_KEYS = 1_000_000
 
 
+def _index(percent: int) -> int:
+    """How many values are listed: sets of the similarity share none of them once in 1e11 pairs."""
+    miss = 1 - percent / 100
+    return INDEX if miss <= 0 else min(SKETCH, max(INDEX, math.ceil(math.log(1e-11) / math.log(miss))))
+
+
+def _run(percent: int) -> int:
+    """How many consecutive values are listed: at most three, and sketches of the similarity lack such a run once in 1e5 pairs."""
+    p = percent / 100
+    for run in (3, 2):
+        # chances of ending in 0, 1 .. shared values without a run so far
+        ends = [1.0] + [0.0] * (run - 1)
+        for _ in range(SKETCH):
+            ends = [(1 - p) * sum(ends), *(p * x for x in ends[:-1])]
+        if sum(ends) <= 1e-5:
+            return run
+    return 1
+
+
 def shingles(column, size: int) -> Iterator[np.ndarray]:
     """The set of distinct shingles of each text as sorted 63-bit hashes; fewer words than ``size`` are one shingle."""
     w = Words(column, lower=True)
@@ -183,12 +205,16 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one = F.min(F.struct("doc_id", "text_key", "sketch", "n_shingles"))
     classes = cut(all_.where("node is not null").groupBy("node").agg(one.alias("r"), F.min("doc_id").alias("low")).select("node", "low", "r.*"))
 
-    index = classes.where("n_shingles > 2").select("node", "n_shingles", F.explode(F.slice("sketch", 1, INDEX)).alias("key"))
+    # no other set is similar to one that a single further shingle puts too far away
+    index = classes.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)).select("node", "n_shingles", F.explode(F.slice("sketch", 1, _index(percent))).alias("key"))
     first = cut(_listed(index, LIST))
     again = classes.join(first.where("long").select("node").distinct(), "node", "left_semi")
-    three = F.transform(F.sequence(F.lit(0), F.size("sketch") - 3), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1), F.get("sketch", i + 2)))
-    second = cut(_listed(again.where(F.size("sketch") >= 3).select("node", "n_shingles", F.explode(three).alias("key")).distinct(), LIST))
-    long = second.where("long").select("key", "node")
+    n = _run(percent)
+    runs = F.transform(F.sequence(F.lit(0), F.size("sketch") - n), lambda i: F.xxhash64(*[F.get("sketch", i + k) for k in range(n)]))
+    second = cut(_listed(again.where(F.size("sketch") >= n).select("node", "n_shingles", F.explode(runs).alias("key")).distinct(), LIST))
+    # sets of few shingles may have no run in common, so their long first lists count too
+    few = first.where(F.col("long") & (F.col("n_shingles") <= SKETCH)).select("key", "node")
+    long = second.where("long").select("key", "node").unionByName(few)
     # the typical member of a list is in most long lists: it has the fewest values of its own
     typical = long.groupBy("node").agg(F.count("*").alias("in"))
     hubs = cut(long.join(typical, "node").groupBy("key").agg(F.max(F.struct("in", "node")).alias("h")).select("key", F.col("h.node").alias("hub")))

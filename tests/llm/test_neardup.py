@@ -60,6 +60,25 @@ def test_against_all_pairs(docs, rows, monkeypatch, seed, limit, size, percent):
     assert rows(neardup.near_duplicates(docs(data), size, percent)) == brute(data, size, percent)
 
 
+def test_short_texts_in_long_lists(docs, rows):
+    data = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(8)]
+        data += [(100 * g, " ".join(base))] + [(100 * g + i + 1, " ".join([*base, f"x{i}"])) for i in range(40)]
+    want = brute(data, 5, 80)
+    assert sum(kept for *_, kept in want) == 6
+    assert rows(neardup.near_duplicates(docs(data), 5, 80)) == want
+    assert neardup.keep_one(docs(data)).count() == 6
+
+
+@pytest.mark.parametrize(("limit", "size", "percent"), [(32, 5, 50), (3, 3, 50), (3, 2, 40), (2, 1, 60)])
+def test_low_similarities(docs, rows, monkeypatch, limit, size, percent):
+    monkeypatch.setattr(neardup, "LIST", limit)
+    rnd = random.Random(size)
+    data = sample(4) + [(1000 + i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(size, size + 4)))) for i in range(60)]
+    assert rows(neardup.near_duplicates(docs(data), size, percent)) == brute(data, size, percent)
+
+
 def test_keep_one(docs):
     text = " ".join(f"w{i}" for i in range(60))
     data = [(3, text), (2, text + " x"), (2, text + " x"), (None, text), (9, ""), (9, ""), (None, None), (4, "other words here")]
