@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm, neardup, packing, passages, quality, secrets, suffixes
+from . import chat, decontaminate, html_text, lm, neardup, packing, passages, quality, secrets, suffixes, turnrepair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,3 +132,39 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+# states of the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a; an edit string leads from one to another
+OP12_SQL = """
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS t(i))),
+r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: unicode(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM conversations, crc),
+r1 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM r0 WHERE kind <> 0),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM r1),
+r3 AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS init, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM r2),
+ins(p, q, app, more, lead) AS (VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 5, ['user:']), (1, 2, 'I', 5, ['user:']), (3, 2, 'I', 5, ['user:']), (2, 3, 'I', 5, ['assistant:']),
+    (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 3, 'II', 10, ['user:', 'assistant:'])),
+step(p, term, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+edit AS (SELECT r3.conv_id, r3.i, ins.p, ins.q, ins.app || 'D' AS app, ins.more + 2 AS more, ins.lead AS lead FROM r3, ins
+    UNION ALL SELECT r3.conv_id, r3.i, ins.p, step.q, ins.app || 'K', ins.more + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, list_append(ins.lead, role || ':' || text) FROM r3, ins, step
+        WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate') AND step.p = ins.q AND step.term = r3.init
+    UNION ALL SELECT r3.conv_id, r3.i, ins.p, step.q, ins.app || 'R', ins.more + 1 + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, list_append(ins.lead, CASE step.term WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text) FROM r3, ins, step
+        WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate') AND step.p = ins.q AND step.term IN ('u', 'a')),
+f AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'rows': []::VARCHAR[]} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL SELECT f.conv_id, f.i + 1, edit.q, min({'cost': (f.best.cost + edit.more)::BIGINT, 'audit': f.best.audit || edit.app, 'rows': list_concat(f.best.rows, edit.lead)}) FROM f JOIN edit
+        ON edit.conv_id IS NOT DISTINCT FROM f.conv_id AND edit.i = f.i + 1 AND edit.p = f.q GROUP BY f.conv_id, f.i, edit.q),
+n AS (SELECT conv_id, count(r3.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || init NOT IN ('su', 'ua', 'au')) AS illegal FROM r3 GROUP BY conv_id),
+a AS (SELECT c.conv_id, coalesce(n.n, 0) AS n, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id),
+e AS (SELECT f.conv_id, min({'cost': (f.best.cost + ins.more)::BIGINT, 'audit': f.best.audit || ins.app, 'rows': list_concat(f.best.rows, ins.lead)}) AS best FROM f JOIN ins ON ins.p = f.q JOIN a ON a.conv_id IS NOT DISTINCT FROM f.conv_id
+    WHERE f.i = a.n AND (ins.q = 3 OR (ins.q = 0 AND ins.app = '')) GROUP BY f.conv_id)
+SELECT a.conv_id, gaps, blank, duplicate, truncated, illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(array_to_string(e.best.rows, chr(10))) AS repaired_sha256 FROM a JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.repair_digests(table(spark, sf_dir, "conversations"))
