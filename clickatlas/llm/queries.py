@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm, neardup, packing, passages, quality, secrets, suffixes, turnrepair
+from . import chat, decontaminate, html_text, lm, neardup, packing, passages, quality, ranked, secrets, suffixes, turnrepair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -168,3 +168,20 @@ SELECT a.conv_id, gaps, blank, duplicate, truncated, illegal, e.best.cost AS cos
 @query("op12_conversation_repair", OP12_SQL)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH d0 AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d0 WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_words AS m FROM d0, s WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d0) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+x AS (SELECT i.item_id, i.text, m.r, m.doc_id, sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m)))::BIGINT AS score FROM i JOIN f USING (term) JOIN t USING (term) JOIN m ON m.r = t.r GROUP BY i.item_id, i.text, m.r, m.doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
