@@ -33,7 +33,7 @@ from .blocks import small_batches
 from .words import PLAIN, Words
 
 K = 50
-GROUP, NODE = 256, 16
+GROUP, NODE = 256, 4
 #: Item text that every executor holds at once; more items are searched in several passes.
 ITEM_BYTES = 4 << 20
 #: Rows of documents whose scores give the first lower bounds.
