@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm, neardup, packing, passages, quality, ranked, secrets, suffixes, turnrepair
+from . import chat, counttree, decontaminate, html_text, lm, neardup, packing, passages, quality, ranked, secrets, suffixes, turnrepair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +185,19 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION
 @query("op13_ranked_search", OP13_SQL)
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, list_slice(w, p, p + 4) AS k FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r) JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+c AS (SELECT r AS x, r AS y FROM d UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y),
+m AS (SELECT c.x AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.y GROUP BY c.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n USING (r) JOIN m USING (r)
+"""
+
+
+@query("op11_jaccard_join", OP11_SQL)
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counttree.linked(table(spark, sf_dir, "documents"), size=5, percent=80)
