@@ -6,11 +6,13 @@ points shares at most the sum of the smaller of its upper corner and a point.
 
 1. Documents of equal sets are one class, the points of the tree.
 2. The tree's first level is made of cells, one for a shingle: a set of ``n`` goes
-   into the cells of its ``n - ceil(n * percent) + 1`` smallest hashes, and two sets
-   of the similarity share one of theirs.  (Without cells nothing would be pruned:
-   counts of unrelated sets of a few hundred shingles are closer than the similarity
-   allows.)  Sizes and places in the order are compared inside a cell.
-3. Sets that lie in a cell of more than ``PAGE`` are dealt again, among themselves,
+   into the cells of its first ``n - ceil(n * percent) + 1`` shingles in an order
+   that is the same for all sets, so two sets of the similarity share one of theirs.
+   (Without cells nothing would be pruned: counts of unrelated sets of a few hundred
+   shingles are closer than the similarity allows.)  The order is by hash, but
+   shingles found ``OFTEN`` times in a sample of texts come last; the sample decides
+   only how large cells get.  Sizes and places in the order are compared in a cell.
+3. Sets that lie in a cell of more than ``CROWD`` are dealt again, among themselves,
    by rarest shingle first; what two such sets share is looked for in these cells,
    everything else in the small ones.
 4. A cell that is still larger is a tree: pages of ``PAGE`` points, nodes of ``PAGE``
@@ -39,7 +41,9 @@ from .blocks import small_batches
 from .graph import components
 from .words import U64, Words, mix, rolling_words
 
-GROUPS, PAGE = 64, 32
+GROUPS, PAGE, CROWD = 64, 32, 64
+#: One text in ``SAMPLE`` is looked through for frequent shingles; those found ``OFTEN`` times come last, ``HOT`` of them (8 MB) at most.
+SAMPLE, OFTEN, HOT = 16, 3, 1 << 20
 #: Keys of documents whose texts are fetched are broadcast up to this many rows, about 50 MB; else they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -65,29 +69,53 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
+def _hot(rows: DataFrame, size: int) -> np.ndarray:
+    """Frequent shingles of a sample of texts, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), _lists(list(shingle_sets(batch.column("text"), size)), pa.int64())], ["text_key", "tokens"])
+
+    some = rows.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text_key", "text").mapInArrow(run, "text_key bigint, tokens array<bigint>")
+    often = some.dropDuplicates(["text_key"]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(np.array([r[0] for r in often.orderBy(F.col("n").desc(), "token").limit(HOT).select("token").collect()], np.int64))
+
+
 def _points(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set (128 bits and the size; null if empty), head (leading hashes), counts."""
+    """uid, doc_id, text_key, n, set (128 bits and the size; null if empty), head (leading shingles), counts."""
+    shared = rows.sparkSession.sparkContext.broadcast(_hot(rows, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for batch in batches:
             n, name, head, counts = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 u = s.view(U64)
                 n.append(len(s))
                 name.append(b"".join(mix(u ^ U64(salt)).sum(dtype=U64).tobytes() for salt in (0, 0x5851F42D4C957F2D)) + len(s).to_bytes(4, "big") if len(s) else None)
-                head.append(s[: len(s) - _least(len(s), percent) + 1] if len(s) else s)
                 counts.append(np.bincount((mix(u) % U64(GROUPS)).astype(np.int64), minlength=GROUPS))
+                if len(hot) and len(s):
+                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                    s = np.concatenate([s[~late], s[late]])
+                head.append(s[: len(s) - _least(len(s), percent) + 1] if len(s) else s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(name, pa.binary()), _lists(head, pa.int64()), _lists(counts, pa.int32())],
-                ["doc_id", "text_key", "n_shingles", "set", "head", "counts"])
+                [*batch.select(["uid", "doc_id", "text_key"]).columns, pa.array(n, pa.int64()), pa.array(name, pa.binary()), _lists(head, pa.int64()), _lists(counts, pa.int32())],
+                ["uid", "doc_id", "text_key", "n", "set", "head", "counts"])
+
+    # numbers are fixed once written
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
+    return cut(numbered.mapInArrow(run, "uid bigint, doc_id bigint, text_key bigint, n bigint, set binary, head array<bigint>, counts array<int>"))
+
 
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, set binary, head array<bigint>, counts array<int>")
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` written, and broadcast where its rows are counted to be few."""
+    out, seen = cut_counted(df, work_dir(df.sparkSession))
+    return F.broadcast(out) if seen["rows"] <= BROADCAST_KEYS else out
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the classes in ``wanted`` (node, doc_id, text_key), from one document of each."""
-    keys, seen = cut_counted(wanted.select("node", F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")), work_dir(rows.sparkSession))
-    side = F.broadcast(keys) if seen["rows"] <= BROADCAST_KEYS else keys
-    texts = rows.join(side, (F.col("text_key") == F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("k_doc"))).groupBy("node").agg(F.min("text").alias("text"))
+    """(node, tokens) of the classes in ``wanted`` (node, doc_id, text_key); rows that repeat a document repeat its set."""
+    keys = _few(wanted.select("node", F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")))
+    texts = rows.join(keys, (F.col("text_key") == F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("k_doc"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _again(sets: DataFrame, percent: int) -> DataFrame:
     """Entries of the sets by rarest shingle first; a shingle that only one of them has takes no cell but its place."""
-    rows = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("cell"))
+    rows = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("cell")).distinct()
     df = rows.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1")
     # the shingles that others have too, in order: one array a set
     known = rows.join(df, "cell").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("t"))
@@ -221,16 +249,17 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    points = cut(_points(rows, size, percent))
-    one = F.min(F.struct("doc_id", "text_key", "head", "counts"))
-    grouped = points.where("set is not null").groupBy("set", F.col("n_shingles").alias("n")).agg(one.alias("r"), F.min("doc_id").alias("low"))
-    # numbers are fixed once written
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "set", "n", "low", "r.*"))
+    points = _points(rows, size, percent)
+    keyed = points.where("set is not null").groupBy("set", "n").agg(
+        F.min("uid").alias("node"), F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_key", "counts"), "uid").alias("r"))
+    classes = cut(keyed.select("node", "set", "n", "low", "r.*"))
 
     # a set to which one more shingle is already too far has no partner
-    first = cut(_cells(classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("node", "n", F.posexplode("head").alias("place", "cell"))))
-    large = F.col("members") > PAGE
-    crowded = first.where(large).select("node").distinct()
+    alone = 100 * F.col("n") < percent * (F.col("n") + 1)
+    heads = points.join(_few(classes.where(~alone).select(F.col("node").alias("uid"))), "uid", "left_semi")
+    first = cut(_cells(heads.select(F.col("uid").alias("node"), "n", F.posexplode("head").alias("place", "cell"))))
+    large = F.col("members") > CROWD
+    crowded = _few(first.where(large).select("node").distinct())
     pairs = _near(first.where(~large), percent)
     crowded_sets = _sets(rows, classes.select("node", "doc_id", "text_key").join(crowded, "node", "left_semi"), size)
     second = cut(_cells(_again(crowded_sets, percent)))
@@ -261,4 +290,4 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = _at(classes.select("set", "low", "node"), label)
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     out = points.join(named.join(lowest, "label").select("set", "component_id"), "set", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

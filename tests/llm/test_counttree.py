@@ -31,6 +31,8 @@ def chained(seed):
 @pytest.mark.parametrize(("seed", "page", "size", "percent"), [(1, 32, 5, 80), (2, 4, 5, 80), (3, 2, 3, 70), (4, 3, 2, 50)])
 def test_against_all_pairs(docs, rows, monkeypatch, seed, page, size, percent):
     monkeypatch.setattr(counttree, "PAGE", page)
+    monkeypatch.setattr(counttree, "CROWD", 2 * page)
+    monkeypatch.setattr(counttree, "SAMPLE", page % 3 + 1)
     data = sample(seed) + chained(seed)
     assert rows(counttree.linked(docs(data), size, percent)) == want(data, size, percent)
 
