@@ -10,7 +10,7 @@ score of its items is left with all that is under it.  What remains is scored.
 
 1. Documents become rows of term numbers and counts of the items' terms, a row an
    Arrow batch; counts over all documents give the weights.
-2. A few rows are searched first: their kth scores are lower bounds that every task
+2. A few files of rows are searched first: their kth scores are lower bounds that every task
    starts with.
 3. Every task searches its rows, raising its own kth scores, and hands out ``k``
    rows an item at most; a window takes the best of all.
@@ -36,8 +36,8 @@ K = 50
 GROUP, NODE = 256, 4
 #: Item text that every executor holds at once; more items are searched in several passes.
 ITEM_BYTES = 4 << 20
-#: Rows of documents whose scores give the first lower bounds.
-SEED_ROWS = 16
+#: Files of rows whose scores give the first lower bounds; a file is what one task wrote.
+SEED_FILES = 4
 
 _BLOCKS = "doc_id array<bigint>, n array<bigint>, first array<int>, term array<int>, tf array<bigint>, docs bigint, words bigint, df_term array<int>, df array<bigint>"
 
@@ -219,7 +219,8 @@ def _one_pass(docs: DataFrame, rows: list, k: int) -> DataFrame:
     least = np.zeros(len(rows), np.int64)
     place = np.empty(len(rows), np.int64)
     place[items.number] = np.arange(len(rows))
-    for i, score in _first(found(blocks.limit(SEED_ROWS), least), k).where(F.col("rank") == k).select("item", "score").collect():
+    seed = spark.read.schema(blocks.schema).parquet(*sorted(blocks.inputFiles())[:SEED_FILES])
+    for i, score in _first(found(seed, least), k).where(F.col("rank") == k).select("item", "score").collect():
         least[place[i]] = score
     return found(blocks, least)
 
