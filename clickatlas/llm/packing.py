@@ -15,6 +15,7 @@ two, which need no padding.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ SIZE, END = 2048, 1
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 MAX_OPEN = 1024
 _OUT_BYTES = 4 << 20
+#: tiktoken's pattern fails on runs of white space of half a million and more.
+_LONG_SPACE = re.compile(r"(?<!\s)\s{10000}")
 
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -38,8 +41,8 @@ class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, of a tokenizers file.
 
     With ``ranks``, the same vocabulary as ranks, tiktoken makes the ids: they are
-    the same and take a third of the time.  It knows no special tokens, so a text
-    with the string of one goes through the tokenizers file.
+    the same and take a third of the time.  It knows no special tokens and fails on
+    very long white space, so a text with either goes through the tokenizers file.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -51,7 +54,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        slow = [i for i, t in enumerate(texts) if self.fast is None or any(x in t for x in self.special)]
+        slow = [i for i, t in enumerate(texts) if self.fast is None or any(x in t for x in self.special) or _LONG_SPACE.search(t)]
         out = [b""] * len(texts)
         for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
