@@ -255,8 +255,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest doc_id (nulls last), then text hash.
 
     Documents without words are no copies of each other and all stay.  Of rows
-    that repeat the chosen document, one stays.  Keeps all columns.
+    that repeat the chosen document, one stays.  Keeps all columns, whatever their
+    names.
     """
+    # other columns are set aside under names that nothing here uses
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"_extra{i}" for i, c in enumerate(names)])
     found = cut(linked(docs, size, percent))
     # an order in which a missing id comes last
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
@@ -273,7 +277,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         # rows without words differ from each other by a number, so that none of them goes
         key = F.struct("doc_id", F.col("text"), F.when(has_words(F.col("text")), F.lit(None)).otherwise(F.monotonically_increasing_id()))
         out = out.withColumn("_same", key).dropDuplicates(["_same"]).drop("_same")
-    return out
+    return out.toDF(*names)
 
 
 def has_words(text) -> F.Column:

@@ -86,6 +86,14 @@ def test_keep_one(docs):
     assert got == sorted([(2, text + " x"), (9, ""), (9, ""), (None, None), (4, "other words here")], key=str)
 
 
+def test_keep_one_under_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["gone_id", "text", "_same", "doc_id", "gone_text", "_extra0", "node", "text_key", "component"]
+    rows = [(7, text, 1, 3, "a", 2, "b", 4, 5), (8, text + " x", 2, 2, "a", 2, "b", 4, 5), (8, text + " x", 2, 2, "a", 2, "b", 4, 5), (9, "", 3, 9, "a", 2, "b", 4, 5)]
+    got = neardup.keep_one(spark.createDataFrame(rows, names))
+    assert got.columns == names and sorted(map(tuple, got.collect())) == [rows[1], rows[3]]
+
+
 def test_empty(docs):
     assert neardup.near_duplicates(docs([])).count() == 0 and neardup.keep_one(docs([])).count() == 0
 
