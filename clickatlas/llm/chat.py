@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -75,13 +76,23 @@ def _layouts() -> tuple[Mapping, ...]:
     return tuple(out)
 
 
-def paths(value, at: str = "") -> set[str]:
+def _key(name: str) -> str:
+    """A key as a step of a path: dots, brackets and backslashes are escaped, so no key looks like several."""
+    return re.sub(r"[\\.\[\]]", r"\\\g<0>", name) or "\\e"
+
+
+def paths(value) -> set[str]:
     """Paths of the leaves of a parsed record; an empty object or list is a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(paths(v, f"{at}[]") for v in value))
-    return {at}
+    found, todo = set(), [("", value)]
+    while todo:
+        at, value = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(f"{at}.{_key(k)}" if at else _key(k), v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            todo += [(f"{at}[]", v) for v in value]
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(names) -> str:
@@ -118,8 +129,9 @@ def turns(records: DataFrame, mappings: dict[str, Mapping] | None = None) -> Dat
     """``records`` with fingerprint, layout (null if unknown) and turns (role, text) in order.
 
     Needs ``record``, a JSON object as text; other columns stay, but any named
-    fingerprint, layout or turns are replaced.  A null record, broken JSON or an
-    unknown layout has null layout and no turns.  Missing and null texts are
+    fingerprint, layout or turns are replaced.  A null record, broken JSON, JSON
+    nested deeper than the parser goes or an unknown layout has null layout and no
+    turns.  Missing and null texts are
     empty, null roles are empty.
     """
     known = MAPPINGS if mappings is None else mappings
@@ -131,7 +143,7 @@ def turns(records: DataFrame, mappings: dict[str, Mapping] | None = None) -> Dat
             for text in batch.column("record").to_pylist():
                 try:
                     record = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 mark = fingerprint(paths(record)) if isinstance(record, dict) else None
                 mapping = known.get(mark)

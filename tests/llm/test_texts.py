@@ -140,6 +140,15 @@ def test_encoder_agrees_with_the_tokenizers_file():
     assert [np.frombuffer(x, "<u4").tolist() for x in fast(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_very_long_white_space(docs):
+    texts = [" " * 2_000_000, "\n" * 1_200_000, " \n" * 600_000 + "end", "word" + "\t" * 9_999 + "word", "\u00a0" * 20_000]
+    got = packing.pack(docs(list(enumerate(texts)))).collect()
+    whole = packing.Encoder(packing.public_tokenizers.path(packing.VOCABULARY))
+    for i, (t, ids) in enumerate(zip(texts, whole(texts), strict=True)):
+        mine = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start))
+        assert mine == ids + np.array([1], "<u4").tobytes(), t[:5]
+
+
 def test_best_level_is_the_smallest_sum_of_squares():
     rnd = random.Random(3)
     p = packing.Packer(32, lambda s: None, 50)
@@ -232,6 +241,18 @@ It goes on; it is long enough.<ul><li>one<li>two</ul><p>Second paragraph, also l
 <form><label>Name</label></form><footer>&copy; 2020, us.</footer></body>"""
 
 
+def test_records_that_only_look_like_a_layout(spark):
+    records = [
+        '{"messages[].content": "a", "messages[].role": "user"}', '{"": {"role": "user", "text": "hello"}}', '{"role\\\\": 1, "text": 2}', '{"a.role": 1, "a": {"text": 2}}',
+        "[" * 5_000 + "]" * 5_000, '{"messages": ' + "[" * 50_000 + "]" * 50_000 + "}", "{}", '{"": 1}', '{"messages": []}', '"text"', None, "",
+    ]
+    got = chat.turns(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, record string")).collect()
+    assert all(r.layout is None and r.turns == [] for r in got) and len(got) == len(records)
+    assert chat.paths({"a.b": 1, "a": {"b": [2, {}]}, "": {"x[]": 0}}) == {"a\\.b", "a.b[]", "\\e.x\\[\\]"}
+    long = '{"role": "user", "text": "' + "x" * 3_000_000 + '"}'
+    assert [len(r.turns[0].text) for r in chat.turns(spark.createDataFrame([(long,)], "record string")).collect()] == [3_000_000]
+
+
 def test_main_text():
     assert html_text.main_text(PAGE)[0] == "Title & more\nFirst para, with some text. It goes on; it is long enough.\none\ntwo\nSecond paragraph, also long. It has commas, and stops."
     article = '<article><header><h1>T</h1></header><p>x</p><div class="ad">buy</div><table><tr><td>1<td>2<tr><td>3</table><p>a<script>if(1<2)</script>b &lt;i&gt; c &am</article><aside>no</aside>'
