@@ -7,119 +7,241 @@ host and gives the order in which a node's edges are tried.  A search is keyed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls
 from ..session import bucketed, cut, cut_counted, work_dir
-from .rows import first_by, spread, top_n
+from .rows import first_by, ordinal, spread, top_n
 
 # Out-degree above which the edges of a node are spread over several tasks.
 HOT_DEGREE = 1_000_000
 # Edges per bucket when an edge table is large enough to be laid out by source.
 BUCKET_ROWS = 4_000_000
+# Levels between two anchors of a path.
+SEGMENT = 8
+# Rows of a level up to which the next two are done in one job.
+TWO_STEPS = 250_000
 
+_NODE = ["host", "root", "node"]
 
-def expand_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame | None) -> DataFrame:
-    """One search level: nodes newly reached from ``frontier``.
 
-    ``frontier`` has (host, root, node, path [, salts]).  Among the edges that
-    reach a node the smallest path of edge numbers is kept, which is the path a
-    first-in first-out search finds.  That choice is a ``min``, so it is combined
-    map-side and a hub target costs one row per task.
+class Laid(NamedTuple):
+    """Edges written once for searches: by source, hubs dealt over salts; ``hot`` are the hubs with their number of salts."""
+
+    edges: DataFrame
+    hot: DataFrame | None
+    bucketed: bool
+
+
+def lay_out(edges: DataFrame, parallel: bool = False, hot_degree: int = HOT_DEGREE, bucket_rows: int = BUCKET_ROWS) -> Laid:
+    """Write ``edges`` for any number of searches over them.
+
+    Of parallel edges only the first can lie on a first-found shortest path, so the
+    others are left out unless ``parallel``.  Beyond ``bucket_rows`` the edges lie in
+    buckets of their source, so no level of a search shuffles them; the edges of a
+    source with more than ``hot_degree`` are dealt over salts.
     """
+    base = work_dir(edges.sparkSession)
+    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    e = e.select("host", "src", "dst", "edge_seq") if parallel else e.groupBy("host", "src", "dst").agg(F.min("edge_seq").alias("edge_seq"))
+    e, n = cut_counted(e, f"{base}/edges")
+    hot, keys = None, ["host", "src"]
+    if n["rows"] > hot_degree:
+        many = e.groupBy("host", "src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
+        hot, hubs = cut_counted(many.select("host", "src", F.ceil(F.col("n") / hot_degree).cast("int").alias("salts")), f"{base}/hot")
+        hot = hot if hubs["rows"] else None
+    if hot is not None:
+        e = e.join(hot, ["host", "src"], "left").withColumn("salt", F.pmod(F.xxhash64("dst", "edge_seq"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        keys.append("salt")
+    if n["rows"] > bucket_rows:
+        return Laid(bucketed(e, keys, n["rows"] // bucket_rows + 1, f"{base}/by_source"), hot, True)
+    return Laid(e if hot is None else cut(e, f"{base}/salted"), hot, False)
+
+
+def follow(frontier: DataFrame, laid: Laid) -> DataFrame:
+    """``frontier`` (host, node, ...) joined with the edges that leave its nodes: adds dst and edge_seq."""
     on = [F.col("f.host") == F.col("e.host"), F.col("f.node") == F.col("e.src")]
-    if "salt" in edges.columns:
-        frontier = frontier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cols = frontier.columns
+    if laid.hot is not None:
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        frontier = frontier.join(laid.hot.withColumnRenamed("src", "node"), ["host", "node"], "left").withColumn("salt", salts)
         on.append(F.col("f.salt") == F.col("e.salt"))
-    step = frontier.alias("f").join(edges.alias("e"), on).select(
-        F.col("f.host").alias("host"),
-        F.col("f.root").alias("root"),
-        F.col("e.dst").alias("node"),
-        F.concat(F.col("f.path"), F.array(F.col("e.edge_seq"))).alias("path"),
-    )
-    level = step.groupBy("host", "root", "node").agg(F.min("path").alias("path"))
-    if visited is not None:
-        level = level.join(visited, ["host", "root", "node"], "left_anti")
-    return level
+    return frontier.alias("f").join(laid.edges.alias("e"), on).select(*[F.col(f"f.{c}") for c in cols], "e.dst", "e.edge_seq")
 
 
-def bfs(
-    edges: DataFrame,
+def expand_frontier(frontier: DataFrame, edges: DataFrame | Laid, *visited: DataFrame | None) -> DataFrame:
+    """One search level: nodes newly reached from ``frontier``.
+
+    ``frontier`` has (host, root, node, path) and may have ``rank`` and ``anchor``,
+    which come before the path.  Among the edges that reach a node the smallest path
+    of edge numbers is kept, which is the path a first-in first-out search finds.
+    That choice is a ``min``, so it is combined map-side and a hub target costs one
+    row per task.
+    """
+    laid = edges if isinstance(edges, Laid) else Laid(edges, None, False)
+    step = follow(frontier, laid)
+    order = [c for c in ("rank", "path", "anchor") if c in frontier.columns]
+    key = F.struct(*[F.concat("path", F.array("edge_seq")).alias(c) if c == "path" else F.col(c) for c in order])
+    level = step.groupBy("host", "root", F.col("dst").alias("node")).agg(F.min(key).alias("k"))
+    for seen in visited:
+        level = level if seen is None else level.join(seen, _NODE, "left_anti")
+    return level.select(*_NODE, *[F.col("k")[c].alias(c) for c in order])
+
+
+class Reached(NamedTuple):
+    """What a search found: (host, root, node, depth, anchor, rank, path), and the greatest depth."""
+
+    rows: DataFrame
+    deepest: int
+    segment: int
+
+
+class _Levels:
+    """The visited set of a search: each level is appended, none is written again.
+
+    A large set lies in buckets of (host, root, node), as many as a shuffle has
+    parts, so new nodes are held against it where they are: it is not shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, shape, large: bool):
+        self.spark, self.shape, self.path, self.upto = spark, shape, work_dir(spark), -1
+        self.table = f"visited_{uuid.uuid4().hex}" if large else None
+        self.files: list[str] = []
+
+    def add(self, rows: DataFrame, upto: int, **sums) -> dict:
+        """Append rows of depths above the last, up to ``upto``; returns their number and ``sums``."""
+        obs = Observation()
+        rows = rows.observe(obs, F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(k) for k, c in sums.items()]).select(*self.shape.fieldNames())
+        if self.table:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            w = rows.write.mode("append").option("path", self.path).partitionBy("depth").bucketBy(n, *_NODE)
+            w.saveAsTable(self.table)
+        else:
+            self.files.append(f"{self.path}/{len(self.files)}")
+            rows.write.mode("overwrite").parquet(self.files[-1])
+        self.upto = upto
+        return {k: v or 0 for k, v in obs.get.items()}
+
+    def read(self) -> DataFrame:
+        if self.table:
+            return self.spark.table(self.table).select(*self.shape.fieldNames())
+        return self.spark.read.schema(self.shape).parquet(*self.files).select(*self.shape.fieldNames())
+
+    def last(self, depth: int) -> DataFrame:
+        """The rows of the last written depth."""
+        rows = self.read() if self.table else self.spark.read.schema(self.shape).parquet(self.files[-1])
+        return rows.where(F.col("depth") == depth)
+
+    def close(self) -> None:
+        """Forget the table's name; its files are read as they are."""
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.files, self.table = [self.path], None
+
+
+def search(
+    edges: DataFrame | Laid,
     sources: DataFrame,
     targets: DataFrame | None = None,
     max_depth: int | None = None,
     hot_degree: int = HOT_DEGREE,
     bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """Fewest-edge paths from each source.
-
-    ``sources`` is (host, root); the answer is (host, root, node, depth, path)
-    with ``path`` the edge numbers walked.  Every level is a written table: it is
-    read once as the next frontier and, without its paths, as part of the visited
-    set.  The loop ends when a level is empty, when ``max_depth`` is reached, or
-    when every (host, root, node) of ``targets`` has been reached.
+    segment: int = SEGMENT,
+) -> Reached:
+    """Nodes reached from each source.
+
+    ``path`` holds the edge numbers walked since ``anchor``, the node on the way
+    whose depth is the last multiple of ``segment``; ``rank`` orders the anchors of a
+    depth by their own paths.  So a row stays short however deep a search goes, and
+    (rank, path) compares as whole paths would.  :func:`with_paths` puts paths
+    together.
+
+    Every level is appended to the visited set; what is new is held against it by
+    key.  While a level is small two are done in one job.  The search ends when a
+    level is empty, at ``max_depth``, or when every (host, root, node) of ``targets``
+    has been reached.
     """
-    spark = edges.sparkSession
-    base = work_dir(spark)
-    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    # parallel edges: only the first can lie on a first-found shortest path
-    e = e.groupBy("host", "src", "dst").agg(F.min("edge_seq").alias("edge_seq"))
-    e, n_edges = cut_counted(e, f"{base}/edges")
-    hot = (
-        e.groupBy("host", "src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
-        .select("host", F.col("src").alias("node"), F.ceil(F.col("n") / hot_degree).cast("int").alias("salts"))
-    )
-    hot, n_hot = cut_counted(hot, f"{base}/hot")
-    salted = n_hot["rows"] > 0
-    keys = ["host", "src"]
-    if salted:
-        of_src = hot.withColumnRenamed("node", "src")
-        e = (
-            e.join(of_src, ["host", "src"], "left")
-            .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
-            .drop("salts")
-        )
-        keys.append("salt")
-    if n_edges["rows"] > bucket_rows:
-        # every level joins the same edges: laid out by source once, they are not shuffled again
-        e = bucketed(e, keys, n_edges["rows"] // bucket_rows + 1, f"{base}/by_source")
-    elif salted:
-        e = cut(e, f"{base}/salted")
-
-    seq_type = e.schema["edge_seq"].dataType.simpleString()
-    level = sources.select("host", "root").distinct().select(
-        "host", "root", F.col("root").alias("node"), F.expr(f"cast(array() as array<{seq_type}>)").alias("path")
-    )
-    wanted = None
+    spark = edges.edges.sparkSession if isinstance(edges, Laid) else edges.sparkSession
+    laid = edges if isinstance(edges, Laid) else lay_out(edges, False, hot_degree, bucket_rows)
+    seq = laid.edges.schema["edge_seq"].dataType.simpleString()
+    none = F.expr(f"cast(array() as array<{seq}>)")
+    start = sources.select("host", "root").distinct().select(
+        "host", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.col("root").alias("anchor"), F.lit(0).cast("bigint").alias("rank"), none.alias("path"))
+    levels = _Levels(spark, start.schema, laid.bucketed)
+    wanted, missing = None, -1
     if targets is not None:
-        wanted = cut(targets.select("host", "root", "node").distinct().withColumn("hit", F.lit(1)), f"{base}/targets")
-        missing = wanted.count()
-    paths: list[str] = []
-    shape = level.schema
-    depth = 0
-    while True:
-        # one job per level: the rows are counted, and targets ticked off, while they are written
-        place = f"{base}/level={depth}"
-        if wanted is None:
-            level, n = cut_counted(level, place)
-        else:
-            ticked = level.join(wanted, ["host", "root", "node"], "left").select(*shape.fieldNames(), "hit")
-            level, n = cut_counted(ticked, place, hits=F.col("hit"))
-            level = level.select(*shape.fieldNames())
-            missing -= n["hits"]
-        paths.append(place)
-        done = n["rows"] == 0 or depth == max_depth or (wanted is not None and missing == 0)
-        reached = spark.read.schema(shape).parquet(*paths)
-        if done:
-            break
-        frontier = level
-        if salted:
-            frontier = frontier.join(hot, ["host", "node"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        level = expand_frontier(frontier, e, reached.select("host", "root", "node"))
-        depth += 1
-    return reached.select("host", "root", "node", F.size("path").alias("depth"), "path")
+        wanted, seen = cut_counted(targets.select(*_NODE).distinct().withColumn("hit", F.lit(1)), work_dir(spark))
+        missing = seen["rows"]
+
+    def write(rows: DataFrame, depths: list[int]) -> list[int]:
+        """Append the rows; the number of each depth's."""
+        nonlocal missing, depth
+        sums = {f"n{d}": (F.col("depth") == d).cast("int") for d in depths}
+        if wanted is not None:
+            rows = rows.join(wanted, _NODE, "left")
+            sums |= {f"hit{d}": F.when(F.col("depth") == d, F.col("hit")) for d in depths}
+        got = levels.add(rows, depths[-1], **sums)
+        for d in depths:
+            depth = d
+            missing -= got.get(f"hit{d}", 0)
+            # what lies behind the last target or an empty level is not asked for
+            if not got[f"n{d}"] or missing == 0:
+                break
+        return [got[f"n{d}"] for d in depths]
+
+    depth, counts = 0, []
+    counts = write(start, [0])
+    while counts[depth - levels.upto - 1] and missing != 0 and depth != max_depth:
+        front = levels.last(depth).drop("depth")
+        if depth and depth % segment == 0:
+            # the level's nodes become anchors, in the order of their paths
+            front = ordinal(front, ["host", "root"], ["rank", "path"], "place").select(*_NODE, F.col("node").alias("anchor"), F.col("place").cast("bigint").alias("rank"), none.alias("path"))
+        seen = levels.read().select(*_NODE)
+        one = expand_frontier(front, laid, seen)
+        rows, depths = one.withColumn("depth", F.lit(depth + 1)), [depth + 1]
+        if counts[-1] <= TWO_STEPS and depth + 1 != max_depth and (depth + 1) % segment:
+            two = expand_frontier(one, laid, seen, one.select(*_NODE))
+            rows, depths = rows.unionByName(two.withColumn("depth", F.lit(depth + 2))), [depth + 1, depth + 2]
+        counts = write(rows, depths)
+    levels.close()
+    return Reached(levels.read().where(F.col("depth") <= depth), depth, segment)
+
+
+def with_paths(found: DataFrame, reached: Reached) -> DataFrame:
+    """``found``, rows of ``reached`` with any other columns, with whole paths in place of anchor, rank and path.
+
+    A path is put together from its end, a segment a step; only the rows asked for
+    take part.
+    """
+    out = found.drop("rank")
+    before = reached.rows.where((F.col("depth") > 0) & (F.col("depth") % reached.segment == 0)).select(
+        "host", "root", F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("path").alias("_path"))
+    for step in range(max(reached.deepest - 1, 0) // reached.segment):
+        out = out.join(before, ["host", "root", "anchor"], "left")
+        whole = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        out = out.withColumn("path", whole).withColumn("anchor", F.coalesce("_anchor", "anchor")).drop("_anchor", "_path")
+        if step % 4 == 3:
+            out = cut(out)
+    return out.drop("anchor")
+
+
+def bfs(
+    edges: DataFrame | Laid,
+    sources: DataFrame,
+    targets: DataFrame | None = None,
+    max_depth: int | None = None,
+    hot_degree: int = HOT_DEGREE,
+    bucket_rows: int = BUCKET_ROWS,
+    segment: int = SEGMENT,
+) -> DataFrame:
+    """Fewest-edge paths from each source: (host, root, node, depth, path) of every node that :func:`search` reaches."""
+    reached = search(edges, sources, targets, max_depth, hot_degree, bucket_rows, segment)
+    return with_paths(reached.rows, reached).select(*_NODE, "depth", "path")
 
 
 def path_steps(paths: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,14 +299,12 @@ def structural(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return hub_edges(edges, pages).where(~F.col("glob")).drop("glob")
 
 
-def shortest_link_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+def shortest_link_path(edges: DataFrame | Laid, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Shortest path per (host, src, dst); no row where there is none."""
     wanted = pairs.select("host", F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
-    reached = bfs(edges, wanted.select("host", "root"), targets=wanted, max_depth=max_depth)
-    return pairs.join(
-        reached.select("host", F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("clicks"), "path"),
-        ["host", "src", "dst"],
-    )
+    reached = search(edges, wanted.select("host", "root"), targets=wanted, max_depth=max_depth)
+    found = with_paths(reached.rows.join(wanted, _NODE, "left_semi"), reached)
+    return pairs.join(found.select("host", F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("clicks"), "path"), ["host", "src", "dst"])
 
 
 def all_simple_paths(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import labels
-from ..operators.graph import bfs, path_steps, start_state
+from ..operators.graph import Reached, path_steps, search, start_state, with_paths
 from ..operators.match import match_goals
 from ..operators.rows import first_by, last_by_id, top_n
 from ..session import cut
@@ -18,7 +18,7 @@ def _blank(c: str):
     return F.coalesce(F.col(c), F.lit("")) == ""
 
 
-def routes(graphs: Graphs, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def routes(graphs: Graphs, questions: DataFrame) -> tuple[DataFrame, Reached]:
     """(matches, reached) of a question batch.
 
     ``questions`` is (q_id, host, goal, match, start).  ``matches`` has one narrow
@@ -39,8 +39,8 @@ def routes(graphs: Graphs, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = hits.join(t, ["host", "trig_seq"]).join(q, ["q_id", "host"])
     m = cut(m)
     wanted = m.where(F.col("state_id").isNotNull()).select("host", "root", F.col("state_id").alias("node")).distinct()
-    reached = bfs(graphs.edges, wanted.select("host", "root"), targets=wanted)
-    m = m.join(reached.select("host", "root", F.col("node").alias("state_id"), "depth"), ["host", "root", "state_id"], "left")
+    reached = search(graphs.edges, wanted.select("host", "root"), targets=wanted)
+    m = m.join(reached.rows.select("host", "root", F.col("node").alias("state_id"), "depth"), ["host", "root", "state_id"], "left")
     return m, reached
 
 
@@ -58,8 +58,9 @@ def with_urls(rows: DataFrame, graphs: Graphs) -> DataFrame:
     return rows.join(root, ["host", "root"], "left").join(page, ["host", "state_id"], "left")
 
 
-def with_path(rows: DataFrame, reached: DataFrame) -> DataFrame:
-    return rows.join(reached.select("host", "root", F.col("node").alias("state_id"), "path"), ["host", "root", "state_id"], "left")
+def with_path(rows: DataFrame, reached: Reached) -> DataFrame:
+    """Adds the whole paths of the few rows that are shown."""
+    return with_paths(rows.join(reached.rows.drop("depth").withColumnRenamed("node", "state_id"), ["host", "root", "state_id"], "left"), reached)
 
 
 _ORDER = ["depth", "needle_desc", "trig_seq"]

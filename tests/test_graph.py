@@ -48,6 +48,41 @@ def test_bfs_is_first_in_first_out(spark, hot, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("segment, bucket, two", [(1, 1_000_000, 0), (2, 1_000_000, 1_000_000), (3, 10, 1_000_000), (3, 10, 0)])
+def test_paths_of_several_segments(spark, monkeypatch, segment, bucket, two):
+    """Anchors in the order of their paths decide as whole paths would, also where several equal ways lead on."""
+    monkeypatch.setattr(G, "TWO_STEPS", two)
+    rnd = random.Random(segment)
+    graphs = random_graphs(20, segment)
+    # layers of three nodes, joined at random: many shortest paths of the same length
+    for g in range(6):
+        es = [(f"l{i}x{a}" if i else "n0", f"l{i + 1}x{b}") for i in range(9) for a in range(3 if i else 1) for b in range(3) if rnd.random() < 0.8]
+        rnd.shuffle(es)
+        graphs[f"layers{g}"] = es + [(f"l9x{a}", f"t{i}") for i in range(10, 12) for a in range(3)]
+    e = frame(spark, graphs)
+    roots = spark.createDataFrame([(h, "n0") for h in graphs], "host string, root string")
+    got = {(r["host"], r["node"]): r["path"] for r in G.bfs(e, roots, segment=segment, bucket_rows=bucket).collect()}
+    assert got == {(h, n): p for h, es in graphs.items() for n, p in walk(es, "n0").items()}
+
+
+def test_visited_set_is_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shape = spark.createDataFrame([], "host string, root string, node string, depth int, path array<bigint>").schema
+        levels = G._Levels(spark, shape, True)
+        for d in range(2):
+            levels.add(spark.createDataFrame([("g0", "n0", f"n{d}", d, [])], shape), d)
+        new = G.expand_frontier(levels.last(1).drop("depth"), frame(spark, random_graphs(40, 2)), levels.read().select("host", "root", "node"))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        seen = plan[plan.index("LeftAnti"):]
+        assert "Bucketed: true" in seen and "hashpartitioning(host" not in seen[seen.index("Bucketed: true") - 600:seen.index("Bucketed: true")]
+        assert new.count() >= 0
+        levels.close()
+        assert levels.read().count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bucketed_edges_are_not_shuffled(spark, tmp_path):
     from clickatlas.session import bucketed
 
