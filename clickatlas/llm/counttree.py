@@ -15,11 +15,13 @@ points shares at most the sum of the smaller of its upper corner and a point.
 3. Sets that lie in a cell of more than ``CROWD`` are dealt again, among themselves,
    by rarest shingle first; what two such sets share is looked for in these cells,
    everything else in the small ones.
-4. A cell that is still larger is a tree: pages of ``PAGE`` points, nodes of ``PAGE``
-   pages and so on, each with its upper corner.  First each point is compared with
-   the cell's most central one; verified links make components.  Then the tree is
-   joined with itself from the root down, pairs of nodes at a time: a pair goes on
-   if its boxes can share enough and do not lie in one component.
+4. In a cell that is still larger each point is first compared with the cell's most
+   central one; verified links make components.  Cells of one centre are then one
+   tree: pages of ``PAGE`` points, nodes of ``PAGE`` pages and so on, each with its
+   upper corner and the most that a point of it can share with any other (shingles
+   that nobody else has are known by now).  The tree is joined with itself from the
+   root down, pairs of nodes at a time: a pair goes on if its boxes can share enough
+   and do not lie in one component.
 5. Pairs whose points can share enough are verified on their full sets.
 
 Links inside a component are not looked for twice, so a group of copies of any size
@@ -184,7 +186,7 @@ def _again(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("t")
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     out = known.where(head > 0).select("node", F.col("n").cast("bigint").alias("n"), alone.alias("alone"), F.posexplode(F.slice("t", 1, head.cast("int"))).alias("i", "t"))
-    return out.select(F.col("t.cell").alias("cell"), "node", "n", (F.col("i") + F.col("alone")).alias("place"))
+    return out.select(F.col("t.cell").alias("cell"), "node", "n", (F.col("i") + F.col("alone")).alias("place"), (F.col("n") - F.col("alone")).alias("room"))
 
 
 def _at(d: DataFrame, label: DataFrame, c: str = "node", out: str = "label") -> DataFrame:
@@ -192,18 +194,19 @@ def _at(d: DataFrame, label: DataFrame, c: str = "node", out: str = "label") ->
     return d.join(label.select(F.col("node").alias(c), F.col("label").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
 
 
-_BOX = ("n_low", "n_high", "l_low", "l_high", "corner")
+_BOX = ("n_low", "n_high", "l_low", "l_high", "room", "corner")
 
 
 def _tree(points: DataFrame) -> list[DataFrame]:
     """Levels of the trees of all cells, points first: cell, id, parent and the box of each node.
 
-    ``points`` is (cell, node, n, label, counts).  Points are in order of component
-    and size, so pages hold what belongs together.
+    ``points`` is (cell, node, n, room, label, counts).  Points are in order of
+    component, share of what others have too, and size, so pages hold what belongs
+    together.
     """
-    flat = ordinal(points, ["cell"], ["label", "n", "node"], "rn")
+    flat = ordinal(points.withColumn("share", F.floor(100 * F.col("room") / F.col("n"))), ["cell"], ["label", "share", "n", "node"], "rn")
     level = flat.select("cell", F.col("node").alias("id"), F.floor((F.col("rn") - 1) / PAGE).alias("parent"), F.col("n").alias("n_low"), F.col("n").alias("n_high"),
-                        F.col("label").alias("l_low"), F.col("label").alias("l_high"), F.col("counts").alias("corner"))
+                        F.col("label").alias("l_low"), F.col("label").alias("l_high"), "room", F.col("counts").alias("corner"))
     levels = []
     while True:
         path = work_dir(points.sparkSession)
@@ -211,7 +214,7 @@ def _tree(points: DataFrame) -> list[DataFrame]:
         levels.append(level)
         corner = F.array(*[F.max(F.get("corner", F.lit(i))) for i in range(GROUPS)])
         up = level.groupBy("cell", F.col("parent").alias("id")).agg(
-            F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"), F.min("l_low").alias("l_low"), F.max("l_high").alias("l_high"), corner.alias("corner"))
+            F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"), F.min("l_low").alias("l_low"), F.max("l_high").alias("l_high"), F.max("room").alias("room"), corner.alias("corner"))
         level = up.select("cell", "id", F.floor(F.col("id") / PAGE).alias("parent"), *_BOX)
         if not seen["wide"]:
             levels.append(cut(level))
@@ -229,6 +232,8 @@ def _descend(levels: list[DataFrame], percent: int) -> DataFrame:
         j = j.where(~((F.col("p_l_low") == F.col("p_l_high")) & (F.col("p_l_low") == F.col("q_l_low")) & (F.col("q_l_low") == F.col("q_l_high"))))
         # sizes that overlap, or the nearest sizes of the two
         near = (100 * F.col("p_n_high") >= percent * F.col("q_n_low")) & (100 * F.col("q_n_high") >= percent * F.col("p_n_low"))
+        room = F.least("p_room", "q_room")
+        near = near & _enough(room, F.col("p_n_low"), F.col("q_n_low"), percent)
         now = cut(j.where(near).where(_enough(_shared("p_corner", "q_corner"), F.col("p_n_low"), F.col("q_n_low"), percent)).select("cell", F.col("p_id").alias("x"), F.col("q_id").alias("y")))
     return now.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -264,7 +269,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     crowded_sets = _sets(rows, classes.select("node", "doc_id", "text_key").join(crowded, "node", "left_semi"), size)
     second = cut(_cells(_again(crowded_sets, percent)))
     pairs = pairs.unionByName(_near(second.where(~large), percent))
-    trees = second.where(large).select("cell", "node", "n")
+    trees = second.where(large).select("cell", "node", "n", "room")
     # the most central point lies in most trees
     often = trees.groupBy("node").agg(F.count("*").alias("often"))
     centre = trees.join(often, "node").groupBy("cell").agg(F.max_by("node", F.struct("often", "node")).alias("centre"))
@@ -274,8 +279,8 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = crowded_sets.unionByName(_sets(rows, classes.select("node", "doc_id", "text_key").join(ends, "node", "left_semi"), size))
     label = cut(components(_verified(pairs, sets, percent)))
 
-    # trees that lie in one component are done
-    labelled = _at(trees, label)
+    # a pair that shares a cell shares its centre, so one tree a centre does; those that lie in one component are done
+    labelled = _at(trees.join(centre, "cell").select(F.col("centre").alias("cell"), "node", "n", "room").distinct(), label)
     mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
     rest = labelled.join(mixed, "cell", "left_semi").join(classes.select("node", "counts"), "node")
     rest, seen = cut_counted(rest, work_dir(spark))
