@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -307,48 +307,78 @@ def shortest_link_path(edges: DataFrame | Laid, pairs: DataFrame, max_depth: int
     return pairs.join(found.select("host", F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("clicks"), "path"), ["host", "src", "dst"])
 
 
+_PAIR = ["host", "src", "goal"]
+
+
+def _first_walks(laid: Laid, remaining: DataFrame, pairs: DataFrame, max_len: int, max_paths: int, room: int) -> tuple[DataFrame, DataFrame]:
+    """(finished walks, where a pair was cut) of one pass that holds ``room`` rows a pair and level.
+
+    Walks of a pair are kept in walk order.  What comes after ``max_paths`` finished
+    ones cannot enter the answer; what comes after ``room`` rows is left for a wider
+    pass, and the place (its first path) is noted.
+    """
+    seq = laid.edges.schema["edge_seq"].dataType.simpleString()
+    held = pairs.select(*_PAIR, F.col("src").alias("node"), F.array("src").alias("nodes"), F.expr(f"cast(array() as array<{seq}>)").alias("path"), F.lit(False).alias("finished"))
+    w = Window.partitionBy(*_PAIR).orderBy(F.col("path").desc())
+    cuts = []
+    for n in range(1, max_len + 1):
+        grown = follow(held.where(~F.col("finished")).drop("finished"), laid).where(~F.array_contains("nodes", F.col("dst")))
+        grown = grown.select(*_PAIR, F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array("edge_seq")).alias("path"))
+        grown = grown.join(remaining, ["host", "goal", "node"]).where(F.col("left") <= max_len - n).withColumn("finished", F.col("node") == F.col("goal"))
+        both = held.where("finished").unionByName(grown.drop("left")) if n > 1 else grown.drop("left")
+        ranked = top_n(both, _PAIR, [F.col("path").desc()], room + 1, rank="place")
+        before = F.coalesce(F.sum(F.col("finished").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.withColumn("before", before).where(F.col("before") < max_paths).drop("before")
+        ranked, seen = cut_counted(ranked, work_dir(pairs.sparkSession), over=(F.col("place") > room).cast("int"), going=(~F.col("finished")).cast("int"))
+        if seen["over"]:
+            cuts.append(ranked.where(F.col("place") > room).select(*_PAIR, "path"))
+        held = ranked.where(F.col("place") <= room).drop("place")
+        if not seen["going"]:
+            break
+    none = held.where("false").select(*_PAIR, "path")
+    for c in cuts:
+        none = none.unionByName(c)
+    return held.where("finished").drop("finished", "node"), none.groupBy(*_PAIR).agg(F.max("path").alias("cut"))
+
+
 def all_simple_paths(
-    edges: DataFrame, pairs: DataFrame, max_len: int = K.MAX_PATH_LEN, max_paths: int = K.MAX_PATHS
+    edges: DataFrame | Laid, pairs: DataFrame, max_len: int = K.MAX_PATH_LEN, max_paths: int = K.MAX_PATHS, room: int | None = None,
 ) -> DataFrame:
     """Simple paths per (host, src, dst), first ``max_paths`` in walk order.
 
     The walk takes the last edge first, so walk order is descending order of the
     edge numbers.  A reverse search from each target bounds every partial path:
     only nodes that can still reach the target in the hops left are expanded.
+
+    Levels hold the first ``room`` partial walks of a pair (four times ``max_paths``
+    unless given) and no more, however many walks there are.  Partial walks that
+    come to nothing may use the room up: pairs whose answer lies behind the place
+    where they were cut go through another pass with eight times the room.
     """
-    p = pairs.select("host", "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("host", "src", "dst", "edge_seq")
-    back = e.select("host", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_seq")
-    remaining = bfs(back, p.select("host", F.col("dst").alias("root")), max_depth=max_len).select(
-        "host", F.col("root").alias("goal"), "node", F.col("depth").alias("left")
-    )
-    seq_type = e.schema["edge_seq"].dataType.simpleString()
-    walk = p.select(
-        "host", "src", F.col("dst").alias("goal"), F.col("src").alias("node"), F.array("src").alias("nodes"),
-        F.expr(f"cast(array() as array<{seq_type}>)").alias("path"),
-    )
-    done = None
-    hop = e.select("host", F.col("src").alias("node"), F.col("dst").alias("nxt"), "edge_seq")
-    for n in range(1, max_len + 1):
-        walk = (
-            walk.join(hop, ["host", "node"])
-            .where(~F.array_contains("nodes", F.col("nxt")))
-            .select(
-                "host", "src", "goal", F.col("nxt").alias("node"),
-                F.concat("nodes", F.array("nxt")).alias("nodes"),
-                F.concat("path", F.array("edge_seq")).alias("path"),
-            )
-            .join(remaining, ["host", "goal", "node"])
-            .where(F.col("left") <= max_len - n)
-            .drop("left")
-        )
-        walk = cut(walk)
-        hits = walk.where(F.col("node") == F.col("goal"))
-        done = hits if done is None else done.unionByName(hits)
-        walk = walk.where(F.col("node") != F.col("goal"))
-    done = done.select("host", "src", F.col("goal").alias("dst"), "nodes", "path", F.size("path").alias("clicks"))
-    capped = top_n(done, ["host", "src", "dst"], [F.col("path").desc()], max_paths, rank="walk_rank")
-    return cap_paths(capped)
+    p = pairs.select("host", "src", F.col("dst").alias("goal")).where(F.col("src") != F.col("dst")).distinct()
+    given = edges.edges if isinstance(edges, Laid) else edges
+    laid = edges if isinstance(edges, Laid) else lay_out(edges, parallel=True)
+    back = given.select("host", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_seq")
+    remaining = search(back, p.select("host", F.col("goal").alias("root")), max_depth=max_len).rows.select("host", F.col("root").alias("goal"), "node", F.col("depth").alias("left"))
+    open_, n = cut_counted(p, work_dir(p.sparkSession))
+    room, answers = room or 4 * max_paths, None
+    while n["rows"]:
+        done, cuts = _first_walks(laid, remaining, open_, max_len, max_paths, room)
+        ranked = top_n(done, _PAIR, [F.col("path").desc()], max_paths, rank="walk_rank").join(cuts, _PAIR, "left")
+        ranked = cut(ranked)
+        # walks before the cut are the first ones for certain
+        sure = ranked.where(F.col("cut").isNull() | (F.col("path") > F.col("cut")))
+        settled = sure.groupBy(*_PAIR).agg(F.count("*").alias("n")).where(F.col("n") >= max_paths).select(*_PAIR)
+        left = cuts.select(*_PAIR).join(settled, _PAIR, "left_anti")
+        open_, n = cut_counted(left, work_dir(p.sparkSession))
+        got = ranked.drop("cut")
+        got = got.join(open_, _PAIR, "left_anti") if n["rows"] else got
+        answers = got if answers is None else answers.unionByName(got)
+        room *= 8
+    if answers is None:
+        seq = given.schema["edge_seq"].dataType.simpleString()
+        answers = p.select(*_PAIR, F.array("src").alias("nodes"), F.expr(f"cast(array() as array<{seq}>)").alias("path"), F.lit(1).alias("walk_rank"))
+    return cap_paths(answers.select("host", "src", F.col("goal").alias("dst"), "nodes", "path", F.size("path").alias("clicks"), "walk_rank"))
 
 
 def cap_paths(paths: DataFrame) -> DataFrame:

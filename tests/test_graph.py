@@ -129,6 +129,52 @@ def test_all_simple_paths(spark):
         assert [p for _, p in sorted(got.get(h, []))] == out, h
 
 
+def first_walks(es, src, dst, max_len, k):
+    adj = {}
+    for i, (a, b) in enumerate(es):
+        adj.setdefault(a, []).append((b, i))
+    out, stack = [], [([src], [])]
+    while stack and len(out) < k:
+        nodes, path = stack.pop()
+        if nodes[-1] == dst:
+            out.append(path)
+        elif len(path) < max_len:
+            stack += [(nodes + [b], path + [i]) for b, i in adj.get(nodes[-1], []) if b not in nodes]
+    return out
+
+
+@pytest.mark.parametrize("room", [3, 5, 200])
+def test_first_walks_with_little_room(spark, room):
+    """Dead ends use the room up; later passes with more of it find the same walks."""
+    graphs = random_graphs(25, 11)
+    # every walk that goes on to m comes to nothing: the goal can only be reached through a
+    graphs["dead"] = [("n0", "a"), ("a", "n1"), ("a", "b")] + [("n0", f"x{i}") for i in range(12)] + [(f"x{i}", "m") for i in range(12)] + [("m", "a"), ("a", "m")]
+    graphs["loop"] = [("n0", "a"), ("a", "n1")] + [(f"y{i}", "n0") for i in range(9)] + [("n0", f"y{i}") for i in range(9)]
+    e = frame(spark, graphs)
+    pairs = spark.createDataFrame([(h, "n0", "n1") for h in graphs], "host string, src string, dst string")
+    got = {}
+    for r in G.all_simple_paths(e, pairs, max_len=4, max_paths=3, room=room).collect():
+        got.setdefault(r["host"], []).append((r["walk_rank"], r["path"]))
+    assert {h: [p for _, p in sorted(v)] for h, v in got.items()} == {h: w for h, es in graphs.items() if (w := first_walks(es, "n0", "n1", 4, 3))}
+
+
+def test_millions_of_walks_in_few_rows(spark, monkeypatch):
+    """Five layers of twenty nodes: 3,200,000 walks, of which 50 are asked for."""
+    layer = lambda i: [f"l{i}x{a}" for a in range(20)]
+    es = [("n0", b) for b in layer(1)] + [(a, b) for i in range(1, 5) for a in layer(i) for b in layer(i + 1)] + [(a, "n1") for a in layer(5)]
+    rows, counted = [], G.cut_counted
+
+    def count(df, path, **sums):
+        out, seen = counted(df, path, **sums)
+        rows.append(seen["rows"])
+        return out, seen
+
+    monkeypatch.setattr(G, "cut_counted", count)
+    pairs = spark.createDataFrame([("h", "n0", "n1")], "host string, src string, dst string")
+    got = G.all_simple_paths(frame(spark, {"h": es}), pairs, max_len=6).orderBy("walk_rank").collect()
+    assert [r["path"] for r in got] == first_walks(es, "n0", "n1", 6, 50) and max(rows) <= len(es)
+
+
 def test_hub_edges_and_degrees(spark):
     es = [("home", "docs"), ("docs", "guide"), ("home", "guide")] + [(x, "dashboard") for x in "home docs guide reports billing help faq import".split()]
     e = frame(spark, {"s": es + [("faq", "faq")]})
