@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as X
 from ..functions import labels
+from . import manifest
 
 
 class Graphs(NamedTuple):
@@ -138,40 +139,36 @@ def read_link_graphs(spark: SparkSession, path: str) -> LinkGraphs:
 
 
 _TABLES = {"states": X.STATES, "edges": X.EDGES, "triggers": X.TRIGGERS, "meta": X.META}
-_POINTER = X.struct(host=X.S, version=X.S)
+#: A host's rows lie in the folders of ``version``.  A row without host and version notes the last ``tag`` of a stream.
+_POINTER = X.struct(host=X.S, version=X.S, tag=X.S)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _pointer(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """(host, version) table that is in force, and its number."""
-    fs, p = _fs(spark, f"{path}/current")
-    numbers = [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()] if fs.exists(p) else []
-    if not numbers:
-        return None, 0
-    return spark.read.schema(_POINTER).parquet(f"{path}/current/{max(numbers)}"), max(numbers)
+class StaleGraphs(RuntimeError):
+    """A host was replaced by another writer since it was read."""
 
 
 def current_versions(spark: SparkSession, path: str) -> DataFrame:
     """(host, version) of every stored host."""
-    now, _ = _pointer(spark, path)
-    return spark.createDataFrame([], _POINTER) if now is None else now
+    now, _ = manifest.newest(spark, path, _POINTER)
+    return (spark.createDataFrame([], _POINTER) if now is None else now).where("version IS NOT NULL").select("host", "version")
+
+
+def applied(spark: SparkSession, path: str, tag: str) -> bool:
+    """Whether the write ``tag``, ``<stream>-<number>``, is in force or was replaced since."""
+    now, _ = manifest.newest(spark, path, _POINTER)
+    return now is not None and now.where(F.col("version").isNull() & (F.col("tag") == tag)).limit(1).count() > 0
 
 
-def read_tables(spark: SparkSession, path: str) -> Graphs:
-    """The columnar layout of :func:`write_graphs`, as its pointer has it.
+def read_tables(spark: SparkSession, path: str, versions: DataFrame | None = None) -> Graphs:
+    """The columnar layout of :func:`write_graphs`, as its manifest (or ``versions``, one read before) has it.
 
-    Version and host are folders; the join with the pointer prunes those that are
+    Version and host are folders; the join with the manifest prunes those that are
     not in force.
     """
-    now = current_versions(spark, path)
+    now = current_versions(spark, path) if versions is None else versions
 
     def table(name, schema):
-        fs, p = _fs(spark, f"{path}/{name}")
-        if not fs.exists(p):
+        if not manifest.exists(spark, f"{path}/{name}"):
             return spark.createDataFrame([], schema)
         rows = spark.read.schema(X.StructType([*schema.fields, X.StructField("version", X.S)])).parquet(f"{path}/{name}")
         return rows.join(now, ["host", "version"], "left_semi").select(*schema.names)
@@ -180,58 +177,76 @@ def read_tables(spark: SparkSession, path: str) -> Graphs:
     return Graphs(*(table(n, _TABLES[n]) for n in ("states", "edges", "triggers", "meta")), errors)
 
 
-def write_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000, version: str | None = None) -> None:
+def write_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000, version: str | None = None, read: DataFrame | None = None) -> None:
     """Replace the graphs of the hosts present, as a whole, and of no other host.
 
-    The tables are written as a new version next to the old ones; then one rename
-    puts a new pointer (host, version) in force.  A reader sees all tables of a
-    host before or after it, never between, and a table without a row for a host
-    is empty for it.  The tables may be made from what is stored at ``path``.
+    The tables are written next to the old ones, in folders of this try alone; then
+    a manifest (host, folder) is put in force.  A reader sees all tables of a host
+    before or after it, never between, and a table without a row for a host is empty
+    for it.  The tables may be made from what is stored at ``path``.  A try that
+    dies leaves nothing that a reader sees, so it can simply be run again; writers
+    of different hosts both come into force.
+
+    ``version``, ``<stream>-<number>``, is noted as the stream's last write, for
+    :func:`applied`.  With ``read``, the versions that the tables were made from, :class:`StaleGraphs` is raised if another writer
+    replaced one of the hosts meanwhile; without it the last writer of a host wins.
 
     Hosts meet in one file until they hold ``rows_per_file`` rows.
     """
     spark = graphs.meta.sparkSession
-    version = version or uuid.uuid4().hex
+    folder = uuid.uuid4().hex
     for name in _TABLES:
         df = getattr(graphs, name)
         # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
-        rows = df.withColumn("version", F.lit(version)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
+        rows = df.withColumn("version", F.lit(folder)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
         rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
-    new = None
+    mine = None
     for name in _TABLES:
-        mine = spark.read.schema("host string, version string").parquet(f"{path}/{name}").where(F.col("version") == version).select("host")
-        new = mine if new is None else new.unionByName(mine)
-    new = new.distinct().withColumn("version", F.lit(version))
-    old, number = _pointer(spark, path)
-    if old is not None:
-        new = old.join(new.select("host"), "host", "left_anti").unionByName(new)
-    staged = f"{path}/current/.{version}"
-    new.write.mode("overwrite").parquet(staged)
-    fs, p = _fs(spark, staged)
-    if not fs.rename(p, _fs(spark, f"{path}/current/{number + 1}")[1]):
-        raise RuntimeError(f"another writer replaced the pointer of {path}")
+        # the folders of this try name its hosts
+        fs, p = manifest.file_system(spark, f"{path}/{name}/version={folder}")
+        if not fs.exists(p):
+            continue
+        found = spark.read.schema("host string").option("basePath", f"{path}/{name}/version={folder}").parquet(f"{path}/{name}/version={folder}").select("host")
+        mine = found if mine is None else mine.unionByName(found)
+    if mine is None:
+        return
+    none = F.lit(None).cast("string")
+    mine = mine.distinct().select("host", F.lit(folder).alias("version"), none.alias("tag"))
+    note = spark.createDataFrame([(None, None, version)] if version else [], _POINTER)
+    stream = (version or "").rpartition("-")[0]
+
+    def replace(now: DataFrame | None) -> DataFrame:
+        if read is not None:
+            then = read.select("host", F.col("version").alias("then"))
+            held = (spark.createDataFrame([], _POINTER) if now is None else now).where("version IS NOT NULL").select("host", "version")
+            moved = mine.select("host").join(held, "host", "left").join(then, "host", "left").where(~F.col("version").eqNullSafe(F.col("then")))
+            if moved.limit(1).count():
+                raise StaleGraphs(f"hosts of {path} were replaced by another writer")
+        if now is None:
+            return mine.unionByName(note)
+        other = F.col("version").isNotNull() | (F.regexp_replace("tag", "-[^-]*$", "") != stream)
+        return now.where(other).join(mine.select("host"), "host", "left_anti").unionByName(mine).unionByName(note)
+
+    manifest.commit(spark, path, _POINTER, replace)
 
 
 def drop_old_versions(spark: SparkSession, path: str) -> None:
-    """Delete tables that no host points at any more, and old pointers; for a time without readers.
+    """Delete tables that no host points at any more, and old manifests; for a time without readers or writers.
 
     The driver sees version names only, as many as there were writes since the
     last call.
     """
-    now, number = _pointer(spark, path)
+    now, _ = manifest.newest(spark, path, _POINTER)
     if now is None:
         return
-    used = {r[0] for r in now.select("version").distinct().collect()}
+    used = {r[0] for r in now.select("version").where("version IS NOT NULL").distinct().collect()}
     for name in _TABLES:
-        fs, p = _fs(spark, f"{path}/{name}")
-        for f in fs.listStatus(p):
+        fs, p = manifest.file_system(spark, f"{path}/{name}")
+        for f in fs.listStatus(p) if fs.exists(p) else ():
             folder = f.getPath().getName()
             if folder.startswith("version=") and folder.removeprefix("version=") not in used:
                 fs.delete(f.getPath(), True)
-    fs, p = _fs(spark, f"{path}/current")
-    for f in fs.listStatus(p):
-        if f.getPath().getName() != str(number):
-            fs.delete(f.getPath(), True)
+    manifest.forget(spark, path, 1)
 
 
 def to_documents(graphs: Graphs) -> DataFrame:

@@ -1,8 +1,8 @@
 """Structured Streaming jobs over run logs, crawl logs and live results.
 
-The stores are the state: each micro-batch is joined with the stored table, which
-is extended or gets a new version, so a restart continues from the stream's
-checkpoint and a batch that runs again changes nothing.
+The stores are the state: each micro-batch is folded into them by one commit, so a
+restart continues from the stream's checkpoint, a batch that runs again changes
+nothing, and a stream with a new checkpoint extends what others wrote.
 """
 
 from __future__ import annotations
@@ -15,13 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.artifacts import accept_artifacts
 from ..plans.merge import merge_live
+from ..sources import manifest
 from ..sources.frames import parse_frames, parse_progress
-from ..sources.graphs import current_versions, read_tables, write_graphs
-
-
-#: Keys of a batch are broadcast up to this many, some 50 MB; beyond that they are joined by shuffle.
-BROADCAST_KEYS = 500_000
-
+from ..sources.graphs import StaleGraphs, applied, current_versions, read_tables, write_graphs
+from .store import BROADCAST_KEYS, empty, fold_into_store, read_store
 
 def checkpointed(writer, path: str):
     """Progress survives a kill: offsets and commits go to ``path``."""
@@ -32,72 +29,6 @@ def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-#: Parts of a keyed store; a batch rewrites only the parts that hold its keys.
-BUCKETS = 16
-
-
-def _versions(spark: SparkSession, store: str) -> dict[tuple[int, str], list[int]]:
-    """Buckets that each version of a store holds: ``v=<number>.<stream>-<batch>/bucket=<b>``."""
-    out = {}
-    if _exists(spark, store):
-        p = spark._jvm.org.apache.hadoop.fs.Path(store)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        for f in fs.listStatus(p):
-            name = f.getPath().getName()
-            if name.startswith("v="):
-                number, _, tag = name[2:].partition(".")
-                out[int(number), tag] = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(f.getPath()) if x.getPath().getName().startswith("bucket=")]
-    return out
-
-
-def _newest(versions: dict, before: int | None = None) -> dict[int, tuple[int, str]]:
-    """The newest version that holds each bucket."""
-    out = {}
-    for v in sorted(versions):
-        if before is None or v[0] < before:
-            out |= dict.fromkeys(versions[v], v)
-    return out
-
-
-def _folder(store: str, version: tuple[int, str], bucket: int) -> str:
-    return f"{store}/v={version[0]}.{version[1]}/bucket={bucket}"
-
-
-def read_store(spark: SparkSession, store: str, schema: str, buckets: set[int] | None = None, before: int | None = None) -> DataFrame:
-    """Rows of a keyed store, of some buckets or of all."""
-    at = _newest(_versions(spark, store), before)
-    places = [_folder(store, v, b) for b, v in at.items() if buckets is None or b in buckets]
-    return spark.read.schema(schema).parquet(*places) if places else _empty(spark, schema)
-
-
-def fold_into_store(batch: DataFrame, tag: str, store: str, schema: str, key: str, fold) -> None:
-    """Fold a batch into a store with one row a key.
-
-    ``fold(old, batch)`` gives the new rows of the batch's buckets.  They become a
-    version named ``tag``, by stream and batch: a batch that runs again finds the
-    version, reads what was there before and writes it anew.  What is older than
-    the version before is deleted, so a store holds two versions of a bucket at
-    most.
-    """
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
-    held = _versions(spark, store)
-    number = next((n for n, t in held if t == tag), max((n for n, _ in held), default=0) + 1)
-    # at most BUCKETS numbers
-    touched = {r[0] for r in batch.select(bucket).distinct().collect()}
-    if not touched:
-        return
-    old = read_store(spark, store, schema, touched, number)
-    fold(old, batch).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v={number}.{tag}")
-    before = _newest(held, number)
-    p = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    for version, buckets in held.items():
-        for b in buckets:
-            if b in touched and version[0] < number and version != before.get(b):
-                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(store, version, b)), True)
-
-
 def _run(stream: DataFrame, checkpoint: str, step) -> None:
     """Run ``step(batch, tag)`` on each batch; the tag names stream and batch."""
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -164,15 +95,6 @@ def stored_frames(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/frames").drop("part")
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """Name of a stream that its restarts share: Spark keeps it in the checkpoint."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
@@ -183,7 +105,7 @@ _LEDGER = "scope string, sha256 string, name string, path string, size bigint, s
 
 def stored_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
     """Rows of all streams that ever wrote the ledger."""
-    return spark.read.schema(_LEDGER).parquet(ledger_path) if _exists(spark, ledger_path) else _empty(spark, _LEDGER)
+    return spark.read.schema(_LEDGER).parquet(ledger_path) if manifest.exists(spark, ledger_path) else empty(spark, _LEDGER)
 
 
 def ledger_stream(files: DataFrame, ledger_path: str, files_dir: str, now: str, checkpoint: str) -> None:
@@ -217,23 +139,29 @@ def ledger_stream(files: DataFrame, ledger_path: str, files_dir: str, now: str,
 def merge_stream(live: DataFrame, graphs_path: str, now: str, checkpoint: str) -> None:
     """Fold a stream of live results into stored graphs; each batch comes into force at once.
 
-    The hosts of a batch get a version named by stream and batch, so a batch that
-    runs again finds its hosts merged and leaves them.
+    The commit that puts a batch's hosts in force also notes the batch, so one that
+    runs again is passed over, and one that died before it is done as if it were
+    new.  If another writer replaced one of the hosts meanwhile, the batch is merged
+    again, into what that writer left.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = f"{stream_id(spark, checkpoint)}-{batch_id}"
-        if current_versions(spark, graphs_path).where(F.col("version") == version).limit(1).count():
-            return
+        tag = f"{stream_id(spark, checkpoint)}-{batch_id}"
         batch = batch.persist()
         try:
-            g = read_tables(spark, graphs_path)
             # the hosts of the batch prune the stored partitions
             hosts = batch.select("host").distinct()
             few = hosts.count() <= BROADCAST_KEYS
-            part = g._replace(**{n: getattr(g, n).join(F.broadcast(hosts) if few else hosts, "host", "left_semi")
-                                 for n in ("states", "edges", "triggers", "meta")})
-            write_graphs(merge_live(part, batch, now), graphs_path, version=version)
+            while not applied(spark, graphs_path, tag):
+                held = current_versions(spark, graphs_path)
+                g = read_tables(spark, graphs_path, held)
+                part = g._replace(**{n: getattr(g, n).join(F.broadcast(hosts) if few else hosts, "host", "left_semi")
+                                     for n in ("states", "edges", "triggers", "meta")})
+                try:
+                    write_graphs(merge_live(part, batch, now), graphs_path, version=tag, read=held)
+                except StaleGraphs:
+                    continue
+                break
         finally:
             batch.unpersist()
 

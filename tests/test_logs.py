@@ -1,12 +1,15 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickatlas.operators import transcripts as T
 from clickatlas.plans.artifacts import accept_artifacts
 from clickatlas.sources import frames as FR
 from clickatlas.sources import ledger as LG
+from clickatlas.sources import manifest
 from clickatlas.sources import records as R
+from clickatlas.streaming import store as KS
 from clickatlas.streaming import streams as ST
 
 FILES = "scope string, file_seq long, sha256 string, name string, size long, source string"
@@ -112,10 +115,55 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
         assert read() == {"a": 6, "b": 1, "c": 1}
     for i in range(2, 6):
         ST.fold_into_store(batch(("a", 1)), f"x-{i}", store, shape, "k", add)
+    ST.fold_into_store(batch(("a", 100)), "x-3", store, shape, "k", add)
     assert read() == {"a": 10, "b": 1, "c": 1}
-    # two versions of the bucket that changed, not one a batch
-    changed = max(ST._newest(ST._versions(spark, store)).items(), key=lambda x: x[1])[0]
-    assert sum(changed in b for b in ST._versions(spark, store).values()) == 2
+    ST.fold_into_store(batch(("a", 1)), "y-0", store, shape, "k", add)
+    assert read()["a"] == 11
+
+
+def _layers(spark, store):
+    return KS._layers(manifest.newest(spark, store, KS._MANIFEST)[0])[0]
+
+
+def test_a_batch_of_one_key_writes_one_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KS, "PART_ROWS", 100)
+    monkeypatch.setattr(manifest, "KEEP", 3)
+    store, shape = str(tmp_path / "s"), "k string, n bigint"
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    ST.fold_into_store(spark.range(1000).selectExpr("'k' || id AS k", "id AS n"), "x-0", store, shape, "k", add)
+    assert [(at.rows, at.parts) for at in _layers(spark, store)] == [(1000, 10)]
+    before, then = ST.read_store(spark, store, shape), _layers(spark, store)[0].name
+    ST.fold_into_store(spark.createDataFrame([("k7", 1)], shape), "x-1", store, shape, "k", add)
+    assert [at.rows for at in _layers(spark, store)] == [1000, 1]
+    # a look-up opens the parts that can hold the key
+    keys = spark.createDataFrame([("k7",)], "k string")
+    found = KS._look_up(spark, store, shape, _layers(spark, store), keys, True)
+    assert [tuple(r) for r in found.collect()] == [("k7", 8)] and len(found.inputFiles()) == 2
+    for i in range(2, 14):
+        ST.fold_into_store(spark.createDataFrame([(f"k{i}", 1), ("new", 1)], shape), f"x-{i}", store, shape, "k", add)
+    got = {r["k"]: r["n"] for r in ST.read_store(spark, store, shape).collect()}
+    assert len(got) == 1001 and got["new"] == 12 and got["k7"] == 9 and got["k13"] == 14 and got["k500"] == 500
+    # many batches are few layers; the large one was never written again, and a reader of the first store still has it
+    assert _layers(spark, store)[0].name == then and len(_layers(spark, store)) <= 5
+    assert before.where("k = 'k7'").first()["n"] == 7
+    assert len(manifest.numbers(spark, store)) == 3 and len(list((tmp_path / "s" / "layers").iterdir())) <= 8
+
+
+def test_a_dead_writer_leaves_nothing(spark, tmp_path, monkeypatch):
+    store, shape = str(tmp_path / "s"), "k string, n bigint"
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    one = spark.createDataFrame([("a", 1)], shape)
+    ST.fold_into_store(one, "x-0", store, shape, "k", add)
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "_move_new", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ST.fold_into_store(one, "x-1", store, shape, "k", add)
+    assert ST.read_store(spark, store, shape).first()["n"] == 1
+    # another stream comes first while this one writes: its rows are folded again
+    moved, others = manifest._move_new, [lambda: ST.fold_into_store(one, "y-0", store, shape, "k", add)]
+    monkeypatch.setattr(manifest, "_move_new", lambda *a: (others and others.pop()(), moved(*a))[1])
+    ST.fold_into_store(one, "x-1", store, shape, "k", add)
+    assert ST.read_store(spark, store, shape).first()["n"] == 3
 
 
 def test_ledger_outlives_its_streams(spark, tmp_path):

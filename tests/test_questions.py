@@ -61,6 +61,38 @@ def test_a_host_is_replaced_as_a_whole(spark, stored, tmp_path):
     assert S.read_tables(spark, path).states.count() == 8
 
 
+def test_a_write_that_dies_and_runs_again(spark, stored, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    counts = lambda: {r["host"]: (r["states"], r["edges"], r["triggers"]) for r in A.graph_summary(S.read_tables(spark, path)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(S.manifest, "_move_new", lambda *a: 1 / 0)
+        for _ in range(2):
+            with pytest.raises(ZeroDivisionError):
+                S.write_graphs(stored, path, version="s-0")
+    assert counts() == {} and not S.applied(spark, path, "s-0")
+    S.write_graphs(stored, path, version="s-0")
+    full = counts()
+    assert sum(x[0] for x in full.values()) == 13 and S.applied(spark, path, "s-0")
+    S.drop_old_versions(spark, path)
+    assert counts() == full and len([f for f in (tmp_path / "t" / "states").iterdir() if f.name.startswith("version=")]) == 1
+
+
+def test_two_writers(spark, stored, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    of = lambda host: S.Graphs(*(d.where(f"host = '{host}'") for d in stored[:4]), stored.errors)
+    held = S.current_versions(spark, path)
+    moved, others = S.manifest._move_new, [lambda: S.write_graphs(of("garden.test"), path)]
+    monkeypatch.setattr(S.manifest, "_move_new", lambda *a: (others and others.pop()(), moved(*a))[1])
+    S.write_graphs(of("press.test"), path, read=held)
+    assert {r["host"] for r in S.current_versions(spark, path).collect()} == {"garden.test", "press.test"}
+    # the same host: who read it before the other wrote it has to read again
+    held = S.current_versions(spark, path)
+    others.append(lambda: S.write_graphs(of("press.test"), path))
+    with pytest.raises(S.StaleGraphs):
+        S.write_graphs(of("press.test"), path, read=held)
+    assert S.read_tables(spark, path).states.count() == 7
+
+
 def test_summaries_by_kind(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"nodes": [{"id": "a", "url": "u"}], "edges": [], "meta": {}}')
     (tmp_path / "u.json").write_text('{"meta": {}}')
