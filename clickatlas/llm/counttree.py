@@ -79,7 +79,7 @@ def _hot(rows: DataFrame, size: int) -> np.ndarray:
 
     some = rows.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text_key", "text").mapInArrow(run, "text_key bigint, tokens array<bigint>")
     often = some.dropDuplicates(["text_key"]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    return np.sort(np.array([r[0] for r in often.orderBy(F.col("n").desc(), "token").limit(HOT).select("token").collect()], np.int64))
+    return np.sort(often.orderBy(F.col("n").desc(), "token").limit(HOT).select("token").toArrow()["token"].to_numpy())
 
 
 def _points(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -273,14 +273,16 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # the most central point lies in most trees
     often = trees.groupBy("node").agg(F.count("*").alias("often"))
     centre = trees.join(often, "node").groupBy("cell").agg(F.max_by("node", F.struct("often", "node")).alias("centre"))
-    star = trees.join(centre, "cell").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    # a pair that shares a cell shares its centre, so one tree a centre does
+    trees = cut(trees.join(centre, "cell").select(F.col("centre").alias("cell"), "node", "n", "room").distinct())
+    star = trees.where("node <> cell").select(F.least("node", "cell").alias("a"), F.greatest("node", "cell").alias("b"))
     pairs = cut(_bounded(pairs.unionByName(star).distinct(), classes, percent))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(crowded, "node", "left_anti")
     sets = crowded_sets.unionByName(_sets(rows, classes.select("node", "doc_id", "text_key").join(ends, "node", "left_semi"), size))
     label = cut(components(_verified(pairs, sets, percent)))
 
-    # a pair that shares a cell shares its centre, so one tree a centre does; those that lie in one component are done
-    labelled = _at(trees.join(centre, "cell").select(F.col("centre").alias("cell"), "node", "n", "room").distinct(), label)
+    # trees that lie in one component are done
+    labelled = cut(_at(trees, label))
     mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
     rest = labelled.join(mixed, "cell", "left_semi").join(classes.select("node", "counts"), "node")
     rest, seen = cut_counted(rest, work_dir(spark))
