@@ -57,6 +57,51 @@ def read_graph_documents(spark, sf):
     return A.graph_summary(g).select("host", "states", "edges", "triggers")
 
 
+# the same documents as files, some cut off in the middle
+@query("document_files", f"""WITH x AS ({_SUMMARY}) SELECT host, CASE WHEN c THEN -1 ELSE states END AS states, CASE WHEN c THEN -1 ELSE edges END AS edges, CASE WHEN c THEN -1 ELSE triggers END AS triggers,
+  CASE WHEN c THEN 'unreadable document' ELSE '' END AS error FROM (SELECT *, host LIKE '%7.example.com' AS c FROM x)""")
+def document_files(spark, sf):
+    path = work_dir(spark)
+    S.write_documents(_documents(spark, sf), path)
+    g = S.read_graphs(spark, path)
+    none = F.lit(-1).cast("bigint")
+    good = A.graph_summary(g).select("host", "states", "edges", "triggers", F.lit("").alias("error"))
+    return good.unionByName(g.errors.select("host", none.alias("states"), none.alias("edges"), none.alias("triggers"), "error"))
+
+
+def _link_documents(spark, sf):
+    nodes, edges, pages = D.link_graph(spark, sf)
+    start = pages.withColumn("start", F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
+    return S.link_documents(cut(nodes), cut(edges), start)
+
+
+@query("link_document_files", f"""WITH {Q.EDGES}, {Q.STATES}, n AS (SELECT host, count(*) AS nodes, arg_max(id, state_seq) AS last_id FROM states GROUP BY 1), e AS (SELECT host, count(*) AS edges, arg_max(dst, edge_seq) AS last_dst FROM edges GROUP BY 1),
+x AS (SELECT *, host LIKE '%4.example.com' AS c FROM n JOIN e USING (host))
+SELECT host, CASE WHEN c THEN -1 ELSE nodes END AS nodes, CASE WHEN c THEN -1 ELSE edges END AS edges, CASE WHEN c THEN -1 ELSE nodes END AS pages, CASE WHEN NOT c THEN last_id END AS last_id, CASE WHEN NOT c THEN last_dst END AS last_dst,
+  CASE WHEN c THEN 'unreadable document' ELSE '' END AS error FROM x""")
+def link_document_files(spark, sf):
+    path = work_dir(spark)
+    docs = _link_documents(spark, sf)
+    torn = F.when(F.col("host").like("%4.example.com"), F.expr("substring(document, 1, length(document) - 5)")).otherwise(F.col("document"))
+    S.write_documents(docs.withColumn("document", torn), path)
+    g = S.read_link_graphs(spark, path)
+    n = g.nodes.groupBy("host").agg(F.count("*").alias("nodes"), F.max_by("id", "node_seq").alias("last_id"))
+    e = g.edges.groupBy("host").agg(F.count("*").alias("edges"), F.max_by("dst", "edge_seq").alias("last_dst"))
+    both = n.join(e, "host").join(g.meta.select("host", "pages"), "host").join(g.errors.select("host", "error"), "host", "full")
+    count = lambda c: F.coalesce(c, F.lit(-1)).cast("bigint").alias(c)
+    return both.select("host", count("nodes"), count("edges"), count("pages"), "last_id", "last_dst", F.coalesce("error", F.lit("")).alias("error"))
+
+
+# even nations store an interaction graph, odd ones a link graph, in one folder
+@query("document_kinds", f"""WITH x AS ({_SUMMARY}) SELECT host, CASE WHEN odd THEN 'link' ELSE 'interaction' END AS graph_kind, CASE WHEN odd THEN 0 ELSE states END AS states, edges, CASE WHEN odd THEN 0 ELSE triggers END AS triggers,
+  CASE WHEN odd THEN states ELSE 0 END AS nodes FROM (SELECT *, regexp_extract(host, '[0-9]+')::INT % 2 = 1 AS odd FROM x)""")
+def document_kinds(spark, sf):
+    path = work_dir(spark)
+    odd = F.regexp_extract("host", "[0-9]+", 0).cast("int") % 2 == 1
+    S.write_documents(S.to_documents(D.graphs(spark, sf, with_items=False)).where(~odd).unionByName(_link_documents(spark, sf).where(odd)), path)
+    return S.summarize_documents(spark, path)
+
+
 @query("corrupt_documents", """SELECT 'shop' || n_nationkey || '.example.com' AS host, 'error' AS status FROM nation WHERE n_nationkey % 10 = 7""")
 def corrupt_documents(spark, sf):
     return S.graphs_from_documents(_documents(spark, sf)).errors.select("host", "status")
@@ -69,15 +114,19 @@ def stored_graph_tables(spark, sf):
     return A.graph_summary(S.read_tables(spark, path))
 
 
-# nations with an odd key are written again with their root page alone; all their other rows must go
+# nations with an odd key are written again with their root page alone; all their other rows must go.  The first try of either write dies before its commit
 @query("replaced_graphs", f"""WITH x AS ({_SUMMARY}), k AS (SELECT *, regexp_extract(host, '[0-9]+')::INT % 2 = 1 AS odd FROM x)
 SELECT host, CASE WHEN odd THEN 1 ELSE states END AS states, CASE WHEN odd THEN 0 ELSE edges END AS edges, CASE WHEN odd THEN 0 ELSE triggers END AS triggers FROM k""")
 def replaced_graphs(spark, sf):
     path = work_dir(spark)
-    S.write_graphs(D.graphs(spark, sf, with_items=False), path)
+    full = D.graphs(spark, sf, with_items=False)
+    S.stage_graphs(full, path)
+    S.write_graphs(full, path)
     g = S.read_tables(spark, path)
     odd = F.regexp_extract("host", "[0-9]+", 0).cast("int") % 2 == 1
-    S.write_graphs(g._replace(states=g.states.where(odd & (F.col("id") == "root")), edges=g.edges.where("false"), triggers=g.triggers.where("false"), meta=g.meta.where(odd)), path)
+    less = g._replace(states=g.states.where(odd & (F.col("id") == "root")), edges=g.edges.where("false"), triggers=g.triggers.where("false"), meta=g.meta.where(odd))
+    S.stage_graphs(less, path)
+    S.write_graphs(less, path)
     S.drop_old_versions(spark, path)
     return A.graph_summary(S.read_tables(spark, path)).select("host", "states", "edges", "triggers")
 
@@ -269,11 +318,12 @@ def structural_paths(spark, sf):
     return G.shortest_link_path(e, _pairs(spark, sf)).select("host", "dst", big("clicks"), F.array_join("path", ",").alias("path"))
 
 
-_WALKS = f"""{Q.EDGES}, {_PAIRS}, w1 AS (SELECT p.host, p.dst AS goal, e.dst AS node, [p.src, e.dst] AS nodes, [e.edge_seq] AS path FROM pairs p JOIN edges e ON e.host = p.host AND e.src = p.src WHERE p.src <> p.dst),
+_WALK_STEPS = """w1 AS (SELECT p.host, p.dst AS goal, e.dst AS node, [p.src, e.dst] AS nodes, [e.edge_seq] AS path FROM pairs p JOIN edges e ON e.host = p.host AND e.src = p.src WHERE p.src <> p.dst),
 w2 AS (SELECT w.host, goal, e.dst AS node, list_append(nodes, e.dst) AS nodes, list_append(path, e.edge_seq) AS path FROM w1 w JOIN edges e ON e.host = w.host AND e.src = w.node WHERE NOT list_contains(nodes, e.dst) AND w.node <> goal),
 w3 AS (SELECT w.host, goal, e.dst AS node, list_append(nodes, e.dst) AS nodes, list_append(path, e.edge_seq) AS path FROM w2 w JOIN edges e ON e.host = w.host AND e.src = w.node WHERE NOT list_contains(nodes, e.dst) AND w.node <> goal),
 w4 AS (SELECT w.host, goal, e.dst AS node, list_append(nodes, e.dst) AS nodes, list_append(path, e.edge_seq) AS path FROM w3 w JOIN edges e ON e.host = w.host AND e.src = w.node WHERE NOT list_contains(nodes, e.dst) AND w.node <> goal),
 walks AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4)"""
+_WALKS = f"{Q.EDGES}, {_PAIRS}, {_WALK_STEPS}"
 
 
 @query("simple_paths", f"""WITH {_WALKS} SELECT host, goal AS dst, len(path)::BIGINT AS clicks, array_to_string(nodes, '>') AS nodes, row_number() OVER (PARTITION BY host, goal ORDER BY path DESC) AS walk_rank
@@ -353,6 +403,38 @@ def link_path_steps(spark, sf):
     return P.link_path_steps(a, nodes, edges).join(a.select("q_id", "k"), "q_id").select("host", big("k"), big("step"), "label", "kind", "to_url")
 
 
+# from the root of every host to its first customer, lowest part and highest supplier, and to a page there is none of
+_ENDS = f"""{Q.EDGES}, ends AS (SELECT host, unnest(range(4)) AS k, unnest(['c:' || min(c), 'p:' || min(p), 's:' || max(s), 'zzz']) AS dst FROM ln GROUP BY 1)"""
+
+
+def _end_answers(spark, sf, only_structural):
+    nodes, edges, pages = D.link_graph(spark, sf)
+    nodes, edges = cut(nodes), cut(edges)
+    ends = D.lines(spark, sf).groupBy("host").agg(F.min("c").alias("c"), F.min("p").alias("p"), F.max("s").alias("s"))
+    name = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    asks = ends.select("host", F.posexplode(F.array(name("c:", "c"), name("p:", "p"), name("s:", "s"), F.lit("zzz"))).alias("k", "to"))
+    asks = cut(asks.select(F.concat_ws("|", "host", F.col("k").cast("string")).alias("q_id"), "host", "k", F.lit("root").alias("frm"), "to"))
+    return P.link_paths(nodes, edges, _hub_pages(pages), asks, only_structural).join(asks.select("q_id", "k"), "q_id"), edges
+
+
+@query("link_all_paths", f"""WITH {_ENDS}, pairs AS (SELECT host, 'root' AS src, dst FROM ends WHERE dst <> 'zzz'), {_WALK_STEPS}
+SELECT host, goal AS dst, len(path)::BIGINT AS clicks, array_to_string(nodes, '>') AS nodes, row_number() OVER (PARTITION BY host, goal ORDER BY path DESC) AS walk_rank
+FROM walks WHERE node = goal QUALIFY row_number() OVER (PARTITION BY host, goal ORDER BY path DESC) <= 50""")
+def link_all_paths(spark, sf):
+    a, edges = _end_answers(spark, sf, False)
+    out = P.link_all_paths(cut(a), edges, max_len=4)
+    return out.select("host", "dst", big("clicks"), F.array_join("nodes", ">").alias("nodes"), big("walk_rank"))
+
+
+@query("structural_link_paths", f"""WITH {_HUB}, keep AS MATERIALIZED (SELECT * FROM edges e WHERE (e.host, e.dst) NOT IN (SELECT host, dst FROM hub)), {_ROOTS}, {Q.bfs('roots', 'keep')},
+{_ENDS[len(Q.EDGES) + 2:]}
+SELECT e.host, e.k::BIGINT AS k, CASE WHEN e.dst = 'zzz' THEN 'not_found_to' WHEN r.depth IS NULL THEN 'no_path' ELSE 'ok' END AS status, coalesce(r.depth, -1)::BIGINT AS clicks, coalesce(array_to_string(r.path, ','), '') AS path
+FROM ends e LEFT JOIN reached r ON r.host = e.host AND r.node = e.dst""")
+def structural_link_paths(spark, sf):
+    a, _ = _end_answers(spark, sf, True)
+    return a.select("host", big("k"), "status", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"), F.coalesce(F.array_join("path", ","), F.lit("")).alias("path"))
+
+
 @query("paths_by_url", f"WITH {Q.EDGES}, {_PAIRS}, {_ROOTS}, {Q.bfs('roots')} SELECT p.host, r.node AS dst, depth::BIGINT AS clicks FROM pairs p JOIN reached r ON r.host = p.host AND r.node = p.dst")
 def paths_by_url(spark, sf):
     nodes, edges, _ = D.link_graph(spark, sf)

@@ -12,6 +12,7 @@ from ..session import work_dir
 from ..sources import frames as FR
 from ..sources import ledger as LG
 from ..sources import records as R
+from ..sources.graphs import read_tables, stage_graphs, write_documents, write_graphs
 from ..streaming import streams as ST
 from . import derive as D
 from .registry import query
@@ -312,6 +313,36 @@ def audit_goals(spark, sf):
     return g.select("site", "goal", "want", F.coalesce("min_fields", F.lit(-1)).cast("bigint").alias("min_fields"))
 
 
+# one run record a supplier, as a file; some are cut off in the middle
+@query("run_files", """SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS flow_id, CASE WHEN s_acctbal < 0 THEN 'error' ELSE 'ok' END AS status FROM supplier WHERE s_suppkey % 7 <> 3""")
+def run_files(spark, sf):
+    path, key = work_dir(spark), F.col("s_suppkey").cast("string")
+    text = F.to_json(F.struct(
+        F.concat(F.lit("s"), key).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("flow_id"), F.when(F.col("s_acctbal") < 0, "error").otherwise("ok").alias("status")))
+    torn = F.when(F.col("s_suppkey") % 7 == 3, F.substring(text, 1, 12)).otherwise(text)
+    write_documents(D.table(spark, sf, "supplier").select(F.concat(F.lit("run"), key).alias("host"), torn.alias("document")), path)
+    return R.read_runs(spark, path).select("id", "flow_id", "status")
+
+
+# one audit file a nation, with a site a supplier
+@query("goal_files", """SELECT 's' || s_suppkey AS site, unnest(['buy', 'call']) AS goal, unnest(['ok', 'no_match']) AS want, 'https://n' || s_nationkey || '.example.com/' AS start FROM supplier""")
+def goal_files(spark, sf):
+    path, n = work_dir(spark), F.col("s_nationkey").cast("string")
+    start = F.concat(F.lit("https://n"), n, F.lit(".example.com/"))
+    goal = lambda name, want: F.struct(F.lit(name).alias("goal"), F.struct(F.lit(want).alias("status")).alias("expect"))
+    site = F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), start.alias("start_url"), F.array(goal("buy", "ok"), goal("call", "no_match")).alias("goals"))
+    docs = D.table(spark, sf, "supplier").groupBy(F.concat(F.lit("n"), n).alias("host")).agg(F.collect_list(site).alias("sites"))
+    write_documents(docs.select("host", F.to_json(F.struct("sites")).alias("document")), path)
+    return R.read_goals(spark, path).select("site", "goal", "want", "start")
+
+
+@query("file_hashes", """SELECT 'f' || s_suppkey || '.json' AS name, sha256(s_name || chr(10)) AS sha256, (strlen(s_name) + 1)::BIGINT AS size, '.json' AS ext FROM supplier""")
+def file_hashes(spark, sf):
+    path = work_dir(spark)
+    write_documents(D.table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("host"), F.col("s_name").alias("document")), path)
+    return LG.hash_files(spark, path).select("name", "sha256", "size", "ext")
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 def _event_stream(spark, sf):
@@ -361,7 +392,6 @@ def ledger_stream(spark, sf):
 
 @query("merge_stream", """SELECT 'shop' || n_nationkey || '.example.com' AS host, 2 * count(c_custkey) AS live_hits, count(c_custkey) AS live_triggers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 def merge_stream(spark, sf):
-    from ..sources.graphs import read_tables, write_graphs
     from .plan_queries import _live
 
     base = work_dir(spark)
@@ -369,6 +399,8 @@ def merge_stream(spark, sf):
     live = _live(spark, sf)
     live.repartition(4).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(live.schema).parquet(f"{base}/in")
+    # a first try that died before its commit
+    stage_graphs(read_tables(spark, f"{base}/graphs"), f"{base}/graphs")
     ST.merge_stream(stream, f"{base}/graphs", "2026-01-01 00:00:00", f"{base}/ckpt")
     g = read_tables(spark, f"{base}/graphs")
     live_n = g.triggers.groupBy("host").agg(F.count_if(F.col("cache_source") == "live").alias("live_triggers"))

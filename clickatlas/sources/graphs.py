@@ -177,6 +177,27 @@ def read_tables(spark: SparkSession, path: str, versions: DataFrame | None = Non
     return Graphs(*(table(n, _TABLES[n]) for n in ("states", "edges", "triggers", "meta")), errors)
 
 
+def stage_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000) -> DataFrame | None:
+    """Write the tables into folders of this call alone, which no reader sees; their (host, version), None without rows.
+
+    Hosts meet in one file until they hold ``rows_per_file`` rows.
+    """
+    spark = graphs.meta.sparkSession
+    folder, mine = uuid.uuid4().hex, None
+    for name in _TABLES:
+        df = getattr(graphs, name)
+        # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
+        rows = df.withColumn("version", F.lit(folder)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
+        rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
+    for name in _TABLES:
+        # the folders name the hosts
+        place = f"{path}/{name}/version={folder}"
+        if manifest.exists(spark, place):
+            found = spark.read.schema("host string").option("basePath", place).parquet(place).select("host")
+            mine = found if mine is None else mine.unionByName(found)
+    return None if mine is None else mine.distinct().withColumn("version", F.lit(folder))
+
+
 def write_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000, version: str | None = None, read: DataFrame | None = None) -> None:
     """Replace the graphs of the hosts present, as a whole, and of no other host.
 
@@ -188,30 +209,16 @@ def write_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000, vers
     of different hosts both come into force.
 
     ``version``, ``<stream>-<number>``, is noted as the stream's last write, for
-    :func:`applied`.  With ``read``, the versions that the tables were made from, :class:`StaleGraphs` is raised if another writer
-    replaced one of the hosts meanwhile; without it the last writer of a host wins.
-
-    Hosts meet in one file until they hold ``rows_per_file`` rows.
+    :func:`applied`.  With ``read``, the versions that the tables were made from,
+    :class:`StaleGraphs` is raised if another writer replaced one of the hosts
+    meanwhile; without it the last writer of a host wins.
     """
     spark = graphs.meta.sparkSession
-    folder = uuid.uuid4().hex
-    for name in _TABLES:
-        df = getattr(graphs, name)
-        # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
-        rows = df.withColumn("version", F.lit(folder)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
-        rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
-    mine = None
-    for name in _TABLES:
-        # the folders of this try name its hosts
-        fs, p = manifest.file_system(spark, f"{path}/{name}/version={folder}")
-        if not fs.exists(p):
-            continue
-        found = spark.read.schema("host string").option("basePath", f"{path}/{name}/version={folder}").parquet(f"{path}/{name}/version={folder}").select("host")
-        mine = found if mine is None else mine.unionByName(found)
+    mine = stage_graphs(graphs, path, rows_per_file)
     if mine is None:
         return
     none = F.lit(None).cast("string")
-    mine = mine.distinct().select("host", F.lit(folder).alias("version"), none.alias("tag"))
+    mine = mine.withColumn("tag", none)
     note = spark.createDataFrame([(None, None, version)] if version else [], _POINTER)
     stream = (version or "").rpartition("-")[0]
 
@@ -286,6 +293,39 @@ def to_documents(graphs: Graphs) -> DataFrame:
     return doc.select("host", F.to_json(F.struct("meta", *[none(n).alias(n) for n in ("states", "edges", "triggers")])).alias("document"))
 
 
+def write_documents(docs: DataFrame, path: str, key: str = "host") -> None:
+    """Write (host, document) as one file ``<host>.json`` a row, which replaces an older one.
+
+    Files are written elsewhere and moved, so a reader never meets half of one.
+    Hosts should be valid names; a host of several rows is refused.
+    """
+    spark = docs.sparkSession
+    staged = f"{path}/.{uuid.uuid4().hex}"
+    docs.select(F.col(key).alias("name"), "document").repartition("name").write.partitionBy("name").text(staged)
+    fs, p = manifest.file_system(spark, staged)
+    for folder in fs.listStatus(p):
+        name = folder.getPath().getName()
+        if not name.startswith("name="):
+            continue
+        files = [f.getPath().toString() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(files) != 1:
+            raise ValueError(f"several documents of {name[5:]}")
+        manifest.move(spark, files[0], f"{path}/{name[5:]}.json", True)
+    fs.delete(p, True)
+
+
+def link_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame) -> DataFrame:
+    """One JSON document (host, document) per link graph, lists in sequence order; ``meta`` is (host, start, pages)."""
+    c = F.col
+    node = F.struct("id", "url", "title", "type")
+    edge = F.struct(c("src").alias("source"), c("dst").alias("target"), "label", "kind", "skipped")
+    listed = lambda d, seq, body, name: d.groupBy("host").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(c(seq).alias("q"), body.alias("b")))), lambda x: x["b"]).alias(name))
+    doc = meta.select("host", F.struct("start", c("pages").cast("int").alias("pages")).alias("meta")).join(listed(nodes, "node_seq", node, "nodes"), "host", "left")
+    doc = doc.join(listed(edges, "edge_seq", edge, "edges"), "host", "left")
+    return doc.select("host", F.to_json(F.struct("meta", "nodes", "edges")).alias("document"))
+
+
 def hosts(meta: DataFrame) -> DataFrame:
     """Valid host names, sorted."""
     return meta.where(labels.valid_host("host")).select("host").distinct().orderBy("host")
