@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_queries_are_there():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_stages(spark):
