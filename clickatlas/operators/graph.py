@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls
+from ..functions.labels import label_of
 from ..session import bucketed, cut, cut_counted, work_dir
-from .rows import first_by, ordinal, spread, top_n
+from .rows import first_by, ordinal, top_n
+from .substring import containing
 
 # Out-degree above which the edges of a node are spread over several tasks.
 HOT_DEGREE = 1_000_000
 # Edges per bucket when an edge table is large enough to be laid out by source.
 BUCKET_ROWS = 4_000_000
 # Levels between two anchors of a path.
-SEGMENT = 8
+SEGMENT = 16
 # Rows of a level up to which the next two are done in one job.
 TWO_STEPS = 250_000
 
@@ -162,8 +164,8 @@ def search(
     together.
 
     Every level is appended to the visited set; what is new is held against it by
-    key.  While a level is small two are done in one job.  The search ends when a
-    level is empty, at ``max_depth``, or when every (host, root, node) of ``targets``
+    key.  Once levels shrink two are done in one job.  The search ends when a level is
+    empty, at ``max_depth``, or when every (host, root, node) of ``targets``
     has been reached.
     """
     spark = edges.edges.sparkSession if isinstance(edges, Laid) else edges.sparkSession
@@ -194,7 +196,7 @@ def search(
                 break
         return [got[f"n{d}"] for d in depths]
 
-    depth, counts = 0, []
+    depth, counts, shrinks = 0, [], False
     counts = write(start, [0])
     while counts[depth - levels.upto - 1] and missing != 0 and depth != max_depth:
         front = levels.last(depth).drop("depth")
@@ -204,10 +206,12 @@ def search(
         seen = levels.read().select(*_NODE)
         one = expand_frontier(front, laid, seen)
         rows, depths = one.withColumn("depth", F.lit(depth + 1)), [depth + 1]
-        if counts[-1] <= TWO_STEPS and depth + 1 != max_depth and (depth + 1) % segment:
+        if shrinks and counts[-1] <= TWO_STEPS and depth + 1 != max_depth and (depth + 1) % segment:
             two = expand_frontier(one, laid, seen, one.select(*_NODE))
             rows, depths = rows.unionByName(two.withColumn("depth", F.lit(depth + 2))), [depth + 1, depth + 2]
-        counts = write(rows, depths)
+        last, counts = counts[-1], write(rows, depths)
+        # levels that grow are done one by one: the second of two would be computed from all of the first
+        shrinks = counts[-1] < (counts[-2] if len(counts) > 1 else last)
     levels.close()
     return Reached(levels.read().where(F.col("depth") <= depth), depth, segment)
 
@@ -350,8 +354,8 @@ def all_simple_paths(
     edge numbers.  A reverse search from each target bounds every partial path:
     only nodes that can still reach the target in the hops left are expanded.
 
-    Levels hold the first ``room`` partial walks of a pair (four times ``max_paths``
-    unless given) and no more, however many walks there are.  Partial walks that
+    Levels hold the first ``room`` partial walks of a pair (four times ``max_paths`` and
+    500 at least, unless given) and no more, however many walks there are.  Partial walks that
     come to nothing may use the room up: pairs whose answer lies behind the place
     where they were cut go through another pass with eight times the room.
     """
@@ -361,7 +365,7 @@ def all_simple_paths(
     back = given.select("host", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_seq")
     remaining = search(back, p.select("host", F.col("goal").alias("root")), max_depth=max_len).rows.select("host", F.col("root").alias("goal"), "node", F.col("depth").alias("left"))
     open_, n = cut_counted(p, work_dir(p.sparkSession))
-    room, answers = room or 4 * max_paths, None
+    room, answers = room or max(4 * max_paths, 500), None
     while n["rows"]:
         done, cuts = _first_walks(laid, remaining, open_, max_len, max_paths, room)
         ranked = top_n(done, _PAIR, [F.col("path").desc()], max_paths, rank="walk_rank").join(cuts, _PAIR, "left")
@@ -432,23 +436,30 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(titles, ["host", "other"], "left")
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    """(host, id, node_seq, place, low_place, low_title, label) of nodes, as needles see them."""
+    place = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("id"))
+    return nodes.select("host", "id", "node_seq", place.alias("place"), F.lower(place).alias("low_place"), F.lower(F.coalesce("title", F.lit(""))).alias("low_title"),
+                        label_of("url", "title", "id").alias("label"))
+
+
 def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node for each (host, needle): exact id, else substring of url, id or title.
 
     More than one substring hit is settled by a unique url suffix, else the
-    needle is ``ambiguous``.  A needle is tested against its host's nodes, spread
-    over salts, inside the join condition, and only the aggregate per needle leaves
-    the join.
+    needle is ``ambiguous``.  Substrings are found by :func:`containing`, exact ids
+    by an equi-join, and only the aggregate per needle leaves the joins.
     """
-    n, x = (d.alias(a) for d, a in zip(spread(needles.select("host", "needle").distinct(), nodes, ["id"]), "nx", strict=True))
-    low = F.lower("n.needle")
-    place = F.coalesce(F.nullif(F.col("x.url"), F.lit("")), F.col("x.id"))
-    hit = F.lower(place).contains(low) | F.lower(F.coalesce("x.title", F.lit(""))).contains(low)
-    exact = F.col("x.id") == F.col("n.needle")
-    suffix = urls.rtrim_slash(place).endswith(urls.rtrim_slash(F.col("n.needle")))
-    joined = n.join(x, (F.col("n.host") == F.col("x.host")) & (F.col("n._salt") == F.col("x._salt")) & (exact | hit)).select(
-        "n.host", "n.needle", "x.id", exact.alias("exact"), hit.alias("hit"), (hit & suffix).alias("suffix")
-    )
+    asked = needles.select("host", "needle").distinct()
+    named, low = _named(nodes), asked.withColumn("low", F.lower("needle"))
+    hits = containing(low, named, "low", ["low_place", "low_title"]).join(low, ["host", "low"])
+    suffix = urls.rtrim_slash(F.col("place")).endswith(urls.rtrim_slash(F.col("needle")))
+    found = hits.select("host", "needle", "id", (F.col("id") == F.col("needle")).alias("exact"), F.lit(True).alias("hit"), suffix.alias("suffix"))
+    # an id may be none of the texts that are searched
+    no = F.lit(False)
+    same = asked.join(nodes.select("host", "id").distinct().withColumn("needle", F.col("id")), ["host", "needle"]).select(
+        "host", "needle", "id", F.lit(True).alias("exact"), no.alias("hit"), no.alias("suffix"))
+    joined = found.unionByName(same)
     agg = joined.groupBy("host", "needle").agg(
         F.max(F.when(F.col("exact"), F.col("id"))).alias("exact_id"),
         F.count_if("hit").alias("hits"),
@@ -470,13 +481,6 @@ def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolver_candidates(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels of the substring hits behind each ambiguous needle."""
-    low = F.lower("n.needle")
-    place = F.coalesce(F.nullif(F.col("x.url"), F.lit("")), F.col("x.id"))
-    hit = F.lower(place).contains(low) | F.lower(F.coalesce("x.title", F.lit(""))).contains(low)
-    from ..functions.labels import label_of
-
-    n, x = spread(resolved.where("status = 'ambiguous'").select("host", "needle"), nodes, ["id"])
-    return (
-        n.alias("n").join(x.alias("x"), (F.col("n.host") == F.col("x.host")) & (F.col("n._salt") == F.col("x._salt")) & hit)
-        .select("n.host", "n.needle", F.col("x.node_seq").alias("node_seq"), label_of("x.url", "x.title", "x.id").alias("label"))
-    )
+    asked = resolved.where("status = 'ambiguous'").select("host", "needle").distinct().withColumn("low", F.lower("needle"))
+    hits = containing(asked, _named(nodes), "low", ["low_place", "low_title"])
+    return hits.join(asked, ["host", "low"]).select("host", "needle", "node_seq", "label")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .rows import first_by, spread
+from .rows import first_by
+from .substring import containing
 
 
 def union_items(rounds: DataFrame) -> DataFrame:
@@ -68,15 +69,12 @@ def trigger_signature(label, path) -> Column:
 def mark_stale(triggers: DataFrame, goals: DataFrame) -> DataFrame:
     """Flag triggers whose label contains any word of a goal asked on their host.
 
-    ``goals`` is (host, goal).  Containment is a plain substring test, so the few
-    words of a host meet its labels in the join condition and only the keys of
-    the hits come out.
+    ``goals`` is (host, goal).  Containment is a plain substring test, found by
+    :func:`containing`; only the keys of the hits come out.
     """
-    words = goals.select("host", F.explode(labels.stale_nouns("goal")).alias("w")).distinct()
-    words, t = (x.alias(a) for x, a in zip(spread(words, triggers.select("host", "trig_seq", "label"), ["trig_seq"]), "wt", strict=True))
-    hits = t.join(
-        words, (F.col("t.host") == F.col("w.host")) & (F.col("t._salt") == F.col("w._salt")) & F.lower(F.coalesce("t.label", F.lit(""))).contains(F.col("w.w")), "left_semi"
-    ).select("t.host", "t.trig_seq").withColumn("_hit", F.lit(True))
+    words = goals.select("host", F.explode(labels.stale_nouns("goal")).alias("w"))
+    t = triggers.select("host", "trig_seq", F.lower(F.coalesce("label", F.lit(""))).alias("low"))
+    hits = containing(words, t, "w", ["low"]).select("host", "trig_seq").distinct().withColumn("_hit", F.lit(True))
     return triggers.join(hits, ["host", "trig_seq"], "left").withColumn(
         "stale", F.coalesce("stale", F.lit(False)) | F.coalesce("_hit", F.lit(False))
     ).drop("_hit")

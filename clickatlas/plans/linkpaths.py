@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels, urls
 from ..operators.graph import all_simple_paths, path_steps, resolve_nodes, shortest_link_path, structural
-from ..operators.rows import first_by, last_by_id, spread
+from ..operators.rows import first_by, last_by_id
+from ..operators.substring import containing
 from ..session import cut
 
 
@@ -75,13 +76,10 @@ def resolve_inputs(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
         F.lower(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("url"), F.lit("")), F.col("id"))).alias("l"),
     )
     q = inputs.select("host", "text").distinct().withColumn("v", F.lower(F.trim("text"))).where(F.col("v") != "")
-    q, n = (x.alias(a) for x, a in zip(spread(q, n, ["id"]), "qn", strict=True))
-    exact = (F.col("n.u") == F.col("q.v")) | (F.col("n.l") == F.col("q.v"))
-    hit = F.concat_ws(" ", "n.u", "n.l").contains(F.col("q.v"))
-    # one smallest candidate per text: the join condition drops the rest before the aggregate
-    both = q.join(n, (F.col("n.host") == F.col("q.host")) & (F.col("n._salt") == F.col("q._salt")) & (exact | hit)).select(
-        "q.host", "q.text", "n.id", "n.node_seq", F.when(exact, 0).otherwise(1).alias("p")
-    )
+    exact = (F.col("u") == F.col("v")) | (F.col("l") == F.col("v"))
+    # whatever is equal is contained too
+    hits = containing(q, n.withColumn("both", F.concat_ws(" ", "u", "l")), "v", ["both"])
+    both = hits.join(q, ["host", "v"]).select("host", "text", "id", "node_seq", F.when(exact, 0).otherwise(1).alias("p"))
     return first_by(both, ["host", "text"], ["p", "node_seq"], ["id"])
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 
+#: Counted rows up to which a narrow table is broadcast, some 50 MB.
+FEW_ROWS = 500_000
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     b = (
@@ -73,3 +77,9 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or work_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` written, and broadcast if its rows turn out to be at most ``FEW_ROWS``."""
+    out, seen = cut_counted(df, work_dir(df.sparkSession))
+    return F.broadcast(out) if seen["rows"] <= FEW_ROWS else out
