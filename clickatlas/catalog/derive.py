@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schema as X
 from ..operators.rows import top_n
-from ..session import cut
+from ..session import at_once, cut
 from ..sources.graphs import Graphs
 
 HOST = "concat('shop', cast({n} as string), '.example.com')"
@@ -178,7 +178,8 @@ def collection_arrays(items: DataFrame) -> DataFrame:
 def stored_graphs(spark: SparkSession, sf: str, with_items: bool = False) -> Graphs:
     """The same graphs as written tables, so a query's searches read them and not the joins."""
     g = graphs(spark, sf, with_items, cut(lines(spark, sf)))
-    return g._replace(states=cut(g.states), edges=cut(g.edges), triggers=cut(g.triggers))
+    states, edges, triggers = at_once(lambda: cut(g.states), lambda: cut(g.edges), lambda: cut(g.triggers))
+    return g._replace(states=states, edges=edges, triggers=triggers)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import labels
-from ..operators.graph import Reached, path_steps, search, start_state, with_paths
+from ..operators.graph import Reached, lay_out, path_steps, search, start_state, with_paths
 from ..operators.match import match_goals
 from ..operators.rows import first_by, last_by_id, top_n
-from ..session import cut
+from ..session import at_once, cut
 from ..sources.graphs import Graphs
 
 
@@ -28,18 +28,17 @@ def routes(graphs: Graphs, questions: DataFrame) -> tuple[DataFrame, Reached]:
     (host, start) serves every question that shares it.
     """
     asked = questions.where(~(_blank("goal") & _blank("match")))
-    hits = cut(match_goals(asked, graphs.triggers))
     st = start_state(graphs.states, asked, "root").select(
         "host", F.coalesce("start", F.lit("")).alias("start"), F.col("state_id").alias("root")
     ).dropDuplicates(["host", "start"])
     # the few questions carry their start, so the matches join once per table
     q = asked.select("q_id", "host", F.coalesce("start", F.lit("")).alias("start")).join(st, ["host", "start"]).drop("start")
-    q = cut(q)
+    hits, q, laid = at_once(lambda: cut(match_goals(asked, graphs.triggers)), lambda: cut(q), lambda: lay_out(graphs.edges))
     t = graphs.triggers.select("host", "trig_seq", "state_id", labels.form_confidence("kind", "form").alias("confidence"))
     m = hits.join(t, ["host", "trig_seq"]).join(q, ["q_id", "host"])
     m = cut(m)
     wanted = m.where(F.col("state_id").isNotNull()).select("host", "root", F.col("state_id").alias("node")).distinct()
-    reached = search(graphs.edges, wanted.select("host", "root"), targets=wanted)
+    reached = search(laid, wanted.select("host", "root"), targets=wanted)
     m = m.join(reached.rows.select("host", "root", F.col("node").alias("state_id"), "depth"), ["host", "root", "state_id"], "left")
     return m, reached
 

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +85,9 @@ def few(df: DataFrame) -> DataFrame:
     """``df`` written, and broadcast if its rows turn out to be at most ``FEW_ROWS``."""
     out, seen = cut_counted(df, work_dir(df.sparkSession))
     return F.broadcast(out) if seen["rows"] <= FEW_ROWS else out
+
+
+def at_once(*jobs: Callable) -> list:
+    """Results of calls that do not need each other's tables, made at the same time: small ones fill what large ones leave idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]

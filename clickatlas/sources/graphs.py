@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as X
 from ..functions import labels
+from ..session import at_once
 from . import manifest
 
 
@@ -184,11 +186,14 @@ def stage_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000) -> D
     """
     spark = graphs.meta.sparkSession
     folder, mine = uuid.uuid4().hex, None
-    for name in _TABLES:
+
+    def write(name: str) -> None:
         df = getattr(graphs, name)
         # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
         rows = df.withColumn("version", F.lit(folder)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
         rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
+
+    at_once(*[partial(write, name) for name in _TABLES])
     for name in _TABLES:
         # the folders name the hosts
         place = f"{path}/{name}/version={folder}"
