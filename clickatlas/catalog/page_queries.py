@@ -70,7 +70,8 @@ def _corpus_graph(spark, sf):
 # links without quotes, left open, with named and numbered entities, and one inside a comment
 @query("odd_links", """SELECT p_partkey AS page_id, 'https://parts.example.com/' || unnest(['x/', 'y/', 'z/', 'w/']) || p_partkey AS href, unnest(['Café ' || p_partkey, 'One', 'Two & three', p_name || '…']) AS text FROM part""")
 def odd_links(spark, sf):
-    p = table(spark, sf, "part")
+    # a single small file: spread the rows before the text is built, as in shop_pages
+    p = table(spark, sf, "part").select("p_partkey", "p_name").repartition(2 * spark.sparkContext.defaultParallelism)
     k = F.col("p_partkey").cast("string")
     html = F.concat(
         F.lit("<!DOCTYPE html><html><body><!-- <a href='/no'>hidden</a> --><a href=/x/"), k, F.lit(">Caf&eacute; "), k, F.lit("</a><a href='/y/"), k, F.lit("'>One<a href=\"/z/"), k,
@@ -338,7 +339,7 @@ def page_actions(spark, sf):
 @query("page_uploads", f"""WITH {SHOP_ACTIONS} SELECT page_id, text, tag, accept, '#doc' AS selector FROM act WHERE upload
 UNION ALL SELECT page_id, 'Attach', 'label', 'image/*', '#up' FROM p WHERE n % 8 = 0""")
 def page_uploads(spark, sf):
-    dom = _controls_dom(spark, sf)
+    dom = cut(_controls_dom(spark, sf))
     up = X.upload_affordances(dom, X.extract_actions(dom))
     return up.where("upload").select("page_id", "text", "tag", "accept", "selector")
 

@@ -11,6 +11,9 @@ from ..session import cut
 from .dom import attr, elements, has_ancestor, has_attr, parse_pages
 from .rows import first_by, top_n
 
+#: What comes out of the parser is many times the scan that Spark judges sizes by: joins of it are sorted, never broadcast.
+_SORTED = "merge"
+
 _LINK = r"(?is)<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')([^>]*)>(.*?)</a\s*>"
 
 
@@ -222,14 +225,14 @@ def upload_affordances(dom: DataFrame, actions: DataFrame) -> DataFrame:
         has_ancestor(K.ACTION_BULK_TAGS, K.ACTION_BULK_ROLES).alias("bulk"),
     )
     listed = actions.select("page_id", F.col("selector").alias("in_selector"), F.lit(True).alias("seen"))
-    cand = cand.join(listed, ["page_id", "in_selector"], "left")
+    cand = cand.join(listed.hint(_SORTED), ["page_id", "in_selector"], "left")
     target = cand.select(
         "page_id", "in_pos", "in_accept", F.when(F.col("seen"), F.col("in_selector")).otherwise(F.col("selector")).alias("selector"),
         "pos", "text", "tag", "bulk",
     )
     per = first_by(target, ["page_id", "selector"], ["in_pos"], ["in_pos", "in_accept", "pos", "text", "tag", "bulk"])
     a, p = actions.alias("a"), per.alias("p")
-    both = a.join(p, ["page_id", "selector"], "full")
+    both = a.join(p.hint(_SORTED), ["page_id", "selector"], "full")
     new = F.col("a.pos").isNull()
     return both.select(
         "page_id", F.coalesce("a.pos", F.col("p.in_pos") + 1_000_000_000).alias("pos"), "selector",
@@ -554,7 +557,7 @@ def aria_collections(dom: DataFrame) -> DataFrame:
     counts = items.groupBy("page_id", "coll_pos", "kind").agg(F.count("*").alias("count")).where("count >= 2")
     counts = top_n(counts, ["page_id"], ["coll_pos"], K.ARIA_COLLECTIONS_PER_PAGE)
     shown = top_n(items, ["page_id", "coll_pos"], ["pos"], K.ITEMS_PER_COLLECTION, rank="item_idx")
-    return shown.drop("pos").join(counts, ["page_id", "coll_pos", "kind"])
+    return shown.drop("pos").join(counts.hint(_SORTED), ["page_id", "coll_pos", "kind"])
 
 
 def sibling_collections(dom: DataFrame) -> DataFrame:
@@ -582,10 +585,10 @@ def sibling_collections(dom: DataFrame) -> DataFrame:
     grp = kids.where((F.col("text") != "") & ~declared & ~named).select(
         "page_id", F.col("p.pos").alias("coll_pos"), "tag", "pos", F.substring("text", 1, K.ITEM_TEXT).alias("t")
     )
-    grp = grp.join(top, ["page_id", "coll_pos", "tag"])
+    grp = grp.join(top.hint(_SORTED), ["page_id", "coll_pos", "tag"])
     counts = grp.groupBy("page_id", "coll_pos", "tag").agg(F.count("*").alias("count")).where(F.col("count") >= K.SIBLINGS_MIN)
     shown = top_n(grp, ["page_id", "coll_pos", "tag"], ["pos"], K.ITEMS_PER_COLLECTION, rank="item_idx")
-    return shown.join(counts, ["page_id", "coll_pos", "tag"]).select(
+    return shown.join(counts.hint(_SORTED), ["page_id", "coll_pos", "tag"]).select(
         "page_id", "coll_pos", F.concat(F.lit("repeated:"), "tag").alias("kind"), "item_idx", "t",
         F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("int").alias("level"), "count",
     )
@@ -601,6 +604,7 @@ def _is_close_self() -> Column:
 
 def extract_collections(dom: DataFrame) -> DataFrame:
     """Declared collections first, then repeated siblings, at most 80 per page."""
+    dom = cut(dom)  # both kinds count and list: the pages would otherwise be parsed for each
     aria = aria_collections(dom).withColumn("pass", F.lit(0))
     sib = sibling_collections(dom).withColumn("pass", F.lit(1))
     cols = ["page_id", "pass", "coll_pos", "kind", "count", "item_idx", "t", "cells", "level"]
@@ -608,7 +612,7 @@ def extract_collections(dom: DataFrame) -> DataFrame:
     both = cut(aria.select(*cols).unionByName(sib.select(*cols)))
     heads = both.where("item_idx = 1").select("page_id", "pass", "coll_pos")
     kept = top_n(heads, ["page_id"], ["pass", "coll_pos"], K.COLLECTIONS_PER_PAGE, rank="coll_idx")
-    return both.join(kept, ["page_id", "pass", "coll_pos"])
+    return both.join(kept.hint(_SORTED), ["page_id", "pass", "coll_pos"])
 
 
 # --- paging ----------------------------------------------------------------------------------
