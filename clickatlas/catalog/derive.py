@@ -196,9 +196,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def link_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_graph(spark: SparkSession, sf: str, ln: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, pages) of the same graphs as link graphs; hubs are the suppliers."""
-    g = graphs(spark, sf, with_items=False)
+    g = graphs(spark, sf, with_items=False, ln=ln)
     nodes = g.states.select(
         "host", F.col("state_seq").alias("node_seq"), "id", F.when(~F.col("id").startswith("s:"), F.col("url")).otherwise("").alias("url"),
         F.col("label").alias("title"), F.lit("page").alias("type"),

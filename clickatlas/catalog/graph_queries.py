@@ -305,24 +305,25 @@ def start_states(spark, sf):
 _PAIRS = """pairs AS (SELECT host, 'root' AS src, unnest(['p:' || min(p), 'p:' || max(p), 'root']) AS dst FROM ln GROUP BY 1)"""
 
 
-def _pairs(spark, sf):
-    ln = D.lines(spark, sf).groupBy("host").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+def _pairs(ln):
+    ln = ln.groupBy("host").agg(F.min("p").alias("a"), F.max("p").alias("b"))
     part = lambda c: F.concat(F.lit("p:"), F.col(c).cast("string"))
     return ln.select("host", F.lit("root").alias("src"), F.explode(F.array(part("a"), part("b"), F.lit("root"))).alias("dst"))
 
 
 @query("shortest_paths", f"WITH {Q.EDGES}, {_PAIRS}, {_ROOTS}, {Q.bfs('roots')} SELECT p.host, p.dst, depth::BIGINT AS clicks, array_to_string(path, ',') AS path FROM pairs p JOIN reached r ON r.host = p.host AND r.node = p.dst")
 def shortest_paths(spark, sf):
-    e = cut(D.graphs(spark, sf, with_items=False).edges)
-    return G.shortest_link_path(e, _pairs(spark, sf)).select("host", "dst", big("clicks"), F.array_join("path", ",").alias("path"))
+    ln = cut(D.lines(spark, sf))
+    return G.shortest_link_path(D.graphs(spark, sf, with_items=False, ln=ln).edges, _pairs(ln)).select("host", "dst", big("clicks"), F.array_join("path", ",").alias("path"))
 
 
 @query("structural_paths", f"""WITH {_HUB}, keep AS MATERIALIZED (SELECT * FROM edges e WHERE (e.host, e.dst) NOT IN (SELECT host, dst FROM hub)), {_PAIRS}, {_ROOTS}, {Q.bfs('roots', 'keep')}
 SELECT p.host, p.dst, depth::BIGINT AS clicks, array_to_string(path, ',') AS path FROM pairs p JOIN reached r ON r.host = p.host AND r.node = p.dst""")
 def structural_paths(spark, sf):
-    _, edges, pages = D.link_graph(spark, sf)
-    e = cut(G.structural(cut(edges), _hub_pages(pages)))
-    return G.shortest_link_path(e, _pairs(spark, sf)).select("host", "dst", big("clicks"), F.array_join("path", ",").alias("path"))
+    ln = cut(D.lines(spark, sf))
+    _, edges, pages = D.link_graph(spark, sf, ln)
+    e = G.structural(cut(edges.select("host", "src", "dst", "edge_seq")), _hub_pages(pages))
+    return G.shortest_link_path(e, _pairs(ln)).select("host", "dst", big("clicks"), F.array_join("path", ",").alias("path"))
 
 
 _WALK_STEPS = """w1 AS (SELECT p.host, p.dst AS goal, e.dst AS node, [p.src, e.dst] AS nodes, [e.edge_seq] AS path FROM pairs p JOIN edges e ON e.host = p.host AND e.src = p.src WHERE p.src <> p.dst),
@@ -336,8 +337,9 @@ _WALKS = f"{Q.EDGES}, {_PAIRS}, {_WALK_STEPS}"
 @query("simple_paths", f"""WITH {_WALKS} SELECT host, goal AS dst, len(path)::BIGINT AS clicks, array_to_string(nodes, '>') AS nodes, row_number() OVER (PARTITION BY host, goal ORDER BY path DESC) AS walk_rank
 FROM walks WHERE node = goal QUALIFY row_number() OVER (PARTITION BY host, goal ORDER BY path DESC) <= 7""")
 def simple_paths(spark, sf):
-    e = cut(D.graphs(spark, sf, with_items=False).edges)
-    out = G.all_simple_paths(e, _pairs(spark, sf), max_len=4, max_paths=7)
+    ln = cut(D.lines(spark, sf))
+    e = cut(D.graphs(spark, sf, with_items=False, ln=ln).edges)
+    out = G.all_simple_paths(e, _pairs(ln), max_len=4, max_paths=7)
     return out.select("host", "dst", big("clicks"), F.array_join("nodes", ">").alias("nodes"), big("walk_rank"))
 
 
@@ -415,9 +417,10 @@ _ENDS = f"""{Q.EDGES}, ends AS (SELECT host, unnest(range(4)) AS k, unnest(['c:'
 
 
 def _end_answers(spark, sf, only_structural):
-    nodes, edges, pages = D.link_graph(spark, sf)
+    ln = cut(D.lines(spark, sf))
+    nodes, edges, pages = D.link_graph(spark, sf, ln)
     nodes, edges = cut(nodes), cut(edges)
-    ends = D.lines(spark, sf).groupBy("host").agg(F.min("c").alias("c"), F.min("p").alias("p"), F.max("s").alias("s"))
+    ends = ln.groupBy("host").agg(F.min("c").alias("c"), F.min("p").alias("p"), F.max("s").alias("s"))
     name = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     asks = ends.select("host", F.posexplode(F.array(name("c:", "c"), name("p:", "p"), name("s:", "s"), F.lit("zzz"))).alias("k", "to"))
     asks = cut(asks.select(F.concat_ws("|", "host", F.col("k").cast("string")).alias("q_id"), "host", "k", F.lit("root").alias("frm"), "to"))
@@ -444,15 +447,17 @@ def structural_link_paths(spark, sf):
 
 @query("paths_by_url", f"WITH {Q.EDGES}, {_PAIRS}, {_ROOTS}, {Q.bfs('roots')} SELECT p.host, r.node AS dst, depth::BIGINT AS clicks FROM pairs p JOIN reached r ON r.host = p.host AND r.node = p.dst")
 def paths_by_url(spark, sf):
-    nodes, edges, _ = D.link_graph(spark, sf)
-    pairs = _pairs(spark, sf).select("host", F.concat("src", F.lit("/")).alias("start_url"), F.concat("dst", F.lit("#x")).alias("page_url"))
+    ln = cut(D.lines(spark, sf))
+    nodes, edges, _ = D.link_graph(spark, sf, ln)
+    pairs = _pairs(ln).select("host", F.concat("src", F.lit("/")).alias("start_url"), F.concat("dst", F.lit("#x")).alias("page_url"))
     return P.shortest_path(cut(nodes), cut(edges), pairs).select("host", "dst", big("clicks"))
 
 
 @query("paths_between", f"WITH {Q.EDGES}, {_ROOTS}, {Q.bfs('roots')} SELECT h.host, coalesce(r.depth, -1)::BIGINT AS clicks FROM (SELECT DISTINCT host FROM cust) h LEFT JOIN reached r ON r.host = h.host AND r.node = (SELECT 's:' || min(s) FROM ln WHERE ln.host = h.host)")
 def paths_between(spark, sf):
-    nodes, edges, pages = D.link_graph(spark, sf)
-    low = D.lines(spark, sf).groupBy("host").agg(F.min("s").alias("s"))
+    ln = cut(D.lines(spark, sf))
+    nodes, edges, pages = D.link_graph(spark, sf, ln)
+    low = ln.groupBy("host").agg(F.min("s").alias("s"))
     asks = low.select("host", F.concat(F.lit("HTTPS://"), "host", F.lit("/")).alias("a"), F.concat(F.lit("supplier "), F.col("s").cast("string")).alias("b"))
     return P.path_between(cut(nodes), cut(edges), pages, asks, use_global=True).select("host", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"))
 
@@ -460,8 +465,9 @@ def paths_between(spark, sf):
 @query("paths_between_pages", f"WITH {_HUB}, keep AS MATERIALIZED (SELECT * FROM edges e WHERE (e.host, e.dst) NOT IN (SELECT host, dst FROM hub)), {_ROOTS}, {Q.bfs('roots', 'keep')} SELECT h.host, coalesce(r.depth, -1)::BIGINT AS clicks FROM (SELECT DISTINCT host FROM cust) h LEFT JOIN reached r ON r.host = h.host AND r.node = (SELECT 's:' || max(s) FROM ln WHERE ln.host = h.host)")
 def paths_between_pages(spark, sf):
     # without links to hubs, which is how paths are asked for by default
-    nodes, edges, pages = D.link_graph(spark, sf)
-    high = D.lines(spark, sf).groupBy("host").agg(F.max("s").alias("s"))
+    ln = cut(D.lines(spark, sf))
+    nodes, edges, pages = D.link_graph(spark, sf, ln)
+    high = ln.groupBy("host").agg(F.max("s").alias("s"))
     asks = high.select("host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("a"), F.concat(F.lit("Supplier "), F.col("s").cast("string")).alias("b"))
     return P.path_between(cut(nodes), cut(edges), _hub_pages(pages), asks).select("host", F.coalesce("clicks", F.lit(-1)).cast("bigint").alias("clicks"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import urls
 from ..functions.labels import label_of
-from ..session import bucketed, cut, cut_counted, work_dir
+from ..session import bucketed, cut, cut_counted, few, work_dir
 from .rows import first_by, ordinal, top_n
 from .substring import containing
 
@@ -28,6 +28,8 @@ BUCKET_ROWS = 4_000_000
 SEGMENT = 16
 # Rows of a level up to which the next two are done in one job.
 TWO_STEPS = 250_000
+# Rows of a level, paths and all, up to which it is broadcast to the edges.
+FEW_NODES = 200_000
 
 _NODE = ["host", "root", "node"]
 
@@ -204,7 +206,8 @@ def search(
             # the level's nodes become anchors, in the order of their paths
             front = ordinal(front, ["host", "root"], ["rank", "path"], "place").select(*_NODE, F.col("node").alias("anchor"), F.col("place").cast("bigint").alias("rank"), none.alias("path"))
         seen = levels.read().select(*_NODE)
-        one = expand_frontier(front, laid, seen)
+        # few nodes are sent to the edges, so those are read where they lie
+        one = expand_frontier(F.broadcast(front) if counts[depth - levels.upto - 1] <= FEW_NODES else front, laid, seen)
         rows, depths = one.withColumn("depth", F.lit(depth + 1)), [depth + 1]
         if shrinks and counts[-1] <= TWO_STEPS and depth + 1 != max_depth and (depth + 1) % segment:
             two = expand_frontier(one, laid, seen, one.select(*_NODE))
@@ -216,18 +219,18 @@ def search(
     return Reached(levels.read().where(F.col("depth") <= depth), depth, segment)
 
 
-def with_paths(found: DataFrame, reached: Reached) -> DataFrame:
+def with_paths(found: DataFrame, reached: Reached, back: bool = False) -> DataFrame:
     """``found``, rows of ``reached`` with any other columns, with whole paths in place of anchor, rank and path.
 
     A path is put together from its end, a segment a step; only the rows asked for
-    take part.
+    take part.  The paths of a search ``back`` lead to its root.
     """
     out = found.drop("rank")
     before = reached.rows.where((F.col("depth") > 0) & (F.col("depth") % reached.segment == 0)).select(
         "host", "root", F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("path").alias("_path"))
     for step in range(max(reached.deepest - 1, 0) // reached.segment):
         out = out.join(before, ["host", "root", "anchor"], "left")
-        whole = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        whole = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat(*(("path", "_path") if back else ("_path", "path"))))
         out = out.withColumn("path", whole).withColumn("anchor", F.coalesce("_anchor", "anchor")).drop("_anchor", "_path")
         if step % 4 == 3:
             out = cut(out)
@@ -303,12 +306,101 @@ def structural(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return hub_edges(edges, pages).where(~F.col("glob")).drop("glob")
 
 
-def shortest_link_path(edges: DataFrame | Laid, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Shortest path per (host, src, dst); no row where there is none."""
-    wanted = pairs.select("host", F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
-    reached = search(edges, wanted.select("host", "root"), targets=wanted, max_depth=max_depth)
-    found = with_paths(reached.rows.join(wanted, _NODE, "left_semi"), reached)
-    return pairs.join(found.select("host", F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("clicks"), "path"), ["host", "src", "dst"])
+class _Side:
+    """One of two searches that meet, keyed (host, root, node): from the sources along the edges, or ``back`` from the targets against them.
+
+    Rows are those of :func:`search`.  A way back begins with its newest edge, so it
+    is compared by ``path`` first and then by the rank of its anchor.
+    """
+
+    def __init__(self, edges: DataFrame, starts: DataFrame, back: bool, segment: int):
+        self.edges = edges.select("host", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_seq") if back else edges
+        self.back, self.segment, self.laid = back, segment, None
+        self.order = ["path", "rank"] if back else ["rank", "path"]
+        self.none = F.expr(f"cast(array() as array<{edges.schema['edge_seq'].dataType.simpleString()}>)")
+        start = starts.select("host", "root").distinct().select(
+            "host", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.col("root").alias("anchor"), F.lit(0).cast("bigint").alias("rank"), self.none.alias("path"))
+        self.levels = _Levels(edges.sparkSession, start.schema, False)
+        self.depth, self.count = 0, self.levels.add(start, 0)["rows"]
+        self.total = self.count
+
+    def last(self) -> DataFrame:
+        """The rows of the last level, for a broadcast if they are few."""
+        rows = self.levels.last(self.depth).drop("depth")
+        return F.broadcast(rows) if self.count <= FEW_NODES else rows
+
+    def advance(self, wanted: DataFrame) -> None:
+        """The next level, of the roots in ``wanted`` alone."""
+        front = self.levels.last(self.depth).drop("depth").join(wanted.select("host", "root").distinct(), ["host", "root"], "left_semi")
+        if self.depth and self.depth % self.segment == 0:
+            front = ordinal(front, ["host", "root"], self.order, "place").select(*_NODE, F.col("node").alias("anchor"), F.col("place").cast("bigint").alias("rank"), self.none.alias("path"))
+        if self.count <= FEW_NODES:
+            # the edges are read where they lie
+            step = follow(F.broadcast(front), Laid(self.edges, None, False))
+        else:
+            self.laid = self.laid or lay_out(self.edges)
+            step = follow(front, self.laid)
+        if self.total > BUCKET_ROWS and not self.levels.table:
+            large = _Levels(step.sparkSession, self.levels.shape, True)
+            large.add(self.levels.read(), self.depth)
+            self.levels = large
+        path = F.concat(F.array("edge_seq"), "path") if self.back else F.concat("path", F.array("edge_seq"))
+        key = F.struct(*[path.alias(c) if c == "path" else F.col(c) for c in [*self.order, "anchor"]])
+        level = step.groupBy("host", "root", F.col("dst").alias("node")).agg(F.min(key).alias("k"))
+        seen = self.levels.read().select(*_NODE)
+        level = level.join(F.broadcast(seen) if self.total <= FEW_NODES else seen, _NODE, "left_anti")
+        self.depth += 1
+        self.count = self.levels.add(level.select(*_NODE, F.lit(self.depth).alias("depth"), *[F.col("k")[c].alias(c) for c in ("anchor", "rank", "path")]), self.depth)["rows"]
+        self.total += self.count
+
+    def whole(self, found: DataFrame) -> DataFrame:
+        """``found`` (host, root, anchor, path, ...) with whole paths."""
+        return with_paths(found.withColumn("rank", F.lit(0)), Reached(self.levels.read(), self.depth, self.segment), self.back)
+
+
+def shortest_link_path(edges: DataFrame | Laid, pairs: DataFrame, max_depth: int | None = None, segment: int = SEGMENT) -> DataFrame:
+    """Shortest path per (host, src, dst); no row where there is none.
+
+    Two searches advance in turns, one from the sources and one back from the
+    targets, whichever has the smaller last level.  All paths of a pair's
+    distance cross where its searches first meet, and the smallest is the
+    smallest way there with the smallest way on.  A pair is left once it has met
+    or one of its ends leads no further, so few pairs read little beside the edges.
+    """
+    pairs = cut(pairs)
+    given = edges.edges if isinstance(edges, Laid) else edges
+    e = given.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("host", "src", "dst", "edge_seq")
+    e = e if isinstance(edges, Laid) else cut(e)
+    open_, n = cut_counted(pairs.select("host", F.col("src").alias("root"), F.col("dst").alias("goal")).where("host is not null and src is not null and dst is not null").distinct(), work_dir(e.sparkSession))
+    to_goal = lambda df: df.select("host", F.col("goal").alias("root"))
+    ahead, back = _Side(e, open_, False, segment), _Side(e, to_goal(open_), True, segment)
+    spark, shape, met_in = e.sparkSession, None, []
+    while n["rows"]:
+        there, on = ahead.last(), back.last().select("host", F.col("root").alias("goal"), "node", *[F.col(c).alias(f"b_{c}") for c in ("anchor", "rank", "path")])
+        order = ["rank", "path", "b_path", "b_rank", "anchor", "b_anchor"]
+        met = few(open_).join(there, ["host", "root"]).join(on, ["host", "goal", "node"])
+        met = met.groupBy("host", "root", "goal").agg(F.min(F.struct(*order)).alias("k"))
+        met = met.select("host", "root", "goal", F.lit(ahead.depth + back.depth).alias("clicks"), *[F.col("k")[c].alias(c) for c in ("path", "anchor", "b_path", "b_anchor")])
+        met_in.append(work_dir(spark))
+        met = cut(met, met_in[-1])
+        shape = met.schema
+        if ahead.depth + back.depth == max_depth:
+            break
+        # a pair lasts as long as both of its ends lead on
+        open_ = open_.join(met, ["host", "root", "goal"], "left_anti").join(ahead.last().select("host", "root").distinct(), ["host", "root"], "left_semi")
+        open_ = open_.join(back.last().select("host", F.col("root").alias("goal")).distinct(), ["host", "goal"], "left_semi")
+        open_, n = cut_counted(open_.select("host", "root", "goal"), work_dir(spark))
+        if n["rows"]:
+            ahead.advance(open_) if ahead.count <= back.count else back.advance(to_goal(open_))
+    ahead.levels.close()
+    back.levels.close()
+    if shape is None:
+        return pairs.select("*", F.lit(0).alias("clicks"), ahead.none.alias("path")).where("false")
+    found = spark.read.schema(shape).parquet(*met_in)
+    first = ahead.whole(found)
+    second = back.whole(first.select("host", F.col("goal").alias("root"), F.col("root").alias("src"), "clicks", F.col("path").alias("way"), F.col("b_path").alias("path"), F.col("b_anchor").alias("anchor")))
+    out = second.select("host", "src", F.col("root").alias("dst"), "clicks", F.concat("way", "path").alias("path"))
+    return pairs.join(out, ["host", "src", "dst"])
 
 
 _PAIR = ["host", "src", "goal"]

@@ -223,3 +223,39 @@ def test_top_n_above_the_pruned_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
     got = top_n(df, ["g"], [F.col("id").desc()], 1200)
     assert got.count() == 2400 and got.agg(F.min("id")).first()[0] == 5000 - 2400
+
+
+@pytest.mark.parametrize("segment, few, bucket", [(2, 0, 10), (3, 1_000_000, 1_000_000)])
+def test_searches_that_meet(spark, monkeypatch, segment, few, bucket):
+    """Clicks and paths of pairs are those of a plain walk, whichever side advances and however long the way."""
+    monkeypatch.setattr(G, "FEW_NODES", few)
+    monkeypatch.setattr(G, "BUCKET_ROWS", bucket)
+    rnd = random.Random(segment)
+    graphs = random_graphs(20, segment)
+    for g in range(4):
+        es = [(f"l{i}x{a}" if i else "n0", f"l{i + 1}x{b}") for i in range(5) for a in range(3 if i else 1) for b in range(3) if rnd.random() < 0.8]
+        rnd.shuffle(es)
+        graphs[f"layers{g}"] = es + [(f"l5x{a}", f"t{i}") for i in range(2) for a in range(3)]
+    rows = {(h, "n0", x) for h, es in graphs.items() for x in ("n0", "n1", "n3", "t0", "t1", "nowhere")} | {(h, "n2", "n1") for h in graphs}
+    pairs = spark.createDataFrame([*rows, ("g0", "n0", "n1"), ("g0", None, "n1"), ("g0", "n0", None)], "host string, src string, dst string")
+    got = sorted((r["host"], r["src"], r["dst"], r["clicks"], r["path"]) for r in G.shortest_link_path(frame(spark, graphs), pairs, segment=segment).collect())
+    want = []
+    for h, a, b in [*rows, ("g0", "n0", "n1")]:
+        p = walk(graphs[h], a).get(b)
+        want += [] if p is None else [(h, a, b, len(p), p)]
+    assert got == sorted(want)
+    near = {(r["src"], r["dst"]) for r in G.shortest_link_path(frame(spark, {"g": [("a", "b"), ("b", "c"), ("c", "d")]}), spark.createDataFrame([("g", "a", x) for x in "abcd"], "host string, src string, dst string"), max_depth=2).collect()}
+    assert near == {("a", "a"), ("a", "b"), ("a", "c")}
+
+
+def test_pairs_do_not_search_the_whole_graph(spark, monkeypatch):
+    """A target with one way in is found from there; one without is given up at once."""
+    written, add = [], G._Levels.add
+    monkeypatch.setattr(G._Levels, "add", lambda self, *a, **k: written.append(add(self, *a, **k)) or written[-1])
+    # a tree that doubles at each level, and a way of five clicks beside it
+    tree = [(f"t{i}" if i > 1 else "root", f"t{j}") for i in range(1, 1024) for j in (2 * i, 2 * i + 1)]
+    way = [("root", "w1"), *[(f"w{i}", f"w{i + 1}") for i in range(1, 5)]]
+    pairs = spark.createDataFrame([("g", "root", "w5"), ("g", "root", "alone")], "host string, src string, dst string")
+    got = G.shortest_link_path(frame(spark, {"g": tree + way}), pairs).collect()
+    assert [(r["dst"], r["clicks"], r["path"]) for r in got] == [("w5", 5, [len(tree) + i for i in range(5)])]
+    assert sum(w["rows"] for w in written) < 30
