@@ -372,7 +372,7 @@ amb AS MATERIALIZED (SELECT host, needle FROM resolved WHERE status = 'ambiguous
 found AS MATERIALIZED (SELECT h.host, h.needle, h.id FROM hits h JOIN amb USING (host, needle) WHERE h.hit)
 SELECT f.host, f.needle, count(*) AS n, md5(string_agg(label, chr(10) ORDER BY label)) AS labels FROM found f JOIN named USING (host, id) GROUP BY 1, 2""")
 def resolver_candidates(spark, sf):
-    nodes, _, _ = D.link_graph(spark, sf)
+    nodes, _, _ = D.link_graph(spark, sf, cut(D.lines(spark, sf)))
     nodes = cut(nodes)
     found = G.resolver_candidates(G.resolve_nodes(_needles(nodes), nodes), nodes)
     return found.groupBy("host", "needle").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("label")), "\n")).alias("labels"))

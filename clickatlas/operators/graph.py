@@ -8,6 +8,7 @@ host and gives the order in which a node's edges are tried.  A search is keyed
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -406,19 +407,21 @@ def shortest_link_path(edges: DataFrame | Laid, pairs: DataFrame, max_depth: int
 _PAIR = ["host", "src", "goal"]
 
 
-def _first_walks(laid: Laid, remaining: DataFrame, pairs: DataFrame, max_len: int, max_paths: int, room: int) -> tuple[DataFrame, DataFrame]:
+def _first_walks(laid: Callable, remaining: DataFrame, pairs: DataFrame, count: int, max_len: int, max_paths: int, room: int) -> tuple[DataFrame, DataFrame]:
     """(finished walks, where a pair was cut) of one pass that holds ``room`` rows a pair and level.
 
     Walks of a pair are kept in walk order.  What comes after ``max_paths`` finished
     ones cannot enter the answer; what comes after ``room`` rows is left for a wider
-    pass, and the place (its first path) is noted.
+    pass, and the place (its first path) is noted.  ``laid`` gives the edges for a
+    number of walks, ``count`` is that of the pairs.
     """
-    seq = laid.edges.schema["edge_seq"].dataType.simpleString()
+    seq = laid(0).edges.schema["edge_seq"].dataType.simpleString()
     held = pairs.select(*_PAIR, F.col("src").alias("node"), F.array("src").alias("nodes"), F.expr(f"cast(array() as array<{seq}>)").alias("path"), F.lit(False).alias("finished"))
     w = Window.partitionBy(*_PAIR).orderBy(F.col("path").desc())
     cuts = []
     for n in range(1, max_len + 1):
-        grown = follow(held.where(~F.col("finished")).drop("finished"), laid).where(~F.array_contains("nodes", F.col("dst")))
+        going = held.where(~F.col("finished")).drop("finished")
+        grown = follow(F.broadcast(going) if count <= FEW_NODES else going, laid(count)).where(~F.array_contains("nodes", F.col("dst")))
         grown = grown.select(*_PAIR, F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array("edge_seq")).alias("path"))
         grown = grown.join(remaining, ["host", "goal", "node"]).where(F.col("left") <= max_len - n).withColumn("finished", F.col("node") == F.col("goal"))
         both = held.where("finished").unionByName(grown.drop("left")) if n > 1 else grown.drop("left")
@@ -429,7 +432,8 @@ def _first_walks(laid: Laid, remaining: DataFrame, pairs: DataFrame, max_len: in
         if seen["over"]:
             cuts.append(ranked.where(F.col("place") > room).select(*_PAIR, "path"))
         held = ranked.where(F.col("place") <= room).drop("place")
-        if not seen["going"]:
+        count = seen["going"]
+        if not count:
             break
     none = held.where("false").select(*_PAIR, "path")
     for c in cuts:
@@ -453,13 +457,30 @@ def all_simple_paths(
     """
     p = pairs.select("host", "src", F.col("dst").alias("goal")).where(F.col("src") != F.col("dst")).distinct()
     given = edges.edges if isinstance(edges, Laid) else edges
-    laid = edges if isinstance(edges, Laid) else lay_out(edges, parallel=True)
-    back = given.select("host", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_seq")
-    remaining = search(back, p.select("host", F.col("goal").alias("root")), max_depth=max_len).rows.select("host", F.col("root").alias("goal"), "node", F.col("depth").alias("left"))
+    narrow = given.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("host", "src", "dst", "edge_seq")
+    plain = Laid(narrow if isinstance(edges, Laid) else cut(narrow), None, False)
+    spread = [edges] if isinstance(edges, Laid) else []
+
+    def laid(rows: int) -> Laid:
+        # the edges are laid out only for walks that are too many to be broadcast
+        if rows <= FEW_NODES:
+            return plain
+        if not spread:
+            spread.append(lay_out(plain.edges, parallel=True))
+        return spread[0]
+
     open_, n = cut_counted(p, work_dir(p.sparkSession))
+    back = _Side(plain.edges, open_.select("host", F.col("goal").alias("root")), True, SEGMENT)
+    goals = open_.select("host", F.col("goal").alias("root"))
+    # a walk's first click is made from its source, which no bound is asked of
+    while back.count and back.depth < max_len - 1:
+        back.advance(goals)
+    back.levels.close()
+    remaining = back.levels.read().select("host", F.col("root").alias("goal"), "node", F.col("depth").alias("left"))
+    remaining = F.broadcast(remaining) if back.total <= FEW_NODES else remaining
     room, answers = room or max(4 * max_paths, 500), None
     while n["rows"]:
-        done, cuts = _first_walks(laid, remaining, open_, max_len, max_paths, room)
+        done, cuts = _first_walks(laid, remaining, open_, n["rows"], max_len, max_paths, room)
         ranked = top_n(done, _PAIR, [F.col("path").desc()], max_paths, rank="walk_rank").join(cuts, _PAIR, "left")
         ranked = cut(ranked)
         # walks before the cut are the first ones for certain
@@ -542,7 +563,7 @@ def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
     needle is ``ambiguous``.  Substrings are found by :func:`containing`, exact ids
     by an equi-join, and only the aggregate per needle leaves the joins.
     """
-    asked = needles.select("host", "needle").distinct()
+    asked = few(needles.select("host", "needle").distinct())
     named, low = _named(nodes), asked.withColumn("low", F.lower("needle"))
     hits = containing(low, named, "low", ["low_place", "low_title"]).join(low, ["host", "low"])
     suffix = urls.rtrim_slash(F.col("place")).endswith(urls.rtrim_slash(F.col("needle")))
@@ -559,7 +580,7 @@ def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count_if("suffix").alias("suffixes"),
         F.max(F.when(F.col("suffix"), F.col("id"))).alias("suffix_id"),
     )
-    out = needles.select("host", "needle").distinct().join(agg, ["host", "needle"], "left")
+    out = asked.join(agg, ["host", "needle"], "left")
     node = (
         F.when(F.col("exact_id").isNotNull(), F.col("exact_id"))
         .when(F.col("hits") == 1, F.col("hit_id"))
@@ -573,6 +594,6 @@ def resolve_nodes(needles: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolver_candidates(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels of the substring hits behind each ambiguous needle."""
-    asked = resolved.where("status = 'ambiguous'").select("host", "needle").distinct().withColumn("low", F.lower("needle"))
+    asked = few(resolved.where("status = 'ambiguous'").select("host", "needle").distinct()).withColumn("low", F.lower("needle"))
     hits = containing(asked, _named(nodes), "low", ["low_place", "low_title"])
     return hits.join(asked, ["host", "low"]).select("host", "needle", "node_seq", "label")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import few
+from ..session import FEW_ROWS, few
 
 #: Characters of a gram; a shorter needle is looked up by grams of its own length.
 GRAM = 3
+#: Needles of a host up to which each of its texts is asked for every one of them.
+FEW_NEEDLES = 8
 
 
 def grams(text: Column, size: int) -> Column:
@@ -23,7 +25,8 @@ def containing(needles: DataFrame, rows: DataFrame, needle: str, texts: list[str
 
     ``needles`` is (host, ``needle``), ``rows`` any table with ``host`` and the
     ``texts``, none of whose columns is named as the needle; both are compared as
-    they are.  Every needle is looked up by its rarest gram: an equi-join on (host,
+    they are.  The needles of hosts that ask for few are sent to the texts, which are
+    read once.  Others are looked up by their rarest gram: an equi-join on (host,
     gram), so a text meets the needles that share that gram with it and no others.
     An empty needle is in every text that is not null.
     """
@@ -32,6 +35,9 @@ def containing(needles: DataFrame, rows: DataFrame, needle: str, texts: list[str
     holds = F.lit(False)
     for t in texts:
         holds = holds | F.coalesce(F.contains(F.col(t), F.col(needle)), F.lit(False))
+    most = asked.groupBy("host").count().agg(F.max("count"), F.sum("count")).first()
+    if (most[0] or 0) <= FEW_NEEDLES and (most[1] or 0) <= FEW_ROWS:
+        return asked.drop("_size").join(rows, "host").where(holds)
     # at most GRAM + 1 numbers
     sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())
     out = asked.where("_size = 0").drop("_size").join(rows, "host").where(holds)
