@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import labels
-from ..operators.graph import search, start_state, with_paths
+from ..operators.graph import search, shown_paths, start_state
 from ..operators.rows import last_by_id, top_n
-from ..session import cut
+from ..session import cut, few
 from ..sources.graphs import Graphs
 
 
@@ -53,9 +53,8 @@ def find_content(
     per_view = hits.groupBy("host", "state_id", "state_seq").agg(F.count("*").alias("matches"))
     per_view = per_view.join(roots, "host")
     wanted = per_view.select("host", "root", F.col("state_id").alias("node"))
-    reached = search(graphs.edges, wanted.select("host", "root"), targets=wanted)
-    found = reached.rows.withColumnRenamed("node", "state_id")
-    far = found.select("host", "root", "state_id", F.col("depth").alias("distance"))
+    reached = search(graphs.edges, wanted.select("host", "root"), targets=wanted, paths=False)
+    far = reached.rows.select("host", "root", F.col("node").alias("state_id"), F.col("depth").alias("distance"))
     per_view = rank_views(per_view.join(far, ["host", "root", "state_id"], "left"))
     totals = per_view.groupBy("host").agg(
         F.sum("matches").cast("bigint").alias("total_matches"), F.count("*").alias("views_matched")
@@ -66,9 +65,10 @@ def find_content(
         (F.col("before") < limit) | (F.col("view_rank") == 1)
     )
     best = best.withColumn("shown", F.least("matches", F.greatest(F.lit(limit) - F.col("before"), F.lit(0))))
-    best = cut(best)
+    best = few(best)
     # whole paths of the shown views only
-    best = with_paths(best.join(found.drop("depth"), ["host", "root", "state_id"], "left"), reached)
+    paths = shown_paths(graphs.edges, reached, best.select("host", "root", F.col("state_id").alias("node")))
+    best = few(best.join(few(paths).withColumnRenamed("node", "state_id"), ["host", "root", "state_id"], "left"))
     st = last_by_id(graphs.states, best.select("host", F.col("state_id").alias("id")), ["url", "label"]).withColumnRenamed("id", "state_id")
     views = best.join(st, ["host", "state_id"]).select(
         "host", "state_id", "view_rank", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("(root)")).alias("view_label"),

@@ -48,6 +48,28 @@ def test_bfs_is_first_in_first_out(spark, hot, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_paths_of_shown_rows_from_distances(spark, monkeypatch, many):
+    """A search that keeps no paths carries narrow rows; the smallest paths are found for the rows that are shown."""
+    graphs = random_graphs(60, 11)
+    # two ways of a length, parallel edges, and nodes that nothing leads to
+    graphs["ways"] = [("n0", "b"), ("n0", "a"), ("a", "t"), ("b", "t"), ("b", "t"), ("t", "n0"), ("x", "t")]
+    e = frame(spark, graphs)
+    roots = e.select("host", F.lit("n0").alias("root")).distinct()
+    if many:
+        monkeypatch.setattr(G, "FEW_ROWS", 0)
+        monkeypatch.setattr("clickatlas.session.FEW_ROWS", 0)
+    nodes = e.select("host", F.lit("n0").alias("root"), F.explode(F.array("src", "dst")).alias("node"))
+    reached = G.search(G.lay_out(e, parallel=True), roots, targets=nodes, paths=False)
+    assert reached.rows.columns == ["host", "root", "node", "depth"]
+    want = {(h, n): p for h, es in graphs.items() for n, p in walk(es, "n0").items()}
+    assert {(r["host"], r["node"]): r["depth"] for r in reached.rows.collect()} == {k: len(p) for k, p in want.items()}
+    shown = nodes.unionByName(roots.withColumn("node", F.col("root"))).distinct()
+    assert {(r["host"], r["node"]): r["path"] for r in G.shown_paths(e, reached, shown).collect()} == want
+    one = shown.where("host = 'ways' AND node IN ('t', 'x')")
+    assert [tuple(r) for r in G.shown_paths(e, reached, one).collect()] == [("ways", "n0", "t", [0, 3])]
+
+
 @pytest.mark.parametrize("segment, bucket, two", [(1, 1_000_000, 0), (2, 1_000_000, 1_000_000), (3, 10, 1_000_000), (3, 10, 0)])
 def test_paths_of_several_segments(spark, monkeypatch, segment, bucket, two):
     """Anchors in the order of their paths decide as whole paths would, also where several equal ways lead on."""

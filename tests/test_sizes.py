@@ -1,9 +1,11 @@
 """What a job holds at a time, whatever the size of its input."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickatlas.catalog import QUERIES
+from clickatlas.catalog import derive as D
 from clickatlas.operators import dom as DOM
 from clickatlas.operators import extract as X
 from clickatlas.plans import audit as U
@@ -54,3 +56,26 @@ def test_equal_questions_of_flows_are_asked_once(spark, monkeypatch):
     monkeypatch.setattr(U, "resolve_action", lambda g, q: asked.append(q.count()) or ask(g, q))
     got = {(r["flow_id"], r["status"]) for r in U.goal_warnings(U.flow_steps(flows), g).collect()}
     assert asked == [2] and {x for x in got if x[0] != 2} == {(0, "no_match"), (1, "no_match"), (3, "no_match")}
+
+
+def test_stored_graphs_are_read_without_joins(spark, tmp_path):
+    """Keys and names are written once; the texts of states, edges and triggers are put together by whoever reads them."""
+    rows = {
+        "nation": ("n_nationkey long, n_name string", (1, "A"), (2, "B")), "customer": ("c_custkey long, c_name string, c_nationkey long", (1, "c1", 1), (2, "c2", 2), (3, "c3", None)),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int", (1, "red gear", "b", "t", 3), (1, "red gear", "b", "t", 5), (2, None, "b", "t", 10)),
+        "orders": ("o_orderkey long, o_custkey long", (1, 1), (2, 2), (3, 3)),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", (1, 1, 1, 1), (1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 2, 3), (2, 9, 2, 1), (2, None, 1, None), (2, 2, None, 2), (3, 1, 1, 1)),
+    }
+    for name, (schema, *r) in rows.items():
+        spark.createDataFrame(r, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for items in (False, True):
+        a, b = D.graphs(spark, str(tmp_path), items), D.stored_graphs(spark, str(tmp_path), items)
+        for table in ("states", "edges", "triggers", "meta"):
+            x, y = getattr(a, table), getattr(b, table)
+            assert sorted(map(str, x.collect())) == sorted(map(str, y.collect())), table
+            assert "Exchange" not in plan(y) and "Join" not in plan(y)
+    lines = D.lines(spark, str(tmp_path))
+    assert b.edges.where("src LIKE 's:%' OR dst LIKE 's:%' OR dst LIKE 'p:%' OR dst IS NULL").count() == lines.select("host", "r", F.when(F.col("r") == 1, F.col("c")).otherwise(F.col("s")).alias("x"), "p").distinct().count()
+    assert {(r["host"], r["trig_seq"], r["label"]) for r in b.triggers.collect()} >= {("shop1.example.com", 1, "Show red gear"), ("shop1.example.com", 1, "Download red gear")}
+    narrow = {f.split("/")[-1] for f in b.edges.inputFiles()}
+    assert narrow and "src" not in spark.read.parquet(*[f for f in b.edges.inputFiles() if "customer.parquet" not in f]).columns
