@@ -126,7 +126,7 @@ def stored_graph_tables(spark, sf):
 SELECT host, CASE WHEN odd THEN 1 ELSE states END AS states, CASE WHEN odd THEN 0 ELSE edges END AS edges, CASE WHEN odd THEN 0 ELSE triggers END AS triggers FROM k""")
 def replaced_graphs(spark, sf):
     path = work_dir(spark)
-    full = D.graphs(spark, sf, with_items=False)
+    full = D.stored_graphs(spark, sf)
     S.stage_graphs(full, path)
     S.write_graphs(full, path)
     g = S.read_tables(spark, path)

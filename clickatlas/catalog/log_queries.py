@@ -395,7 +395,7 @@ def merge_stream(spark, sf):
     from .plan_queries import _live
 
     base = work_dir(spark)
-    write_graphs(D.graphs(spark, sf, with_items=False), f"{base}/graphs")
+    write_graphs(D.stored_graphs(spark, sf), f"{base}/graphs")
     live = _live(spark, sf)
     live.repartition(4).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(live.schema).parquet(f"{base}/in")

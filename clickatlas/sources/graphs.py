@@ -17,6 +17,8 @@ from ..session import at_once, cut
 from . import manifest
 from .documents import NO_SEQ, PARTS, assemble, elements, of_documents, summaries
 
+#: Hosts up to which a task writes its rows where they are, a file for each of its hosts.
+FEW_HOSTS = 64
 #: Files that are renamed at the same time.
 _MOVERS = 32
 
@@ -174,15 +176,19 @@ def read_tables(spark: SparkSession, path: str, versions: DataFrame | None = Non
 def stage_graphs(graphs: Graphs, path: str, rows_per_file: int = 1_000_000) -> DataFrame | None:
     """Write the tables into folders of this call alone, which no reader sees; their (host, version), None without rows.
 
-    Hosts meet in one file until they hold ``rows_per_file`` rows.
+    The rows of many hosts meet in one file a host until it holds ``rows_per_file``;
+    those of few are not shuffled for that.
     """
     spark = graphs.meta.sparkSession
     folder, mine = uuid.uuid4().hex, None
+    few = graphs.meta.select("host").distinct().limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
 
     def write(name: str) -> None:
         df = getattr(graphs, name)
-        # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
-        rows = df.withColumn("version", F.lit(folder)).repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
+        rows = df.withColumn("version", F.lit(folder))
+        if not few:
+            # ranges of (host, sequence): a host of any size is spread over as many writers as it needs
+            rows = rows.repartitionByRange("host", *[c for c in df.columns if c.endswith("_seq")])
         rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("version", "host").parquet(f"{path}/{name}")
 
     at_once(*[partial(write, name) for name in _TABLES])

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import graphs as fixtures
 from clickatlas.operators import aggregates as A
-from clickatlas.operators.match import suggest_labels
+from clickatlas.operators.match import match_goals, suggest_labels
 from clickatlas.operators.sets import mark_stale, split_hits
 from clickatlas.plans import audit as U
 from clickatlas.plans import content as C
@@ -125,6 +125,35 @@ def test_howto(spark, stored):
     assert rep[0]["found"] and rep[0]["form_field_count"] == 2 and rep[2]["candidates"] == 1
 
 
+def test_few_questions_are_sent_to_the_triggers(spark, stored, monkeypatch):
+    q = asks(spark, *[("clinic.test", g, m, None) for g, m in (("create a bed", None), ("add samples", ""), ("", None), ("create", None), ("bed", "^new"), (None, "(sample|BED)$"))],
+             *[("press.test", g, None, None) for g in ("download", "new page", "zzz")], ("nowhere.test", "bed", None, None))
+    t = stored.triggers.unionByName(stored.triggers.where("label = 'Add Sample'"))
+    found = lambda: match_goals(q, t)
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    few = sorted(map(tuple, found().collect()))
+    monkeypatch.setattr("clickatlas.operators.match.FEW_QUESTIONS", 0)
+    assert few == sorted(map(tuple, found().collect())) and len(few) > 6
+    # questions that share an id are merged, however few they are
+    monkeypatch.setattr("clickatlas.operators.match.FEW_QUESTIONS", 8)
+    twice = q.unionByName(q.where("goal = 'create a bed'"))
+    assert sorted(map(tuple, match_goals(twice, t).collect())) == few
+
+
+def test_rows_of_few_hosts_are_not_shuffled_to_be_stored(spark, stored, tmp_path, monkeypatch):
+    calls, ranged = [], type(stored.states).repartitionByRange
+    monkeypatch.setattr(type(stored.states), "repartitionByRange", lambda df, *a: calls.append(a) or ranged(df, *a))
+    S.write_graphs(stored, str(tmp_path / "few"))
+    assert not calls
+    monkeypatch.setattr(S, "FEW_HOSTS", 2)
+    S.write_graphs(stored, str(tmp_path / "many"))
+    assert len(calls) == 4
+    a, b = (S.read_tables(spark, str(tmp_path / x)) for x in ("few", "many"))
+    for table in ("states", "edges", "triggers", "meta"):
+        assert sorted(map(str, getattr(a, table).collect())) == sorted(map(str, getattr(b, table).collect())), table
+
+
 def test_resolve_and_plan(spark, stored):
     q = asks(
         spark, ("clinic.test", "create bed", None, None), ("press.test", "download the atlas", None, None), ("press.test", "download floor plan", None, None),
