@@ -70,3 +70,31 @@ def test_links_of_a_host_without_edges(spark):
     meta = spark.createDataFrame([(h, f"https://{h}/", 1) for h in "abc"], "host string, start string, pages int")
     got = {h: json.loads(t) for h, t in texts(S.link_documents(nodes, edges, meta)).items()}
     assert [e["source"] for e in got["a"]["edges"]] == ["y", "x"] and "edges" not in got["b"] and got["c"] == {"meta": {"start": "https://c/", "pages": 1}}
+
+
+def test_files_are_written_and_renamed_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [("a:b%", 0, "x"), ("a:b%", 1, None), ("é ^", 0, "y"), (None, 0, "z"), *[(f"n{i}", 0, "é") for i in range(300)]]
+    docs = spark.createDataFrame(rows, "host string, piece long, document string")
+    with monkeypatch.context() as m:
+        # as on any other file system
+        m.setattr(S.manifest, "file_system", lambda *a, real=S.manifest.file_system: (type("Other", (), {
+            "getUri": lambda s: type("U", (), {"getScheme": lambda s: "other"})(), "delete": lambda s, p, r: real(*a)[0].delete(p, r)})(), real(*a)[1]))
+        m.setattr(S.manifest, "mover", lambda spark, path: lambda a, b: __import__("os").replace(a.removeprefix("file:"), b))
+        S.write_documents(docs, str(tmp_path / "a"))
+    monkeypatch.setattr(S.manifest, "mover", lambda *a: pytest.fail("the driver renames"))
+    (tmp_path / "b").mkdir()
+    # an older file and its check sum, which does not hold for the new one
+    spark.createDataFrame([("old " * 9,)], "t string").coalesce(1).write.text(str(tmp_path / "old"))
+    part = next((tmp_path / "old").glob("part-*"))
+    part.with_name(f".{part.name}.crc").rename(tmp_path / "b" / ".n0.json.crc")
+    part.rename(tmp_path / "b" / "n0.json")
+    S.write_documents(docs, str(tmp_path / "b"))
+    read = lambda d: {f.name: f.read_bytes() for f in d.iterdir() if not f.name.endswith(".crc")}
+    got = read(tmp_path / "b")
+    assert got == read(tmp_path / "a") and len(got) == 303 and got["a%3Ab%25.json"] == b"x\n\n" and got["__HIVE_DEFAULT_PARTITION__.json"] == b"z\n"
+    assert spark.read.text(str(tmp_path / "b" / "n0.json")).collect()[0][0] == "é"
+    with pytest.raises(ValueError, match="several documents of __HIVE_DEFAULT_PARTITION__"):
+        S.write_documents(docs.withColumn("host", D.F.when(docs.host == "n1", "").otherwise(docs.host)), str(tmp_path / "b"))
+    assert read(tmp_path / "b") == got
+    S.write_documents(docs.where("false"), str(tmp_path / "c"))
+    assert list((tmp_path / "c").iterdir()) == []
