@@ -98,3 +98,38 @@ def test_files_are_written_and_renamed_by_tasks(spark, tmp_path, monkeypatch):
     assert read(tmp_path / "b") == got
     S.write_documents(docs.where("false"), str(tmp_path / "c"))
     assert list((tmp_path / "c").iterdir()) == []
+
+
+def test_a_part_goes_on_in_the_next_task(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(D, "cut", lambda df, *a, cut=D.cut, **k: written.append((df.columns, k.get("codec"))) or cut(df, *a, **k))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 400
+        nodes = spark.createDataFrame([(h, i, f"{h}{i}", "u", "t", "page") for i in range(n) for h in "ab"], "host string, node_seq long, id string, url string, title string, type string")
+        edges = spark.createDataFrame([("b", i, f"b{i}", "b0", "l", "link", False) for i in range(n)], "host string, edge_seq long, src string, dst string, label string, kind string, skipped boolean")
+        docs = S.link_documents(nodes, edges, spark.createDataFrame([(h, "s", n) for h in "abc"], "host string, start string, pages int"))
+        rows = docs.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # the rows are written as pieces only, by several tasks a host
+    assert written == [(["host", "part", "n", "document"], "zstd")]
+    assert len({r["piece"]["n"] >> 32 for r in rows if r["host"] == "b" and r["piece"]["n"] >= 0}) > 1
+    got = {h: json.loads(t) for h, t in texts(docs).items()}
+    assert [x["id"] for x in got["a"]["nodes"]] == [f"a{i}" for i in range(n)] and "edges" not in got["a"] and list(got["c"]) == ["meta"]
+    assert [x["source"] for x in got["b"]["edges"]] == [f"b{i}" for i in range(n)] and len(got["b"]["nodes"]) == n
+
+
+def test_texts_are_sent_packed(spark):
+    long = json.dumps({"states": [{"id": f"s{i}", "url": "https://h.test/"} for i in range(5_000)], "triggers": [{"label": None}] * 3}, indent=1)
+    docs = spark.createDataFrame([("h", 1, long[100_000:]), ("h", 0, long[:100_000]), ("none", 0, None), ("short", 0, "{}")], "host string, piece int, document string")
+    sent = {(r["host"], r["piece"]): r["document"] for r in D.pack(docs).collect()}
+    assert sum(len(x) for x in sent.values() if x) < len(long) / 10 and D.unpack(sent["h", 0]).decode() == long[:100_000]
+    assert sent["none", 0] is None and D.unpack(None) == b"" and D.unpack(sent["short", 0]) == b"{}"
+    g = S.graphs_from_documents(docs)
+    assert g.states.where("id = concat('s', state_seq) AND url IS NOT NULL").count() == 5_000 and g.triggers.count() == 3
+    # what does not fit makes the whole document unreadable, wherever it stands in a list
+    odd = '{"states": [%s{"id": "b", "depth": "x"}]}' % ('{"id": "a", "depth": 1},' * 200)
+    g = S.graphs_from_documents(spark.createDataFrame([("odd", odd), ("h", '{"states": [null,{"id":"a"},null]}')], "host string, document string"))
+    assert [(r["host"], r["error"]) for r in g.errors.collect()] == [("odd", "unreadable document")]
+    assert sorted((r["state_seq"], r["id"]) for r in g.states.collect()) == [(0, None), (1, "a"), (2, None)]
